@@ -72,9 +72,13 @@ def batches_by_id(digests: DataFrame, batches: int) -> list[DataFrame]:
     return out
 
 
-def ingest(index: DigestIndex, digests: DataFrame) -> None:
-    """Deduplicate a batch of (doc_id, digest) within itself and against the index, and append what is new."""
-    index.append(digest_groups(digests))
+def ingest(index: DigestIndex, digests: DataFrame, scratch: Scratch, name: str) -> None:
+    """Deduplicate a batch of (doc_id, digest) within itself and against the index, and append what is new.
+
+    The groups are written first: otherwise the optimizer moves the anti-join below
+    the aggregation, and every row of a hot digest would be shuffled.
+    """
+    index.append(scratch.table(digest_groups(digests), name))
 
 
 def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
@@ -93,8 +97,8 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batches:
     scratch = Scratch(spark, "exact")
     digests = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest")), "digests")
     index = index or DigestIndex(spark)
-    for batch in batches_by_id(digests, batches):
-        ingest(index, batch)
+    for i, batch in enumerate(batches_by_id(digests, batches)):
+        ingest(index, batch, scratch, f"groups-{i}")
     sizes = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     groups = scratch.table(sizes.join(index.read().hint("merge"), "digest"), "groups")
     total = digests.count()
