@@ -9,19 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import load
 from .exact_dedup import exact_duplicates
 from .mixing import mix
+from .packing import pack
+from .token_store import read_token_store, write_token_store
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's vocabulary lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_store(load(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return read_token_store(spark, manifest)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents"))
 
 
+def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_token_store": op6_token_store,
     "op7_mix_sources": op7_mix_sources,
+    "op10_pack_sequences": op10_pack_sequences,
 }
 
 ORACLE_SQL: dict[str, str] = {
