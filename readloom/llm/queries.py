@@ -11,6 +11,7 @@ from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .packing import pack
 from .token_store import read_token_store, write_token_store
+from .toxicity import toxic_scores
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -24,6 +25,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_store(load(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     return read_token_store(spark, manifest)
@@ -39,6 +44,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_token_store": op6_token_store,
     "op7_mix_sources": op7_mix_sources,
     "op10_pack_sequences": op10_pack_sequences,
