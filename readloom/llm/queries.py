@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import load
 from .exact_dedup import exact_duplicates
 from .mixing import mix
+from .near_dedup import NearOptions, near_duplicates
 from .packing import pack
 from .token_store import read_token_store, write_token_store
 from .toxicity import toxic_scores
@@ -21,6 +22,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"), NearOptions(shingle=3, percent=85))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_token_store": op6_token_store,
