@@ -12,6 +12,7 @@ from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .near_dedup import NearOptions, near_duplicates
 from .packing import pack
+from .suffix_dedup import remove_repeats
 from .token_store import read_token_store, write_token_store
 from .toxicity import toxic_scores
 
@@ -40,6 +41,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(load(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_store(load(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     return read_token_store(spark, manifest)
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_store": op6_token_store,
     "op7_mix_sources": op7_mix_sources,
     "op10_pack_sequences": op10_pack_sequences,
