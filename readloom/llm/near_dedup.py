@@ -22,6 +22,9 @@ from .graph import connected_components
 from .kernels import U64, mix, ngrams, text_slices, unique_per_row, words
 
 UNIVERSE_BITS = 20
+#: Buckets of at most so many members are compared pair by pair, larger ones by way of a centre.
+PAIRWISE = 8
+MOST_LEVELS = 4
 
 
 @dataclass(frozen=True)
@@ -120,27 +123,120 @@ def _set_maker(n: int):
     return make
 
 
+def _compare(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of x are in y; x and y are sorted and distinct."""
+    at = np.searchsorted(y, x)
+    return y[np.minimum(at, len(y) - 1)] == x, at
+
+
 def _verifier(percent: int):
     def verify(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             keep = []
             for x, y in zip(batch.column("left_set"), batch.column("right_set"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                both = int(_compare(x, y)[0].sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b), those that are similar on their full sets."""
+def _star_comparer(percent: int):
+    """Compare sets with their centres: whether they are linked, and keys for what sets in which they differ from it."""
+    slack = (100 - percent) / (100 + percent) * (1 + 100 / percent)
+
+    def compare(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            linked, keys = [], []
+            for x, y, centre, alone in zip(batch.column("left_set"), batch.column("right_set"), batch.column("b").to_pylist(), batch.column("met").to_pylist(), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                in_y = _compare(x, y)[0]
+                both = int(in_y.sum())
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                if alone == 1:
+                    keys.append(np.empty(0, np.int64))
+                    continue
+                change = np.concatenate([x[~in_y], ~y[~_compare(y, x)[0]]])
+                shared = len(change) - int(slack * len(x))  # at least so many are shared with any set linked to this one
+                change = np.sort(mix(change + np.frombuffer(centre[:8], U64)))
+                keys.append(change[: len(change) - max(shared, 1) + 1].view(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), lists], ["a", "b", "linked", "keys"])
+
+    return compare
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left_set"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right_set"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(_verifier(percent), "a binary, b binary")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+
+
+def _roots(links: list[DataFrame], scratch: Scratch, name: str) -> DataFrame:
+    union = links[0]
+    for more in links[1:]:
+        union = union.unionByName(more)
+    return scratch.table(connected_components(union, scratch, name), f"{name}-roots")
+
+
+def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """(node, root) of the components of similar sets among members (bucket, node) of common buckets; None without a bucket of two.
+
+    In each bucket a centre is chosen, the member that meets most others in all its
+    buckets, and every member is compared with it. Two members that are linked to
+    each other, but not both to the centre, must differ from the centre in common:
+    if they didn't, each one's own differences, which alone exceed what a link
+    allows for one of them, would all separate the two. So members regroup in
+    buckets by (centre, difference), of which a prefix in a fixed order is enough,
+    as linked sets must share a number of them that is known beforehand. Buckets
+    inside one component are done, and in those of ``PAIRWISE`` members at most,
+    members of different components are compared pair by pair; so comparisons
+    follow the number of members, also in a group of any number of near copies,
+    and no link is lost. Buckets that are still large after ``MOST_LEVELS`` such
+    divisions are compared pair by pair too.
+    """
+    links: list[DataFrame] = []
+    roots: DataFrame | None = None
+    level = 0
+    while True:
+        name = f"level-{level}"
+        if roots is not None:
+            members = members.join(roots.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        else:
+            members = members.select("bucket", "node", F.col("node").alias("root"))
+        members = scratch.table(members, f"{name}-placed")
+        buckets = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
+        buckets = scratch.table(buckets.where("low <> high").select("bucket", "members"), f"{name}-buckets")
+        rows, largest = buckets.agg(F.sum("members"), F.max("members")).first()
+        if not rows:
+            return roots
+        open_ = scratch.table(join_groups(members, buckets, ["bucket"], "members", int(rows)), f"{name}-open")
+        few = open_ if level >= MOST_LEVELS else open_.where(F.col("members") <= PAIRWISE)
+        one = few.join(sizes.hint("merge"), "node").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
+        two = one.select("bucket", F.col("a").alias("b"), F.col("root_a").alias("root_b"), F.col("n_a").alias("n_b"))
+        fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+        cross = one.join(two.hint("merge"), "bucket").where("root_a < root_b").where(fits).select("a", "b").distinct()
+        links.append(scratch.table(_with_sets(cross, sets).mapInArrow(_verifier(percent), "a binary, b binary"), f"{name}-links"))
+        if largest <= PAIRWISE or level >= MOST_LEVELS:
+            return _roots(links, scratch, name)
+        open_ = open_.where(F.col("members") > PAIRWISE)
+        fame = open_.groupBy("node").agg(F.sum("members").alias("fame"))
+        famous = open_.select("bucket", "node").join(fame.hint("merge"), "node")
+        centres = scratch.table(famous.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("best"), F.count(F.lit(1)).alias("members")), f"{name}-centres")
+        stars = join_groups(open_.select("bucket", "node"), centres, ["bucket"], "members", int(rows))
+        stars = stars.select(F.col("node").alias("a"), F.col("best.node").alias("b")).where("a <> b").distinct()
+        stars = scratch.table(stars, f"{name}-stars")
+        met = scratch.table(stars.groupBy("b").agg(F.count(F.lit(1)).alias("met")), f"{name}-met")
+        stars = join_groups(stars, met, ["b"], "met", int(rows))
+        compared = _with_sets(stars, sets).mapInArrow(_star_comparer(percent), "a binary, b binary, linked boolean, keys array<long>")
+        compared = scratch.table(compared, f"{name}-compared")
+        links.append(compared.where("linked").select("a", "b"))
+        roots = _roots(links, scratch, name)
+        members = compared.select(F.explode("keys").alias("bucket"), F.col("a").alias("node")).distinct()
+        level += 1
 
 
 def near_duplicates(docs: DataFrame, options: NearOptions | None = None) -> DataFrame:
@@ -152,11 +248,8 @@ def near_duplicates(docs: DataFrame, options: NearOptions | None = None) -> Data
     sequence as one; null, empty and white-space texts have none and stand alone.
 
     Equal sets are one class from the start, so copies are never compared.
-    Classes meet in buckets of equal bands. First each class is compared with the
-    centres (smallest members) of its commonest buckets, which joins most of any
-    large group by as many comparisons as it has members; what then still lies in
-    different components of a bucket is compared pair by pair, so no link between
-    bucket members is lost. Rows that repeat a doc_id are documents of their own,
+    Classes that meet in buckets of equal bands are compared as in
+    ``linked_components``, which loses no link between them. Rows that repeat a doc_id are documents of their own,
     and all those of a component's smallest doc_id are kept. Rows with a null
     doc_id join the rows of equal sets; those that no row with an id equals have a
     null component_id, are kept and aren't linked further.
@@ -170,35 +263,19 @@ def near_duplicates(docs: DataFrame, options: NearOptions | None = None) -> Data
     )
     classes = scratch.table(classes, "classes")
 
-    in_bands = classes.select("node", "n", F.explode("bands").alias("band"))
-    buckets = in_bands.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members"))
-    buckets = scratch.table(buckets.where("centre <> last").drop("last"), "buckets")
+    in_bands = classes.select("node", F.explode("bands").alias("band"))
+    buckets = in_bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members"))
+    buckets = scratch.table(buckets.where("low <> high").select("band", "members"), "buckets")
     total = int(buckets.agg(F.sum("members")).first()[0] or 0)
-    members = scratch.table(join_groups(in_bands, buckets, ["band"], "members", total), "members")
+    members = scratch.table(join_groups(in_bands, buckets, ["band"], "members", total).select(F.col("band").alias("bucket"), "node"), "members")
 
     candidates = members.select("node").distinct()
-    wanted = classes.join(candidates, "node", "left_semi").select("class_id")
-    sets = scratch.table(
-        texts.join(wanted.withColumnRenamed("class_id", "doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_set_maker(options.shingle), "node binary, shingles binary").dropDuplicates(["node"]),
-        "sets",
-    )
-    size = classes.select("node", "n")
-    fits = f"100 * least(n, m) >= {options.percent} * greatest(n, m)"
-
-    votes = members.where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("node").agg(F.max(F.struct("votes", "centre")).alias("best")).select(F.col("node").alias("a"), F.col("best.centre").alias("b"))
-    first = scratch.table(_links(best, sets, options.percent), "first-links")
-    roots = scratch.table(connected_components(first, scratch, "first"), "first-roots")
-
-    placed = members.join(roots.hint("merge"), "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
-    placed = scratch.table(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    open_ = scratch.table(placed.join(mixed.hint("merge"), "band", "left_semi"), "open")
-    other = open_.select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-    cross = open_.withColumnRenamed("node", "a").join(other.hint("merge"), "band").where(F.col("root") < F.col("other_root")).where(fits).select("a", "b").distinct()
-    second = scratch.table(_links(cross, sets, options.percent), "second-links")
-
-    roots = scratch.table(connected_components(first.unionByName(second), scratch, "all"), "roots")
+    wanted = classes.join(candidates, "node", "left_semi").select(F.col("class_id").alias("doc_id")).distinct()
+    sets = texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_set_maker(options.shingle), "node binary, shingles binary")
+    sets = scratch.table(sets.dropDuplicates(["node"]), "sets")
+    roots = linked_components(members, sets, classes.select("node", "n"), options.percent, scratch)
+    if roots is None:
+        roots = members.select("node", F.col("node").alias("root"))
     named = classes.join(roots.hint("merge"), "node", "left").select("node", "class_id", "rows", F.coalesce("root", "node").alias("root"))
     named = scratch.table(named, "named")
     smallest = scratch.table(named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("classes")), "smallest")
