@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .common import load
 from .exact_dedup import exact_duplicates
+from .lm_scoring import score_corpus
 from .mixing import mix
 from .near_dedup import NearOptions, near_duplicates
 from .packing import pack
@@ -54,6 +55,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(load(spark, sf_dir, "documents"), order=3)
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_store": op6_token_store,
     "op7_mix_sources": op7_mix_sources,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_pack_sequences": op10_pack_sequences,
 }
 
