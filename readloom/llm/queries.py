@@ -13,6 +13,7 @@ from .lm_scoring import score_corpus
 from .mixing import mix
 from .near_dedup import NearOptions, near_duplicates
 from .packing import pack
+from .passages import repeated_passages
 from .suffix_dedup import remove_repeats
 from .token_store import read_token_store, write_token_store
 from .toxicity import toxic_scores
@@ -59,6 +60,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(load(spark, sf_dir, "documents"), order=3)
 
 
+def op9_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(load(spark, sf_dir, "documents"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_store": op6_token_store,
     "op7_mix_sources": op7_mix_sources,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_passage_chains": op9_passage_chains,
     "op10_pack_sequences": op10_pack_sequences,
 }
 
