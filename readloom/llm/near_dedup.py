@@ -143,28 +143,45 @@ def _verifier(percent: int):
 
 
 def _star_comparer(percent: int):
-    """Compare sets with their centres: whether they are linked, and keys for what sets in which they differ from it."""
-    slack = (100 - percent) / (100 + percent) * (1 + 100 / percent)
+    """Compare sets with their centres: whether they are linked, and keys for what sets in which they differ from it.
+
+    Of n elements, D differ; extra ones come before missing ones, each by hash. Let
+    beta be (1 - t) / (1 + t), so that linked sets x, y differ in beta (n_x + n_y)
+    elements at most. With any set that isn't linked to the centre, a set linked to
+    it shares over (D + beta (missing - extra)) / 2 of its differences; with any set
+    at all, D - beta n (1 + 1 / t) at least. To share k of D, one of the first
+    D - k + 1 in a common order must be shared. ``half`` keys follow from the better
+    of both bounds; the rest, for partners that are linked to the centre, from the
+    second alone.
+    """
+    beta = (100 - percent) / (100 + percent)
 
     def compare(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
-            linked, keys = [], []
+            linked, halves, keys = [], [], []
             for x, y, centre, alone in zip(batch.column("left_set"), batch.column("right_set"), batch.column("b").to_pylist(), batch.column("met").to_pylist(), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 in_y = _compare(x, y)[0]
                 both = int(in_y.sum())
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
                 if alone == 1:
+                    halves.append(0)
                     keys.append(np.empty(0, np.int64))
                     continue
-                change = np.concatenate([x[~in_y], ~y[~_compare(y, x)[0]]])
-                shared = len(change) - int(slack * len(x))  # at least so many are shared with any set linked to this one
-                change = np.sort(mix(change + np.frombuffer(centre[:8], U64)))
-                keys.append(change[: len(change) - max(shared, 1) + 1].view(np.int64))
+                salt = np.frombuffer(centre[:8], U64)
+                extra, missing = np.sort(mix(x[~in_y] + salt)), np.sort(mix(~y[~_compare(y, x)[0]] + salt))
+                change = np.concatenate([extra, missing])
+                far = max(int(np.ceil(len(change) - beta * len(x) * (1 + 100 / percent) - 1e-6)), 1)
+                near = int(np.floor((len(change) + beta * (len(missing) - len(extra))) / 2 - 1e-6)) + 1
+                half = len(change) - max(far, near) + 1
+                halves.append(half)
+                keys.append((change[:half] if linked[-1] else change[: len(change) - far + 1]).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), lists], ["a", "b", "linked", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(halves, pa.int32()), lists], ["a", "b", "linked", "half", "keys"]
+            )
 
     return compare
 
@@ -187,38 +204,39 @@ def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, per
 
     In each bucket a centre is chosen, the member that meets most others in all its
     buckets, and every member is compared with it. Two members that are linked to
-    each other, but not both to the centre, must differ from the centre in common:
-    if they didn't, each one's own differences, which alone exceed what a link
-    allows for one of them, would all separate the two. So members regroup in
-    buckets by (centre, difference), of which a prefix in a fixed order is enough,
-    as linked sets must share a number of them that is known beforehand. Buckets
-    inside one component are done, and in those of ``PAIRWISE`` members at most,
-    members of different components are compared pair by pair; so comparisons
-    follow the number of members, also in a group of any number of near copies,
-    and no link is lost. Buckets that are still large after ``MOST_LEVELS`` such
-    divisions are compared pair by pair too.
+    each other, but not both to the centre, must differ from it in common, and
+    ``_star_comparer`` knows in how much; so members regroup in buckets by (centre,
+    difference), as N (linked to the centre), F (not), and X (not, by differences
+    that only an N of the bucket can share). Buckets inside one component or
+    without a pair that counts are done, and in those of ``PAIRWISE`` members at
+    most, members of different components are compared pair by pair; so
+    comparisons follow the number of members, also in a group of any number of near
+    copies, and no link is lost. Buckets that are still large after ``MOST_LEVELS``
+    such divisions are compared pair by pair too.
     """
     links: list[DataFrame] = []
     roots: DataFrame | None = None
     level = 0
+    kinds = [F.count_if(F.col("kind") == k).alias(n) for k, n in (("F", "far"), ("N", "near"), ("X", "only"))]
     while True:
         name = f"level-{level}"
         if roots is not None:
-            members = members.join(roots.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+            members = members.join(roots.hint("merge"), "node", "left").select("bucket", "node", "kind", F.coalesce("root", "node").alias("root"))
         else:
-            members = members.select("bucket", "node", F.col("node").alias("root"))
+            members = members.select("bucket", "node", F.lit("F").alias("kind"), F.col("node").alias("root"))
         members = scratch.table(members, f"{name}-placed")
-        buckets = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
-        buckets = scratch.table(buckets.where("low <> high").select("bucket", "members"), f"{name}-buckets")
+        buckets = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"), *kinds)
+        buckets = buckets.where("low <> high AND (far > 0 AND far + near > 1 OR only > 0 AND near > 0)")
+        buckets = scratch.table(buckets.select("bucket", "members"), f"{name}-buckets")
         rows, largest = buckets.agg(F.sum("members"), F.max("members")).first()
         if not rows:
             return roots
         open_ = scratch.table(join_groups(members, buckets, ["bucket"], "members", int(rows)), f"{name}-open")
         few = open_ if level >= MOST_LEVELS else open_.where(F.col("members") <= PAIRWISE)
-        one = few.join(sizes.hint("merge"), "node").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-        two = one.select("bucket", F.col("a").alias("b"), F.col("root_a").alias("root_b"), F.col("n_a").alias("n_b"))
+        one = few.join(sizes.hint("merge"), "node").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("kind").alias("kind_a"))
+        two = one.select("bucket", F.col("a").alias("b"), F.col("root_a").alias("root_b"), F.col("n_a").alias("n_b"), F.col("kind_a").alias("kind_b"))
         fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-        cross = one.join(two.hint("merge"), "bucket").where("root_a < root_b").where(fits).select("a", "b").distinct()
+        cross = one.join(two.hint("merge"), "bucket").where("root_a < root_b").where(fits).where("concat(kind_a, kind_b) IN ('FF', 'FN', 'NF', 'XN', 'NX')").select("a", "b").distinct()
         links.append(scratch.table(_with_sets(cross, sets).mapInArrow(_verifier(percent), "a binary, b binary"), f"{name}-links"))
         if largest <= PAIRWISE or level >= MOST_LEVELS:
             return _roots(links, scratch, name)
@@ -231,11 +249,12 @@ def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, per
         stars = scratch.table(stars, f"{name}-stars")
         met = scratch.table(stars.groupBy("b").agg(F.count(F.lit(1)).alias("met")), f"{name}-met")
         stars = join_groups(stars, met, ["b"], "met", int(rows))
-        compared = _with_sets(stars, sets).mapInArrow(_star_comparer(percent), "a binary, b binary, linked boolean, keys array<long>")
+        compared = _with_sets(stars, sets).mapInArrow(_star_comparer(percent), "a binary, b binary, linked boolean, half int, keys array<long>")
         compared = scratch.table(compared, f"{name}-compared")
         links.append(compared.where("linked").select("a", "b"))
         roots = _roots(links, scratch, name)
-        members = compared.select(F.explode("keys").alias("bucket"), F.col("a").alias("node")).distinct()
+        spread = compared.select("a", "linked", "half", F.posexplode("keys").alias("at", "bucket"))
+        members = spread.select("bucket", F.col("a").alias("node"), F.when(F.col("linked"), "N").when(F.col("at") < F.col("half"), "F").otherwise("X").alias("kind"))
         level += 1
 
 
