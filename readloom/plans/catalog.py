@@ -2,5 +2,482 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from readloom.functions import expr as E
+from readloom.operators import checksum, duplicates, order, profile, rewrite, sample, validate
+from readloom.plans import adapters as A
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+MAPPED = "(ref_id >= 0 AND flags & 4 = 0)"
+SECONDARY, SUPPLEMENTARY = "(flags & 256 <> 0)", "(flags & 2048 <> 0)"
+CONTRADICTORY = "((ref_id >= 0) = (flags & 4 <> 0))"
+
+
+def query(name: str, sql: str | None = None, *bases: str):
+    """Register a query; ``bases`` are the relations that its SQL names."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = (f"WITH {', '.join(bases)} " if bases else "") + sql
+        return f
+
+    return add
+
+
+COUNTS_SQL = f"""count(*) AS records_examined, count(*) FILTER (WHERE {MAPPED}) AS mapped_records, count(*) FILTER (WHERE NOT {MAPPED}) AS unmapped_records,
+    count(*) FILTER (WHERE {SECONDARY}) AS secondary_records, count(*) FILTER (WHERE NOT {SECONDARY} AND {SUPPLEMENTARY}) AS supplementary_records,
+    count(*) FILTER (WHERE NOT {SECONDARY} AND NOT {SUPPLEMENTARY}) AS primary_records, count(*) FILTER (WHERE flags & 1024 <> 0) AS duplicate_records,
+    count(*) FILTER (WHERE flags & 512 <> 0) AS qc_fail_records, count(*) FILTER (WHERE flags & 1 <> 0) AS paired_records,
+    count(*) FILTER (WHERE flags & 2 <> 0) AS properly_paired_records, count(*) FILTER (WHERE flags & 64 <> 0) AS read1_records,
+    count(*) FILTER (WHERE flags & 128 <> 0) AS read2_records, count(*) FILTER (WHERE flags & 16 <> 0) AS reverse_strand_records,
+    count(*) FILTER (WHERE {CONTRADICTORY}) AS contradictory_records"""
+SHARES_SQL = ", ".join(f"CAST({n}_records AS double) / nullif(records_examined, 0) AS {n}_fraction" for n in profile.FRACTIONS)
+
+
+@query("summary_counts", f"SELECT {COUNTS_SQL} FROM reads", A.READS_SQL)
+def summary_counts(spark, sf):
+    return profile.summary_counts(A.reads(spark, sf))
+
+
+@query("summary_fractions", f"SELECT {SHARES_SQL} FROM (SELECT {COUNTS_SQL} FROM reads)", A.READS_SQL)
+def summary_fractions(spark, sf):
+    return profile.summary_fractions(A.reads(spark, sf))
+
+
+@query("flag_decode", "SELECT ordinal, " + ", ".join(f"flags & {b} <> 0 AS {n}" for n, b in E.FLAG_NAMES.items()) + " FROM reads", A.READS_SQL)
+def flag_decode(spark, sf):
+    return profile.flag_decode(A.reads(spark, sf))
+
+
+@query("filter_mapped_only", f"SELECT ordinal, ref_id, flags FROM reads WHERE {MAPPED}", A.READS_SQL)
+def filter_mapped_only(spark, sf):
+    return profile.mapped_only(A.reads(spark, sf)).select("ordinal", "ref_id", "flags")
+
+
+@query("filter_primary_only", "SELECT ordinal, ref_id, flags FROM reads WHERE flags & 2304 = 0", A.READS_SQL)
+def filter_primary_only(spark, sf):
+    return profile.primary_only(A.reads(spark, sf)).select("ordinal", "ref_id", "flags")
+
+
+@query("contradictory_state", f"SELECT ordinal, ref_id, flags FROM reads WHERE {CONTRADICTORY}", A.READS_SQL)
+def contradictory_state(spark, sf):
+    return profile.contradictory(A.reads(spark, sf)).select("ordinal", "ref_id", "flags")
+
+
+@query("bounded_scan", "SELECT (SELECT count(*) FROM reads WHERE ordinal < 500) AS records_examined, (SELECT count(*) FROM reads) < 500 AS reached_eof", A.READS_SQL)
+def bounded_scan(spark, sf):
+    reads = A.reads(spark, sf)
+    return reads.agg(F.count_if(F.col("ordinal") < 500).alias("records_examined"), (F.count(F.lit(1)) < 500).alias("reached_eof"))
+
+
+@query("mapq_stats", "SELECT min(mapq) AS mapq_min, max(mapq) AS mapq_max, CAST(sum(mapq) AS double) / nullif(count(*), 0) AS mapq_mean, count(*) FILTER (WHERE mapq = 0) AS mapq_zero_count FROM reads", A.READS_SQL)
+def mapq_stats(spark, sf):
+    return profile.mapq_stats(A.reads(spark, sf))
+
+
+@query("mapq_histogram", "SELECT mapq, count(*) AS records FROM reads GROUP BY mapq", A.READS_SQL)
+def mapq_histogram(spark, sf):
+    return profile.mapq_histogram(A.reads(spark, sf))
+
+
+@query("refs_with_mapped", f"SELECT count(DISTINCT ref_id) AS references_with_mapped_reads FROM reads WHERE {MAPPED}", A.READS_SQL)
+def refs_with_mapped(spark, sf):
+    return profile.refs_with_mapped(A.reads(spark, sf))
+
+
+SUMMARY_SQL = f"""SELECT 'full_scan' AS mode, CAST(25 AS bigint) AS references_defined, *, records_examined AS records_total_known, {SHARES_SQL},
+    CASE WHEN records_examined = 0 THEN 'indeterminate' WHEN mapped_records > 0 THEN 'mapped' ELSE 'unmapped' END AS mapping_status,
+    CASE WHEN records_examined = 0 THEN 'low' ELSE 'high' END AS confidence
+  FROM (SELECT {COUNTS_SQL}, min(mapq) AS mapq_min, max(mapq) AS mapq_max, CAST(sum(mapq) AS double) / nullif(count(*), 0) AS mapq_mean,
+    count(*) FILTER (WHERE mapq = 0) AS mapq_zero_count, count(DISTINCT CASE WHEN {MAPPED} THEN ref_id END) AS references_with_mapped_reads FROM reads)"""
+
+
+@query("summary", SUMMARY_SQL, A.READS_SQL)
+def summary(spark, sf):
+    return profile.summary(A.reads(spark, sf), None, 25)
+
+
+@query("summary_bounded", SUMMARY_SQL.replace("FROM reads)", "FROM reads WHERE ordinal < 700)").replace("'full_scan'", "'bounded_scan'").replace("records_examined AS records_total_known", "CAST(NULL AS bigint) AS records_total_known").replace("ELSE 'high'", "ELSE 'medium'"), A.READS_SQL)
+def summary_bounded(spark, sf):
+    return profile.summary(A.reads(spark, sf), 700, 25)
+
+
+@query(
+    "refs_counts",
+    f"""SELECT r.index, r.name, r.length, coalesce(c.m, 0) AS mapped_reads, coalesce(c.u, 0) AS unmapped_reads FROM refs r
+    LEFT JOIN (SELECT ref_id, count(*) FILTER (WHERE {MAPPED}) AS m, count(*) FILTER (WHERE flags & 4 <> 0) AS u FROM reads WHERE ref_id >= 0 GROUP BY ref_id) c ON c.ref_id = r.index""",
+    A.READS_SQL,
+    A.REFS_SQL,
+)
+def refs_counts(spark, sf):
+    return profile.refs_counts(A.reads(spark, sf), A.refs(spark, sf))
+
+
+@query(
+    "check_map",
+    f"""SELECT *, CASE WHEN records_examined = 0 THEN 'indeterminate' WHEN mapped_records_observed > 0 THEN 'mapped' ELSE 'unmapped' END AS mapping_status,
+    CASE WHEN records_examined = 0 OR inconsistent_records_observed > 0 THEN 'low' WHEN mapped_records_observed > 0 OR NOT reached_end THEN 'medium' ELSE 'high' END AS confidence
+    FROM (SELECT count(*) AS records_examined, count(*) FILTER (WHERE {MAPPED}) AS mapped_records_observed, count(*) FILTER (WHERE NOT {MAPPED}) AS unmapped_records_observed,
+      count(*) FILTER (WHERE {CONTRADICTORY}) AS inconsistent_records_observed, count(DISTINCT CASE WHEN {MAPPED} THEN ref_id END) AS references_with_mapped_reads_observed,
+      (SELECT count(*) FROM reads) < 800 AS reached_end FROM reads WHERE ordinal < 800)""",
+    A.READS_SQL,
+)
+def check_map(spark, sf):
+    return profile.check_map(A.reads(spark, sf), 800)
+
+
+@query("enumerate", "SELECT 'events' AS source, count(*) AS records FROM reads", A.READS_SQL)
+def enumerate_(spark, sf):
+    return profile.enumerate_records(A.reads(spark, sf))
+
+
+@query("read_ref_name", "SELECT ordinal, name AS reference_name FROM reads LEFT JOIN refs ON reads.ref_id = refs.index", A.READS_SQL, A.REFS_SQL)
+def read_ref_name(spark, sf):
+    return profile.read_ref_name(A.reads(spark, sf), A.refs(spark, sf)).select("ordinal", "reference_name")
+
+
+def _aux(reads: DataFrame) -> DataFrame:
+    return reads.withColumn("aux", F.transform("tags", lambda t: F.struct(t.alias("tag"), F.lit("Z").alias("type"))))
+
+
+@query(
+    "check_tag",
+    """SELECT tag, CASE WHEN first IS NOT NULL THEN 'observed_present' WHEN n = 0 THEN 'indeterminate' WHEN n < 300 THEN 'absent_in_full_scan' ELSE 'not_found_in_examined_records' END AS result,
+    CASE WHEN first IS NOT NULL THEN first + 1 ELSE n END AS records_examined, CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END AS records_with_tag
+    FROM (SELECT t.tag, count(*) AS n, min(CASE WHEN contains(tag_text, t.tag) THEN ordinal END) AS first FROM reads, (VALUES ('MD'), ('ZZ')) AS t(tag) WHERE ordinal < 300 GROUP BY t.tag)""",
+    A.READS_SQL,
+)
+def check_tag(spark, sf):
+    reads = _aux(A.reads(spark, sf))
+    return profile.check_tag(reads, "MD", 300).unionByName(profile.check_tag(reads, "ZZ", 300))
+
+
+@query(
+    "unmap",
+    """SELECT ordinal, CASE WHEN flags & 1 <> 0 THEN ((flags | 4) & ~50) | 8 ELSE (flags | 4) & ~50 END AS flags, -1 AS ref_id, -1 AS pos, -1 AS next_ref_id, -1 AS next_pos, 0 AS tlen, 0 AS mapq, 0 AS n_cigar,
+    CASE tag_text WHEN 'NM' THEN 1 WHEN 'NM,MD' THEN 2 ELSE 3 END AS tags_removed FROM reads""",
+    A.READS_SQL,
+)
+def unmap(spark, sf):
+    done = rewrite.unmap(_aux(A.reads(spark, sf)))
+    return done.select("ordinal", "flags", "ref_id", "pos", "next_ref_id", "next_pos", "tlen", "mapq", "n_cigar", "tags_removed")
+
+
+@query(
+    "annotate_rg",
+    """SELECT ordinal, CASE WHEN rg IS NULL THEN 'inserted' WHEN rg = 'click' THEN 'matching' ELSE 'replaced' END AS action, 'click' AS rg FROM reads""",
+    A.READS_SQL,
+)
+def annotate_rg(spark, sf):
+    return rewrite.annotate_rg(A.reads(spark, sf), "click", "replace-existing").select("ordinal", "action", "rg")
+
+
+@query(
+    "annotate_rg_counts",
+    """SELECT count(*) AS records_examined, count(*) FILTER (WHERE rg IS NULL) AS records_inserted, count(*) FILTER (WHERE rg = 'click') AS records_matching, 0 AS records_replaced, 0 AS records_kept,
+    count(*) FILTER (WHERE rg <> 'click') AS records_conflict FROM reads""",
+    A.READS_SQL,
+)
+def annotate_rg_counts(spark, sf):
+    return rewrite.annotate_rg_counts(A.reads(spark, sf), "click")
+
+
+@query("refs_left_sq", "SELECT index, refs.name, refs.length, CASE WHEN sq.length <> refs.length THEN sq.length ELSE -1 END AS text_header_length FROM refs LEFT JOIN sq ON refs.name = sq.name", A.REFS_SQL, A.SQ_SQL)
+def refs_left_sq(spark, sf):
+    return rewrite.refs_left_sq(A.refs(spark, sf), A.sq(spark, sf)).fillna(-1, ["text_header_length"])
+
+
+@query("sq_anti_refs", "SELECT name, length FROM sq WHERE name NOT IN (SELECT name FROM refs)", A.REFS_SQL, A.SQ_SQL)
+def sq_anti_refs(spark, sf):
+    return rewrite.sq_anti_refs(A.sq(spark, sf), A.refs(spark, sf))
+
+
+@query("rg_undeclared", "SELECT DISTINCT rg AS id FROM reads WHERE rg IS NOT NULL AND rg NOT IN (SELECT id FROM groups)", A.READS_SQL, A.GROUPS_SQL)
+def rg_undeclared(spark, sf):
+    return rewrite.undeclared_read_groups(A.reads(spark, sf), A.groups(spark, sf))
+
+
+@query("pg_broken_parent", "SELECT id, previous_program_id FROM programs WHERE previous_program_id IS NOT NULL AND previous_program_id NOT IN (SELECT id FROM programs)", A.PROGRAMS_SQL)
+def pg_broken_parent(spark, sf):
+    return rewrite.broken_parents(A.programs(spark, sf))
+
+
+@query("pg_roots", "SELECT id FROM programs WHERE previous_program_id IS NULL OR previous_program_id NOT IN (SELECT id FROM programs)", A.PROGRAMS_SQL)
+def pg_roots(spark, sf):
+    return rewrite.program_roots(A.programs(spark, sf))
+
+
+@query("duplicate_ids", "SELECT id, count(*) AS n FROM programs GROUP BY id HAVING count(*) > 1", A.PROGRAMS_SQL)
+def duplicate_ids(spark, sf):
+    return rewrite.duplicate_ids(A.programs(spark, sf))
+
+
+@query("sample_platforms", "SELECT sample, string_agg(DISTINCT platform, ',' ORDER BY platform) AS platforms FROM groups GROUP BY sample HAVING count(DISTINCT platform) > 1", A.GROUPS_SQL)
+def sample_platforms(spark, sf):
+    return rewrite.sample_platforms(A.groups(spark, sf))
+
+
+@query("dict_equal", "SELECT refs.index, refs.name, refs.length, refs.name AS other_name, refs.length + 1 AS other_length FROM refs WHERE index % 6 = 0", A.REFS_SQL)
+def dict_equal(spark, sf):
+    refs = A.refs(spark, sf)
+    return rewrite.dictionary_differences(refs, refs.withColumn("length", F.expr("length + case when index % 6 = 0 then 1 else 0 end")))
+
+
+@query(
+    "check_sort_violations",
+    """SELECT min(CASE WHEN ordinal > 0 AND (p_u, p_ref, p_at, p_1, p_2, p_3, p_4, p_5, p_flags) > (u, ref, at_, f1, f2, f3, f4, f5, flags) THEN ordinal + 1 END) AS coordinate_violation,
+      min(CASE WHEN p_name > read_name THEN ordinal + 1 END) AS lexicographic_violation, count(*) AS scanned
+    FROM (SELECT *, lag(u) OVER w AS p_u, lag(ref) OVER w AS p_ref, lag(at_) OVER w AS p_at, lag(f1) OVER w AS p_1, lag(f2) OVER w AS p_2, lag(f3) OVER w AS p_3, lag(f4) OVER w AS p_4, lag(f5) OVER w AS p_5,
+        lag(flags) OVER w AS p_flags, lag(read_name) OVER w AS p_name
+      FROM (SELECT ordinal, read_name, flags, ref_id < 0 AS u, CASE WHEN ref_id < 0 THEN 2147483647 ELSE ref_id END AS ref, CASE WHEN ref_id < 0 THEN 2147483647 ELSE greatest(pos, 0) END AS at_,
+          flags & 16 <> 0 AS f1, flags & 256 <> 0 AS f2, flags & 2048 <> 0 AS f3, flags & 64 <> 0 AS f4, flags & 128 <> 0 AS f5 FROM reads WHERE ordinal < 5000)
+      WINDOW w AS (ORDER BY ordinal))""",
+    A.READS_SQL,
+)
+def check_sort_violations(spark, sf):
+    return order.sort_violations(A.reads(spark, sf), 5000).select("coordinate_violation", "lexicographic_violation", "scanned")
+
+
+@query("check_sort")
+def check_sort(spark, sf):
+    return order.check_sort(A.reads(spark, sf), 10000, "coordinate")
+
+
+SORT_COLUMNS = "ordinal, ref_id, pos, read_name, flags"
+
+
+@query(
+    "sort_coordinate",
+    f"SELECT {SORT_COLUMNS}, row_number() OVER (ORDER BY (ref_id < 0 OR flags & 4 <> 0), ref_id, pos, flags & 16 <> 0, read_name, flags, next_ref_id, next_pos, tlen, ordinal) AS place FROM reads",
+    A.READS_SQL,
+)
+def sort_coordinate(spark, sf):
+    from pyspark.sql.window import Window
+
+    reads = A.reads(spark, sf)
+    return reads.select(*SORT_COLUMNS.split(", "), F.row_number().over(Window.orderBy(*E.sort_key_coordinate())).cast("long").alias("place"))
+
+
+@query("sort_queryname", f"SELECT {SORT_COLUMNS} FROM reads ORDER BY read_name, ref_id, pos, flags, next_ref_id, next_pos, tlen, ordinal", A.READS_SQL)
+def sort_queryname(spark, sf):
+    return order.sort_reads(A.reads(spark, sf), "queryname").select(*SORT_COLUMNS.split(", "))
+
+
+SEGMENTS_SQL = """segments AS (SELECT segment, label, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal, count(*) AS records FROM (
+      SELECT *, sum(CASE WHEN before IS NULL OR before <> label THEN 1 ELSE 0 END) OVER (ORDER BY ordinal) AS segment FROM (
+        SELECT ordinal, coalesce(rg, '<missing>') AS label, lag(coalesce(rg, '<missing>')) OVER (ORDER BY ordinal) AS before FROM reads)) GROUP BY segment, label)"""
+
+
+@query("rg_segments", "SELECT CAST(segment AS bigint) AS segment, label, first_ordinal, last_ordinal, records FROM segments", A.READS_SQL, SEGMENTS_SQL)
+def rg_segments(spark, sf):
+    return order.segments(A.reads(spark, sf))
+
+
+REGIME_SQL = A.READS_SQL.replace(A.READ_COLUMNS["rg"], "case when event_id < (SELECT (min(event_id) + max(event_id)) / 2 FROM events) then 'rgA' else 'rgB' end")
+
+
+@query(
+    "rg_boundary",
+    """SELECT min_by(label, first_ordinal) AS first_label, max_by(label, first_ordinal) AS second_label, max(first_ordinal) AS boundary_ordinal FROM (
+      SELECT * FROM segments WHERE label <> '<missing>' AND records >= (SELECT greatest(count(*) // 10, 50) FROM reads) ORDER BY first_ordinal LIMIT 2)
+    HAVING count(*) = 2 AND min_by(label, first_ordinal) <> max_by(label, first_ordinal) AND (SELECT count(*) FROM reads) >= 100""",
+    REGIME_SQL,
+    SEGMENTS_SQL,
+)
+def rg_boundary(spark, sf):
+    events = A._table(spark, sf, "events")
+    middle = events.agg(((F.min("event_id") + F.max("event_id")) / 2).alias("middle"))
+    halves = A.with_ordinal(events.select("event_id"), "event_id").join(F.broadcast(middle)).selectExpr("ordinal", "case when event_id < middle then 'rgA' else 'rgB' end AS rg")
+    return order.rg_boundary(halves)
+
+
+@query(
+    "readname_regime_styles",
+    """SELECT edge, style, count(*) AS records FROM (SELECT edge, CASE WHEN length(read_name) - length(replace(read_name, ':', '')) >= 3 THEN 'colon_delimited' WHEN contains(read_name, ' ') THEN 'space_delimited'
+      WHEN contains(read_name, '/') THEN 'slash_delimited' WHEN regexp_full_match(read_name, '[0-9A-Fa-f]{1,12}(-[0-9A-Fa-f]{1,12}){4}') THEN 'uuid_like'
+      WHEN contains(read_name, '_') OR contains(read_name, '-') THEN 'underscore_or_dash' ELSE 'simple' END AS style
+      FROM (SELECT read_name, 'start' AS edge FROM reads WHERE ordinal < 256 UNION ALL SELECT read_name, 'end' AS edge FROM reads WHERE ordinal >= (SELECT count(*) FROM reads) - 256)) GROUP BY edge, style""",
+    A.READS_SQL,
+)
+def readname_regime_styles(spark, sf):
+    return order.edge_windows(A.reads(spark, sf)).groupBy("edge", E.name_style().alias("style")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("readname_regime")
+def readname_regime(spark, sf):
+    reads = A.reads(spark, sf)
+    last = reads.agg(F.max("ordinal").alias("last"))
+    shifted = reads.join(F.broadcast(last)).withColumn("read_name", F.when(F.col("ordinal") > F.col("last") / 2, F.concat(F.lit("run_"), F.col("ordinal").cast("string"))).otherwise(F.lit("a:b:c:d")))
+    return order.readname_regime(shifted.drop("last"))
+
+
+@query("tag_schema_shift")
+def tag_schema_shift(spark, sf):
+    reads = A.reads(spark, sf)
+    return order.tag_schema_shift(reads.withColumn("tags", F.when(F.col("ordinal") < 300, F.array(F.lit("NM"), F.lit("MD"), F.lit("AS"))).otherwise(F.array(F.lit("NM")))))
+
+
+IDENTITY_SQL = "read_name || chr(31) || sequence || chr(31) || coalesce(quality, '*')"
+
+
+@query(
+    "dup_summary",
+    f"""SELECT count(*) AS unique_identities, count(*) FILTER (WHERE n > 1) AS duplicate_identities, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS bigint) AS duplicate_records,
+    CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS bigint) AS duplicate_instances_beyond_first, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS double) / greatest(sum(n), 1) AS fraction_duplicate_records,
+    CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS double) / greatest(sum(n), 1) AS fraction_duplicate_instances_beyond_first FROM (SELECT count(*) AS n FROM copies GROUP BY {IDENTITY_SQL})""",
+    A.COPIES_SQL,
+)
+def dup_summary(spark, sf):
+    return duplicates.dup_summary(A.copies(spark, sf))
+
+
+@query(
+    "dup_examples",
+    f"""SELECT min_by(read_name, ordinal) AS read_name, count(*) AS records, min_by(CASE WHEN length(sequence) > 24 THEN substring(sequence, 1, 24) || '...' ELSE sequence END, ordinal) AS sequence_preview
+    FROM copies GROUP BY {IDENTITY_SQL} HAVING count(*) > 1 ORDER BY records DESC, read_name, sequence_preview LIMIT 3""",
+    A.COPIES_SQL,
+)
+def dup_examples(spark, sf):
+    return duplicates.dup_examples(A.copies(spark, sf))
+
+
+@query("block_self_join", "SELECT a.ordinal, coalesce(a.read_name = b.read_name AND a.sequence = b.sequence, false) AS equal FROM copies a LEFT JOIN copies b ON b.ordinal = a.ordinal + 3", A.COPIES_SQL)
+def block_self_join(spark, sf):
+    return duplicates.repeats_at(A.copies(spark, sf), 3)
+
+
+def _appended(spark, sf) -> DataFrame:
+    """The first 120 documents, then 60 and the same 60 again."""
+    copies = A.copies(spark, sf)
+    again = copies.where("ordinal >= 120 AND ordinal < 180").withColumn("ordinal", F.col("ordinal") + 60)
+    return copies.where("ordinal < 180").unionByName(again)
+
+
+APPENDED_SQL = "appended AS (SELECT ordinal, read_name, sequence FROM copies WHERE ordinal < 180 UNION ALL SELECT ordinal + 60 AS ordinal, read_name, sequence FROM copies WHERE ordinal >= 120 AND ordinal < 180)"
+
+
+@query("dedup_apply", "SELECT ordinal, read_name FROM appended WHERE ordinal < 180", A.COPIES_SQL, APPENDED_SQL)
+def dedup_apply(spark, sf):
+    return duplicates.deduplicate(_appended(spark, sf), min_block=60).select("ordinal", "read_name")
+
+
+@query("adjacent_blocks", "SELECT CAST(120 AS bigint) AS first, CAST(180 AS bigint) AS second, CAST(60 AS bigint) AS records")
+def adjacent_blocks(spark, sf):
+    return spark.createDataFrame(duplicates.adjacent_blocks(_appended(spark, sf), 60), "first long, second long, records long")
+
+
+@query("inspect_duplication")
+def inspect_duplication(spark, sf):
+    return duplicates.duplication_findings(A.copies(spark, sf))
+
+
+@query("merge_input", "SELECT ordinal, read_name, 0 AS file_no FROM reads UNION ALL SELECT ordinal + (SELECT count(*) FROM reads) AS ordinal, read_name, 1 AS file_no FROM reads", A.READS_SQL)
+def merge_input(spark, sf):
+    reads = A.reads(spark, sf)
+    return rewrite.merge([reads, reads]).select("ordinal", "read_name", "file_no")
+
+
+@query("merge_sorted", f"SELECT ordinal, ref_id, pos FROM (SELECT * FROM reads UNION ALL SELECT * REPLACE (ordinal + (SELECT count(*) FROM reads) AS ordinal) FROM reads)", A.READS_SQL)
+def merge_sorted(spark, sf):
+    reads = A.reads(spark, sf)
+    return rewrite.merge([reads, reads], "coordinate").select("ordinal", "ref_id", "pos")
+
+
+@query(
+    "consume_unmapped",
+    "SELECT ordinal, read_name, -1 AS ref_id, -1 AS pos, 0 AS mapq, 4 AS flags, 4680 AS bin, CAST(length(sequence) AS int) AS l_seq FROM copies",
+    A.COPIES_SQL,
+)
+def consume_unmapped(spark, sf):
+    fastq = A.copies(spark, sf).withColumn("source", F.lit("documents"))
+    return rewrite.fastq_to_unmapped(fastq).select("ordinal", "read_name", "ref_id", "pos", "mapq", "flags", "bin", "l_seq")
+
+
+@query("bam_to_fastq", "SELECT ordinal, '@' || read_name || chr(10) || sequence || chr(10) || '+' || chr(10) || repeat('!', length(sequence)) || chr(10) AS record FROM copies", A.COPIES_SQL)
+def bam_to_fastq(spark, sf):
+    return rewrite.to_fastq_text(A.copies(spark, sf))
+
+
+@query("reg2bin", "SELECT ordinal, CASE WHEN a >> 14 = z >> 14 THEN 4681 + (a >> 14) WHEN a >> 17 = z >> 17 THEN 585 + (a >> 17) WHEN a >> 20 = z >> 20 THEN 73 + (a >> 20) WHEN a >> 23 = z >> 23 THEN 9 + (a >> 23) WHEN a >> 26 = z >> 26 THEN 1 + (a >> 26) ELSE 0 END AS bin FROM (SELECT ordinal, greatest(pos, 0) * 4000 AS a, greatest(pos, 0) * 4000 + l_seq * l_seq * 10 - 1 AS z FROM reads)", A.READS_SQL)
+def reg2bin(spark, sf):
+    begin = F.greatest(F.col("pos"), F.lit(0)) * 4000
+    return A.reads(spark, sf).select("ordinal", E.reg2bin(begin, begin + F.col("l_seq") * F.col("l_seq") * 10).alias("bin"))
+
+
+RULES_SQL = " UNION ALL ".join(
+    f"SELECT '{severity}' AS severity, 'record' AS scope, '{code}' AS code, ordinal + 1 AS record_index FROM reads WHERE "
+    + ("regexp_matches(read_name, '[\\x00-\\x1f\\x7f]')" if "rlike" in condition else condition.replace("flags & 4 <> 0", "(flags & 4) <> 0"))
+    for code, severity, condition in validate.RECORD_RULES
+)
+
+
+@query("validate_records", RULES_SQL, A.READS_SQL)
+def validate_records(spark, sf):
+    return validate.record_findings(A.reads(spark, sf))
+
+
+@query("validate_aux", "SELECT 'warning' AS severity, 'aux' AS scope, 'duplicate_aux_tag' AS code, ordinal + 1 AS record_index FROM reads WHERE tag_text = 'NM,MD,NM'", A.READS_SQL)
+def validate_aux(spark, sf):
+    return validate.aux_findings(A.reads(spark, sf))
+
+
+@query(
+    "validate_header",
+    """SELECT 'warning' AS severity, 'header' AS scope, 'reference_length_mismatch' AS code, refs.name AS reference_name FROM refs JOIN sq ON refs.name = sq.name WHERE refs.length <> sq.length
+    UNION ALL SELECT 'warning', 'header', 'textual_sq_not_in_binary_dictionary', name FROM sq WHERE name NOT IN (SELECT name FROM refs)
+    UNION ALL SELECT 'warning', 'header', 'duplicate_program_id', id FROM programs GROUP BY id HAVING count(*) > 1
+    UNION ALL SELECT 'warning', 'header', 'duplicate_read_group_id', id FROM groups GROUP BY id HAVING count(*) > 1""",
+    A.REFS_SQL,
+    A.SQ_SQL,
+    A.GROUPS_SQL,
+    A.PROGRAMS_SQL,
+)
+def validate_header(spark, sf):
+    return validate.header_findings(A.refs(spark, sf), A.sq(spark, sf), A.groups(spark, sf), A.programs(spark, sf))
+
+
+@query("finding_rollup", f"SELECT severity, code, count(*) AS findings FROM ({RULES_SQL}) GROUP BY severity, code", A.READS_SQL)
+def finding_rollup(spark, sf):
+    return validate.finding_rollup(validate.record_findings(A.reads(spark, sf)))
+
+
+@query(
+    "validate_caps",
+    f"SELECT severity, code, record_index, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY severity ORDER BY record_index, code) AS int) AS rank FROM ({RULES_SQL})) WHERE rank <= 20",
+    A.READS_SQL,
+)
+def validate_caps(spark, sf):
+    return validate.capped(validate.record_findings(A.reads(spark, sf)), 20, 20).select("severity", "code", "record_index", "rank")
+
+
+@query("record_digest", "SELECT ordinal, sha256(octet_length(encode(a)) || ':' || a || '|' || octet_length(encode(read_name)) || ':' || read_name) AS digest FROM (SELECT *, concat_ws(',', ref_id, pos, mapq, flags, next_ref_id, next_pos, tlen) AS a FROM reads)", A.READS_SQL)
+def record_digest(spark, sf):
+    return A.reads(spark, sf).select("ordinal", checksum.record_digest().alias("digest"))
+
+
+@query("checksum_multiset")
+def checksum_multiset(spark, sf):
+    return checksum.checksum_multiset(A.reads(spark, sf))
+
+
+@query("checksum_canonical")
+def checksum_canonical(spark, sf):
+    reads = A.reads(spark, sf)
+    return spark.createDataFrame([("raw", checksum.checksum_in_order(reads)), ("canonical", checksum.checksum_canonical(reads))], "mode string, digest string")
+
+
+@query("subsample_random")
+def subsample_random(spark, sf):
+    return sample.subsample_random(A.reads(spark, sf), 0.25, 7, mapped_only=True).select("ordinal", "read_name")
+
+
+@query("subsample_hash")
+def subsample_hash(spark, sf):
+    return sample.subsample_hash(A.copies(spark, sf), 0.5, sample.fastq_identity("qname_seq")).select("ordinal", "read_name")
