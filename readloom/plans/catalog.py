@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import expr as E
-from readloom.operators import checksum, duplicates, order, profile, rewrite, sample, validate
+from readloom.operators import checksum, duplicates, forensic, order, profile, rewrite, sample, validate
 from readloom.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -481,3 +481,37 @@ def subsample_random(spark, sf):
 @query("subsample_hash")
 def subsample_hash(spark, sf):
     return sample.subsample_hash(A.copies(spark, sf), 0.5, sample.fastq_identity("qname_seq")).select("ordinal", "read_name")
+
+
+@query(
+    "forensic_header",
+    """SELECT 'header_anomaly' AS category, 'high' AS severity, 'Read group declared more than once: ' || id AS message FROM groups GROUP BY id HAVING count(*) > 1
+    UNION ALL SELECT 'header_anomaly', 'warning', 'Sample on several platforms: ' || sample || ' (' || string_agg(DISTINCT platform, ',' ORDER BY platform) || ')' FROM groups GROUP BY sample HAVING count(DISTINCT platform) > 1
+    UNION ALL SELECT 'program_chain_anomaly', 'high', 'Program declared more than once: ' || id FROM programs GROUP BY id HAVING count(*) > 1
+    UNION ALL SELECT 'program_chain_anomaly', 'warning', 'Parent of ' || id || ' isn''t declared: ' || previous_program_id FROM programs WHERE previous_program_id IS NOT NULL AND previous_program_id NOT IN (SELECT id FROM programs)
+    UNION ALL SELECT 'program_chain_anomaly', 'warning', 'Program chains are not connected; roots: ' || count(*) FROM programs WHERE previous_program_id IS NULL OR previous_program_id NOT IN (SELECT id FROM programs) HAVING count(*) > 1""",
+    A.GROUPS_SQL,
+    A.PROGRAMS_SQL,
+)
+def forensic_header(spark, sf):
+    found = forensic.forensic_findings(None, A.groups(spark, sf), A.programs(spark, sf), ("header", "pg"), max_findings=1000)
+    return found.select("category", "severity", "message")
+
+
+@query(
+    "forensic_read_groups",
+    """SELECT 'read_group_anomaly' AS category, 'high' AS severity, 'Records name an undeclared read group: ' || rg AS message FROM reads WHERE rg IS NOT NULL AND rg NOT IN (SELECT id FROM groups) GROUP BY rg
+    UNION ALL SELECT 'read_group_anomaly', 'warning', count(*) FILTER (WHERE rg IS NULL) || ' records have no read group while others do' FROM reads HAVING count(*) FILTER (WHERE rg IS NULL) >= 0.1 * count(*) AND count(rg) > 0""",
+    A.READS_SQL,
+    A.GROUPS_SQL,
+)
+def forensic_read_groups(spark, sf):
+    found = forensic.forensic_findings(A.reads(spark, sf), A.groups(spark, sf), A.programs(spark, sf), ("rg",))
+    return found.select("category", "severity", "message")
+
+
+@query("forensic_inspect")
+def forensic_inspect(spark, sf):
+    copies = A.copies(spark, sf).withColumn("rg", F.lit(None).cast("string")).withColumn("tags", F.array(F.lit("NM")))
+    found = forensic.forensic_findings(copies, A.groups(spark, sf), A.programs(spark, sf))
+    return forensic.assessment(found, full_scan=True, body=True)
