@@ -22,23 +22,25 @@ from .graph import connected_components
 from .kernels import U64, mix, ngrams, text_slices, unique_per_row, words
 
 UNIVERSE_BITS = 20
-#: Buckets of at most so many members are compared pair by pair, larger ones by way of a centre.
-PAIRWISE = 8
-MOST_LEVELS = 4
+#: Buckets of at most so many members are compared pair by pair, larger ones by way of a centre: of equal bands, and of (centre, difference), where most pairs fall to a bound first.
+PAIRWISE, PAIRWISE_LATER = 8, 256
+SKETCH_BITS = 20
+MOST_LEVELS = 3
 
 
 @dataclass(frozen=True)
 class NearOptions:
     """Shingle length in words; similarity as a percentage; bands of rows of signature coordinates.
 
-    With 40 bands of 5 rows a pair at 0.8 is missed with probability 1e-7, one at
-    0.85 with 7e-11.
+    With 60 bands of 7 rows a pair at 0.8 is missed with probability 7e-7; for 0.85,
+    48 bands of 8 rows miss one with 2e-7. Long bands keep texts that share a passage
+    only from meeting at all.
     """
 
     shingle: int = 5
     percent: int = 80
-    bands: int = 40
-    rows: int = 5
+    bands: int = 60
+    rows: int = 7
     seed: int = 11
 
     @property
@@ -66,9 +68,9 @@ def signature(shingles: np.ndarray, options: NearOptions) -> np.ndarray:
     """The circulant MinHash signature of a non-empty set of shingle hashes."""
     scatter, windows = permutations(options)
     start = scatter[(shingles >> U64(64 - UNIVERSE_BITS)).astype(np.int64)]
-    low = windows[start[:1024]].min(axis=0)
-    for at in range(1024, len(start), 1024):
-        np.minimum(low, windows[start[at : at + 1024]].min(axis=0), out=low)
+    low = windows[start[:512]].min(axis=0)
+    for at in range(512, len(start), 512):
+        np.minimum(low, windows[start[at : at + 512]].min(axis=0), out=low)
     return low
 
 
@@ -142,10 +144,36 @@ def _verifier(percent: int):
     return verify
 
 
-def _star_comparer(percent: int):
+def _count_blocks(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    for batch in arrow:
+        for shingles in batch.column("shingles"):
+            np.add.at(total, (np.frombuffer(shingles.as_buffer(), U64) >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
+    blocks = total.reshape(64, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "counts"])
+
+
+def _sum_blocks(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c.as_py(), np.int64) for c in table.column("counts"))
+    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """About how many sets hold a shingle, by its leading bits: a table of fixed size, summed on executors, that only orders keys."""
+    rows = sets.select("shingles").mapInArrow(_count_blocks, "block int, counts binary").groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary").collect()
+    out = np.zeros((64, (1 << SKETCH_BITS) // 64), np.int64)
+    for r in rows:
+        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.int32)
+
+
+def _star_comparer(percent: int, counts: np.ndarray):
     """Compare sets with their centres: whether they are linked, and keys for what sets in which they differ from it.
 
-    Of n elements, D differ; extra ones come before missing ones, each by hash. Let
+    Of n elements, D differ. They are put in an order that depends on the element
+    and the centre alone, those first that few others should differ in: extra ones
+    by how many sets hold them, missing ones by how many of the centre's sets lack
+    them, as far as ``counts`` tells. Let
     beta be (1 - t) / (1 + t), so that linked sets x, y differ in beta (n_x + n_y)
     elements at most. With any set that isn't linked to the centre, a set linked to
     it shares over (D + beta (missing - extra)) / 2 of its differences; with any set
@@ -158,19 +186,23 @@ def _star_comparer(percent: int):
 
     def compare(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
-            linked, halves, keys = [], [], []
+            linked, halves, keys, differ = [], [], [], []
             for x, y, centre, alone in zip(batch.column("left_set"), batch.column("right_set"), batch.column("b").to_pylist(), batch.column("met").to_pylist(), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 in_y = _compare(x, y)[0]
                 both = int(in_y.sum())
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                differ.append(len(x) + len(y) - 2 * both)
                 if alone == 1:
                     halves.append(0)
                     keys.append(np.empty(0, np.int64))
                     continue
                 salt = np.frombuffer(centre[:8], U64)
-                extra, missing = np.sort(mix(x[~in_y] + salt)), np.sort(mix(~y[~_compare(y, x)[0]] + salt))
-                change = np.concatenate([extra, missing])
+                extra, missing = x[~in_y], y[~_compare(y, x)[0]]
+                shift = U64(64 - SKETCH_BITS)
+                holders, lacking = counts[(extra >> shift).astype(np.int64)], np.maximum(alone - counts[(missing >> shift).astype(np.int64)], alone // 8)
+                change = mix(np.concatenate([extra, ~missing]) + salt)
+                change = change[np.lexsort((change, np.floor(np.log2(np.concatenate([holders, lacking]) + 1.0))))]
                 far = max(int(np.ceil(len(change) - beta * len(x) * (1 + 100 / percent) - 1e-6)), 1)
                 near = int(np.floor((len(change) + beta * (len(missing) - len(extra))) / 2 - 1e-6)) + 1
                 half = len(change) - max(far, near) + 1
@@ -180,7 +212,7 @@ def _star_comparer(percent: int):
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(halves, pa.int32()), lists], ["a", "b", "linked", "half", "keys"]
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(halves, pa.int32()), pa.array(differ, pa.int32()), lists], ["a", "b", "linked", "half", "differ", "keys"]
             )
 
     return compare
@@ -209,21 +241,23 @@ def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, per
     difference), as N (linked to the centre), F (not), and X (not, by differences
     that only an N of the bucket can share). Buckets inside one component or
     without a pair that counts are done, and in those of ``PAIRWISE`` members at
-    most, members of different components are compared pair by pair; so
+    most, members of different components are compared pair by pair, unless what
+    can still be shared is too little; so
     comparisons follow the number of members, also in a group of any number of near
     copies, and no link is lost. Buckets that are still large after ``MOST_LEVELS``
     such divisions are compared pair by pair too.
     """
     links: list[DataFrame] = []
+    counts: np.ndarray | None = None
     roots: DataFrame | None = None
     level = 0
     kinds = [F.count_if(F.col("kind") == k).alias(n) for k, n in (("F", "far"), ("N", "near"), ("X", "only"))]
     while True:
         name = f"level-{level}"
         if roots is not None:
-            members = members.join(roots.hint("merge"), "node", "left").select("bucket", "node", "kind", F.coalesce("root", "node").alias("root"))
+            members = members.join(roots.hint("merge"), "node", "left").select("bucket", "node", "kind", "left", "differ", F.coalesce("root", "node").alias("root"))
         else:
-            members = members.select("bucket", "node", F.lit("F").alias("kind"), F.col("node").alias("root"))
+            members = members.select("bucket", "node", F.lit("F").alias("kind"), F.lit(0).alias("left"), F.lit(0).alias("differ"), F.col("node").alias("root"))
         members = scratch.table(members, f"{name}-placed")
         buckets = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"), *kinds)
         buckets = buckets.where("low <> high AND (far > 0 AND far + near > 1 OR only > 0 AND near > 0)")
@@ -232,15 +266,18 @@ def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, per
         if not rows:
             return roots
         open_ = scratch.table(join_groups(members, buckets, ["bucket"], "members", int(rows)), f"{name}-open")
-        few = open_ if level >= MOST_LEVELS else open_.where(F.col("members") <= PAIRWISE)
-        one = few.join(sizes.hint("merge"), "node").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("kind").alias("kind_a"))
-        two = one.select("bucket", F.col("a").alias("b"), F.col("root_a").alias("root_b"), F.col("n_a").alias("n_b"), F.col("kind_a").alias("kind_b"))
+        most = PAIRWISE_LATER if level else PAIRWISE
+        few = open_ if level >= MOST_LEVELS else open_.where(F.col("members") <= most)
+        one = few.join(sizes.hint("merge"), "node").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("kind").alias("kind_a"), F.col("left").alias("left_a"), F.col("differ").alias("differ_a"))
+        two = one.select("bucket", F.col("a").alias("b"), F.col("root_a").alias("root_b"), F.col("n_a").alias("n_b"), F.col("kind_a").alias("kind_b"), F.col("left_a").alias("left_b"), F.col("differ_a").alias("differ_b"))
         fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-        cross = one.join(two.hint("merge"), "bucket").where("root_a < root_b").where(fits).where("concat(kind_a, kind_b) IN ('FF', 'FN', 'NF', 'XN', 'NX')").select("a", "b").distinct()
+        # a bucket of the first difference in common: no more can be shared than what is left from there on
+        shared = f"2 * least(left_a, left_b) >= differ_a + differ_b - {(100 - percent) / (100 + percent)!r}D * (n_a + n_b) - 1e-6" if level else "true"
+        cross = one.join(two.hint("merge"), "bucket").where("root_a < root_b").where(fits).where(shared).where("concat(kind_a, kind_b) IN ('FF', 'FN', 'NF', 'XN', 'NX')").select("a", "b").distinct()
         links.append(scratch.table(_with_sets(cross, sets).mapInArrow(_verifier(percent), "a binary, b binary"), f"{name}-links"))
-        if largest <= PAIRWISE or level >= MOST_LEVELS:
+        if largest <= most or level >= MOST_LEVELS:
             return _roots(links, scratch, name)
-        open_ = open_.where(F.col("members") > PAIRWISE)
+        open_ = open_.where(F.col("members") > most)
         fame = open_.groupBy("node").agg(F.sum("members").alias("fame"))
         famous = open_.select("bucket", "node").join(fame.hint("merge"), "node")
         centres = scratch.table(famous.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("best"), F.count(F.lit(1)).alias("members")), f"{name}-centres")
@@ -249,12 +286,13 @@ def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, per
         stars = scratch.table(stars, f"{name}-stars")
         met = scratch.table(stars.groupBy("b").agg(F.count(F.lit(1)).alias("met")), f"{name}-met")
         stars = join_groups(stars, met, ["b"], "met", int(rows))
-        compared = _with_sets(stars, sets).mapInArrow(_star_comparer(percent), "a binary, b binary, linked boolean, half int, keys array<long>")
+        counts = shingle_counts(sets) if counts is None else counts
+        compared = _with_sets(stars, sets).mapInArrow(_star_comparer(percent, counts), "a binary, b binary, linked boolean, half int, differ int, keys array<long>")
         compared = scratch.table(compared, f"{name}-compared")
         links.append(compared.where("linked").select("a", "b"))
         roots = _roots(links, scratch, name)
-        spread = compared.select("a", "linked", "half", F.posexplode("keys").alias("at", "bucket"))
-        members = spread.select("bucket", F.col("a").alias("node"), F.when(F.col("linked"), "N").when(F.col("at") < F.col("half"), "F").otherwise("X").alias("kind"))
+        spread = compared.select("a", "linked", "half", "differ", F.posexplode("keys").alias("at", "bucket"))
+        members = spread.select("bucket", F.col("a").alias("node"), F.when(F.col("linked"), "N").when(F.col("at") < F.col("half"), "F").otherwise("X").alias("kind"), (F.col("differ") - F.col("at")).alias("left"), "differ")
         level += 1
 
 

@@ -32,7 +32,7 @@ def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(load(spark, sf_dir, "documents"), NearOptions(shingle=3, percent=85))
+    return near_duplicates(load(spark, sf_dir, "documents"), NearOptions(shingle=3, percent=85, bands=48, rows=8))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
