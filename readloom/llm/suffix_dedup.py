@@ -30,6 +30,8 @@ from .kernels import _BASE, U64, _power_tables, mix, text_slices
 ANCHOR = 96
 #: Longer texts are indexed in overlapping pieces of so many window starts.
 PIECE = 1 << 22
+#: Runs that a task compares for one anchor; windows of commoner anchors are compared by their own hashes, as rows.
+MOST_RUNS = 4096
 _POSITION = U64((1 << 24) - 1)
 
 _ENTRIES = "key long, batch int, entry binary, first int, run int, lead int"
@@ -175,8 +177,9 @@ def _fetcher(length: int):
                         pa.array([p["entry"] for p in places], pa.binary()),
                         pa.array([p["lead"] for p in places], pa.int32()),
                         pa.array([text[p["first"] : p["first"] + p["run"] + length] for p in places], pa.binary()),
+                        pa.array([p["common"] for p in places], pa.bool_()),
                     ],
-                    ["entry", "lead", "bytes"],
+                    ["entry", "lead", "bytes", "common"],
                 )
 
     return fetch
@@ -190,12 +193,44 @@ def _spans(flags: np.ndarray) -> bytes:
     return pairs.astype("<i4").tobytes()
 
 
+def _window_keys(raw: bytes, lead: int, length: int) -> np.ndarray:
+    """A hash of each window of a run and of where its anchor is."""
+    rolled = _rolling(np.frombuffer(raw, np.uint8), length)
+    return mix(rolled + (lead - np.arange(len(rolled))).astype(U64) * U64(_BASE))
+
+
+def _window_rows(length: int):
+    def rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            for entry, lead, raw in zip(batch.column("entry").to_pylist(), batch.column("lead").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                keys = _window_keys(raw, lead, length)
+                head = np.frombuffer(entry[:8], U64)
+                yield pa.RecordBatch.from_arrays([pa.array([entry] * len(keys), pa.binary()), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(mix(keys ^ head).view(np.int64))], ["entry", "spot", "window"])
+
+    return rows
+
+
+def _spot_spans(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrow:
+        spans = []
+        for spots in batch.column("spots").to_pylist():
+            flags = np.zeros(max(spots) + 1, bool)
+            flags[spots] = True
+            spans.append(_spans(flags))
+        yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.array(spans, pa.binary())], ["entry", "spans"])
+
+
+def _common_anchors(variants: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """Spans of repeated windows in runs of very common anchors: windows are counted before the shuffle, and hot ones meet their counts by broadcast."""
+    windows = scratch.table(variants.mapInArrow(_window_rows(length), "entry binary, spot int, window long"), "windows")
+    counts = scratch.table(windows.groupBy("window").agg(F.count_distinct("entry").alias("runs"), F.count(F.lit(1)).alias("rows")).where("runs > 1").drop("runs"), "window-counts")
+    hits = join_groups(windows, counts, ["window"], "rows", windows.count())
+    return hits.groupBy("entry").agg(F.collect_set("spot").alias("spots")).mapInArrow(_spot_spans, "entry binary, spans binary")
+
+
 def _resolver(length: int):
     def resolve_group(group: list[tuple[bytes, int, bytes]]) -> list[tuple[bytes, bytes]]:
-        keys = []
-        for _, lead, raw in group:
-            rolled = _rolling(np.frombuffer(raw, np.uint8), length)
-            keys.append(mix(rolled + (lead - np.arange(len(rolled))).astype(U64) * U64(_BASE)))
+        keys = [_window_keys(raw, lead, length) for _, lead, raw in group]
         _, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         repeated = counts[inverse] > 1
         out, at = [], 0
@@ -277,7 +312,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, anchor: int = ANCHOR, bat
 
     Entries found twice mark their whole run. Where an anchor has different runs,
     one occurrence of each is read again and the runs' windows are compared by
-    hash; the marks then go to all occurrences.
+    hash, in one task for up to ``MOST_RUNS`` runs, as counted rows beyond; the
+    marks then go to all occurrences.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -289,11 +325,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, anchor: int = ANCHOR, bat
         index.add(entries.where(F.col("batch") == b))
     suffixes = index.merged()
 
-    several = scratch.table(suffixes.join(index.heads().hint("merge"), F.substring("entry", 1, 8) == F.col("head")).select("entry", "place", "times"), "several")
-    wanted = several.groupBy("place.key").agg(F.collect_list(F.struct("entry", "place.first", "place.run", "place.lead")).alias("places"))
-    variants = texts.join(wanted.hint("merge"), "key").select("text", "places").mapInArrow(_fetcher(length), "entry binary, lead int, bytes binary")
-    variants = variants.withColumn("head", F.substring("entry", 1, 8)).repartition("head").sortWithinPartitions("entry").drop("head")
-    partly = scratch.table(variants.mapInArrow(_resolver(length), "entry binary, spans binary"), "partly")
+    several = suffixes.join(index.heads().hint("merge"), F.substring("entry", 1, 8) == F.col("head")).select("head", "entry", "place")
+    several = scratch.table(several, "several")
+    heads = scratch.table(several.groupBy("head").agg(F.count(F.lit(1)).alias("runs")), "heads")
+    asked = join_groups(several, heads, ["head"], "runs", several.count()).withColumn("common", F.col("runs") > MOST_RUNS)
+    wanted = asked.groupBy("place.key").agg(F.collect_list(F.struct("entry", "place.first", "place.run", "place.lead", "common")).alias("places"))
+    variants = texts.join(wanted.hint("merge"), "key").select("text", "places")
+    variants = scratch.table(variants.mapInArrow(_fetcher(length), "entry binary, lead int, bytes binary, common boolean"), "variants")
+    rare = variants.where("NOT common").drop("common").withColumn("head", F.substring("entry", 1, 8)).repartition("head").sortWithinPartitions("entry").drop("head")
+    partly = rare.mapInArrow(_resolver(length), "entry binary, spans binary")
+    partly = scratch.table(partly.unionByName(_common_anchors(variants.where("common").drop("common"), length, scratch)), "partly")
 
     whole = suffixes.where("times > 1").select("entry", "times", F.lit(None).cast("binary").alias("spans"))
     rest = partly.join(suffixes.where("times = 1").select("entry", "times").hint("merge"), "entry").select("entry", "times", "spans")
