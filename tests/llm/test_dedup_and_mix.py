@@ -67,7 +67,9 @@ def repeats(rows, length):
     return sorted(out, key=repr)
 
 
-def test_repeated_strings(spark):
+@pytest.mark.parametrize("most", [4096, 2])
+def test_repeated_strings(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST_RUNS", most)
     rng = random.Random(5)
     noise = lambda n: "".join(rng.choice("abcdefghij é\n") for _ in range(n))
     passage, line = noise(150), "the same line over and over again\n"
