@@ -92,8 +92,8 @@ def same_multiset(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def fastq_to_unmapped(fastq: DataFrame, read_group: str | None = None) -> DataFrame:
-    """Raw reads as unmapped records. A quality of ``*`` or none is missing; sequence and quality must be of one length."""
+def fastq_to_unmapped(fastq: DataFrame, read_group: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw reads as unmapped records, with further columns to keep. A quality of ``*`` or none is missing; sequence and quality must be of one length."""
     missing = F.col("quality").isNull() | (F.col("quality") == "*")
     return fastq.select(
         "source",
@@ -108,6 +108,7 @@ def fastq_to_unmapped(fastq: DataFrame, read_group: str | None = None) -> DataFr
         F.upper("sequence").alias("sequence"),
         F.when(~missing, F.col("quality")).alias("quality"),
         F.lit(read_group).cast("string").alias("rg"),
+        *keep,
     )
 
 

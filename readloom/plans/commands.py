@@ -306,7 +306,7 @@ def consume(spark, path, inputs: tuple[str, ...] = (), out: str = "", mode: str
     lines: list = [("HD", [("VN", "1.6"), ("SO", sort_by or "unsorted")])]
     if read_group or sample_name or platform:
         lines.append(("RG", [("ID", read_group or "rg1"), *([("SM", sample_name)] if sample_name else []), *([("PL", platform)] if platform else [])]))
-    encoded = rewrite.fastq_to_unmapped(rows).withColumns({"next_ref_id": F.lit(-1), "next_pos": F.lit(-1), "tlen": F.lit(0), "n_cigar": F.lit(0), "block_size": F.lit(0)}).mapInArrow(_encode_unmapped(read_group), bam.S.READS)
+    encoded = rewrite.fastq_to_unmapped(rows, keep=("raw_header",)).withColumns({"next_ref_id": F.lit(-1), "next_pos": F.lit(-1), "tlen": F.lit(0), "n_cigar": F.lit(0), "block_size": F.lit(0)}).mapInArrow(_encode_unmapped(read_group), bam.S.READS)
     ordered = encoded.orderBy("read_name", "ordinal") if sort_by == "queryname" else encoded.orderBy("ordinal")
     return {"records": _write(spark, ordered, Header(lines), out, force)}
 
@@ -318,12 +318,13 @@ def _encode_unmapped(read_group: str | None):
         import pyarrow as pa
 
         from readloom.functions.kernels import encode_bases, encode_quality
+        from readloom.functions.modifications import aux_of_header
 
-        aux = b"RGZ" + read_group.encode() + b"\0" if read_group else b""
+        group = b"RGZ" + read_group.encode() + b"\0" if read_group else b""
         for batch in arrow:
             rows = batch.to_pylist()
             for r in rows:
-                r |= {"seq_packed": encode_bases(r["sequence"]), "qual": encode_quality(r["quality"], r["l_seq"]), "cigar": b"", "aux_bytes": aux}
+                r |= {"seq_packed": encode_bases(r["sequence"]), "qual": encode_quality(r["quality"], r["l_seq"]), "cigar": b"", "aux_bytes": aux_of_header(r["raw_header"], r["l_seq"]) + group}
             yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], schema=bam._ARROW)
 
     return encode
@@ -391,7 +392,19 @@ def reheader(spark, path, out: str = "", in_place: bool = False, dry_run: bool =
 def to_fastq(spark, path, out: str | None = None, force: bool = False):
     reads = bam.decoded(_bam(spark, path)).withColumn("quality", F.when(F.col("quality") != "*", F.col("quality")))
     target = out or f"{path}.fastq.gz"
-    fastq.write_fastq(rewrite.to_fastq_text(reads), target, force)
+
+    def rename(arrow):
+        import pyarrow as pa
+
+        from readloom.functions.modifications import header_words
+
+        for batch in arrow:
+            names = [" ".join([n, *header_words(a)]) for n, a in zip(batch.column("read_name").to_pylist(), batch.column("aux_bytes").to_pylist(), strict=True)]
+            columns = [batch.column("ordinal"), pa.array(names), batch.column("sequence"), batch.column("quality")]
+            yield pa.RecordBatch.from_arrays(columns, ["ordinal", "read_name", "sequence", "quality"])
+
+    text = reads.select("ordinal", "read_name", "sequence", "quality", "aux_bytes").mapInArrow(rename, "ordinal long, read_name string, sequence string, quality string")
+    fastq.write_fastq(rewrite.to_fastq_text(text), target, force)
     return {"records": reads.count(), "output": target}
 
 

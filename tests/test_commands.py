@@ -103,6 +103,20 @@ def test_merge_and_consume(spark, made):
     assert open(back).read() == open(fq).read()
 
 
+def test_modification_tags_ride_in_read_headers(spark, made):
+    base, _, _ = made
+    source, out, back = str(base / "meth.fastq"), str(base / "meth.bam"), str(base / "meth.back.fastq")
+    text = "@m1 MM:Z:C+m,1,0; ML:B:C,42,7 MN:i:6\nACGTAC\n+\nIIIIII\n@m2\nAC\n+\nII\n"
+    open(source, "w").write(text)
+    ok(spark, "consume", source, out=out, mode="unmapped")
+    assert bam.decoded(spark.read.format("bam").load(out)).where("read_name = 'm1'").first().tags == ["MM", "ML", "MN"]
+    ok(spark, "fastq", out, out=back)
+    assert open(back).read() == text
+    open(source, "w").write(text.replace("MN:i:6", "MN:i:7"))
+    with pytest.raises(Exception, match="invalid_fastq"):
+        COMMANDS["consume"](spark, source, out=out, mode="unmapped", force=True)
+
+
 def test_rewrites(spark, made):
     base, paths, _ = made
     out = str(base / "unmapped.bam")
