@@ -515,3 +515,64 @@ def forensic_inspect(spark, sf):
     copies = A.copies(spark, sf).withColumn("rg", F.lit(None).cast("string")).withColumn("tags", F.array(F.lit("NM")))
     found = forensic.forensic_findings(copies, A.groups(spark, sf), A.programs(spark, sf))
     return forensic.assessment(found, full_scan=True, body=True)
+
+
+@query("exclude_tags", "SELECT ordinal, CASE tag_text WHEN 'NM' THEN '' ELSE 'MD' END AS left_tags FROM reads", A.READS_SQL)
+def exclude_tags(spark, sf):
+    left = rewrite.exclude_tags(F.col("aux"), ("NM",))
+    return _aux(A.reads(spark, sf)).select("ordinal", F.array_join(F.transform(left, lambda a: a["tag"]), ",").alias("left_tags"))
+
+
+@query(
+    "identity_modes",
+    f"""SELECT ordinal, read_name || chr(31) || sequence AS qname_seq, {IDENTITY_SQL} AS qname_seq_qual, {IDENTITY_SQL} || chr(31) AS qname_seq_qual_rg,
+    CASE WHEN length(sequence) > 24 THEN substring(sequence, 1, 24) || '...' ELSE sequence END AS preview FROM copies""",
+    A.COPIES_SQL,
+)
+def identity_modes(spark, sf):
+    copies = A.copies(spark, sf).withColumn("rg", F.lit(None).cast("string"))
+    return copies.select("ordinal", *[E.identity(m).alias(m) for m in ("qname_seq", "qname_seq_qual", "qname_seq_qual_rg")], E.preview("sequence").alias("preview"))
+
+
+@query("cigar_span", "SELECT ordinal, CAST(l_seq + 2 * n_cigar + 7 AS bigint) AS span FROM reads", A.READS_SQL)
+def cigar_span(spark, sf):
+    made = F.concat(F.lit("5S"), F.col("l_seq").cast("string"), F.lit("M3I"), (2 * F.col("n_cigar")).cast("string"), F.lit("D7N4H"))
+    return A.reads(spark, sf).withColumn("cigar_text", made).select("ordinal", E.cigar_span("cigar_text").alias("span"))
+
+
+@query("sam_rname", "SELECT ordinal, CAST(coalesce(refs.index, -1) AS int) AS ref_id FROM (SELECT ordinal, CASE WHEN ref_id < 0 THEN '*' ELSE 'NATION_' || ref_id END AS rname FROM reads) LEFT JOIN refs ON rname = refs.name", A.READS_SQL, A.REFS_SQL)
+def sam_rname(spark, sf):
+    named = A.reads(spark, sf).select("ordinal", F.when(F.col("ref_id") < 0, "*").otherwise(F.concat(F.lit("NATION_"), F.col("ref_id").cast("string"))).alias("name"))
+    return named.join(A.refs(spark, sf).select("name", "index"), "name", "left").select("ordinal", F.coalesce("index", F.lit(-1)).alias("ref_id"))
+
+
+@query("consume_alignment", "SELECT ordinal, read_name, ref_id FROM reads UNION ALL SELECT ordinal + (SELECT count(*) FROM reads), read_name, ref_id FROM reads", A.READS_SQL)
+def consume_alignment(spark, sf):
+    refs = A.refs(spark, sf)
+    reads = A.reads(spark, sf)
+    if not rewrite.dictionary_differences(refs, refs).isEmpty():
+        raise ValueError("incompatible references")
+    return rewrite.merge([reads, reads]).select("ordinal", "read_name", "ref_id")
+
+
+@query("multiset_equality", "SELECT true AS sorted_equals, false AS bounded_equals")
+def multiset_equality(spark, sf):
+    reads = A.reads(spark, sf).select("ordinal", "read_name", "ref_id", "pos", "flags", "next_ref_id", "next_pos", "tlen")
+    same = rewrite.same_multiset(reads, order.sort_reads(reads, "queryname"))
+    return spark.createDataFrame([(same, rewrite.same_multiset(reads, profile.bounded(reads, 100)))], "sorted_equals boolean, bounded_equals boolean")
+
+
+@query("finding_order", "SELECT 'header_anomaly' AS category, 'high' AS severity, id AS message FROM (SELECT 'Read group declared more than once: ' || id AS id FROM groups GROUP BY id HAVING count(*) > 1) ORDER BY message LIMIT 1", A.GROUPS_SQL)
+def finding_order(spark, sf):
+    found = forensic.forensic_findings(None, A.groups(spark, sf), A.programs(spark, sf), ("header",), max_findings=1)
+    return found.select("category", "severity", "message")
+
+
+@query("validity", f"SELECT count(*) AS records_examined, (SELECT count(*) FROM ({RULES_SQL}) WHERE severity = 'error') AS errors, (SELECT count(*) FROM ({RULES_SQL}) WHERE severity = 'warning') AS warnings, false AS valid FROM reads", A.READS_SQL)
+def validity(spark, sf):
+    return validate.validity(A.reads(spark, sf))
+
+
+@query("validity_fail_fast", f"SELECT count(*) AS records_examined FROM reads WHERE ordinal < (SELECT min(record_index) FROM ({RULES_SQL}) WHERE severity = 'error')", A.READS_SQL)
+def validity_fail_fast(spark, sf):
+    return validate.validity(A.reads(spark, sf), fail_fast=True).select("records_examined")

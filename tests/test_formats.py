@@ -200,3 +200,24 @@ def test_kernels():
         K.decode_quality(b"\xff\x01")
     with pytest.raises(ValueError):
         K.walk_aux(b"NMi\1")
+
+
+def test_cram_reference_policies(tmp_path):
+    from readloom.sources import cram
+
+    path, fasta = str(tmp_path / "a.cram"), str(tmp_path / "r.fa")
+    open(path, "wb").write(b"CRAM\3\0")
+    open(fasta, "w").write(">a\nA\n")
+    for options, code in (
+        ({}, "missing_reference"),
+        ({"reference": fasta}, "missing_reference_index"),
+        ({"policy": "allow-cache"}, "unimplemented"),
+        ({"policy": "any"}, "invalid_argument"),
+        ({"policy": "allow-embedded"}, "unimplemented"),
+    ):
+        with pytest.raises(ReadloomError) as e:
+            cram.read_cram(path, **options)
+        assert e.value.code == code
+    open(fasta + ".fai", "w").write("a\t1\t3\t1\t2\n")
+    assert cram.resolve_reference(path, fasta).fasta == fasta
+    assert cram.resolve_reference(path, policy="auto-conservative").fasta is None
