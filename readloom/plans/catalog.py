@@ -150,7 +150,7 @@ def _aux(reads: DataFrame) -> DataFrame:
 @query(
     "check_tag",
     """SELECT tag, CASE WHEN first IS NOT NULL THEN 'observed_present' WHEN n = 0 THEN 'indeterminate' WHEN n < 300 THEN 'absent_in_full_scan' ELSE 'not_found_in_examined_records' END AS result,
-    CASE WHEN first IS NOT NULL THEN first + 1 ELSE n END AS records_examined, CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END AS records_with_tag
+    CASE WHEN first IS NOT NULL THEN first + 1 ELSE n END AS records_examined, CAST(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END AS bigint) AS records_with_tag
     FROM (SELECT t.tag, count(*) AS n, min(CASE WHEN contains(tag_text, t.tag) THEN ordinal END) AS first FROM reads, (VALUES ('MD'), ('ZZ')) AS t(tag) WHERE ordinal < 300 GROUP BY t.tag)""",
     A.READS_SQL,
 )
@@ -181,7 +181,7 @@ def annotate_rg(spark, sf):
 
 @query(
     "annotate_rg_counts",
-    """SELECT count(*) AS records_examined, count(*) FILTER (WHERE rg IS NULL) AS records_inserted, count(*) FILTER (WHERE rg = 'click') AS records_matching, 0 AS records_replaced, 0 AS records_kept,
+    """SELECT count(*) AS records_examined, count(*) FILTER (WHERE rg IS NULL) AS records_inserted, count(*) FILTER (WHERE rg = 'click') AS records_matching, CAST(0 AS bigint) AS records_replaced, CAST(0 AS bigint) AS records_kept,
     count(*) FILTER (WHERE rg <> 'click') AS records_conflict FROM reads""",
     A.READS_SQL,
 )
