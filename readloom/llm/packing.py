@@ -3,8 +3,8 @@
 Lengths are counted in a histogram of at most ``capacity`` entries. Patterns of up to
 four length classes that fill a sequence are enumerated, and repeat counts fitted to
 the class counts by non-negative least squares (active set, so few patterns are in
-use). Counts are rounded down; what they leave over is packed best fit, longest
-first, into the gaps of planned sequences and then into new ones. The plan is a list
+use). Counts are rounded down, and patterns filled with lengths that sum to the
+capacity exactly; what is left over is packed best fit, longest first. The plan is a list
 of (lengths, times) whose size depends on the capacity and not on the number of
 documents; each piece finds its place in it by its rank among pieces of its length.
 """
@@ -95,32 +95,42 @@ def plan_packing(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int,
     planned: list[tuple[tuple[int, ...], int]] = []
     for j in np.flatnonzero(repeats):
         times = int(repeats[j])
-        while times > 0:
-            chosen: list[int] = []
-            room, need = capacity, defaultdict(int)
-            for k, c in enumerate(patterns[j]):
-                high = room if k == len(patterns[j]) - 1 else c * width
-                span = left[(c - 1) * width + 1 : min(high, capacity) + 1].copy()
-                for length, n in need.items():
-                    if (c - 1) * width + 1 <= length <= high:
-                        span[length - (c - 1) * width - 1] -= n
-                fits = np.flatnonzero(span > 0)
-                if not len(fits):
-                    break
-                length = int(fits[-1]) + (c - 1) * width + 1
-                chosen.append(length)
-                need[length] += 1
-                room -= length
-            if len(chosen) < len(patterns[j]):
-                break
+        while times > 0 and (chosen := _exact_instance(left, patterns[j], width, capacity)):
+            need = {length: chosen.count(length) for length in chosen}
             many = min([times, *(int(left[length]) // n for length, n in need.items())])
             for length, n in need.items():
                 left[length] -= n * many
-            planned.append((tuple(chosen), many))
+            planned.append((chosen, many))
             times -= many
     return best_fit(left, capacity, planned)
 
 
+def _exact_instance(left: np.ndarray, pattern: tuple[int, ...], width: int, capacity: int) -> tuple[int, ...] | None:
+    """Lengths that are there, one from each class of the pattern, that fill a sequence to the last place; the last may be of a higher class, as lengths below their class's end leave room."""
+    chosen: list[int] = []
+    spare = left.copy()
+    room = capacity
+    for c in pattern[:-2]:
+        fits = np.flatnonzero(spare[(c - 1) * width + 1 : c * width + 1])
+        if not len(fits):
+            return None
+        length = int(fits[-1]) + (c - 1) * width + 1
+        chosen.append(length)
+        spare[length] -= 1
+        room -= length
+    if len(pattern) == 1:
+        return (room,) if spare[room] > 0 else None
+    low, least = (pattern[-2] - 1) * width + 1, (pattern[-1] - 1) * width + 1
+    first = np.arange(low, min(pattern[-2] * width, room - least) + 1)
+    if not len(first):
+        return None
+    second = room - first
+    both = np.minimum(spare[first], spare[second])
+    both[first == second] //= 2
+    best = int(np.argmax(both))
+    return (*chosen, int(first[best]), int(second[best])) if both[best] > 0 else None
+
+
 def best_fit(left: np.ndarray, capacity: int, planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
     """Add pieces, longest first, where they leave the smallest gap; whole runs of equal pieces and equal sequences at a time."""
     open_: dict[int, list[list]] = defaultdict(list)
