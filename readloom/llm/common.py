@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 
+#: Rows that pass to Python at a time while tables are written; texts may be long.
+BATCH_ROWS = 2000
+
 _local_root: str | None = None
 
 
@@ -56,7 +59,13 @@ class Scratch:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(name))
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(BATCH_ROWS))
+        try:
+            writer.parquet(self.path(name))
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

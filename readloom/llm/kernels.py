@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,15 @@ _LOWER[65:91] += 32
 #: Texts are worked off in slices of about so many bytes, which bounds memory whatever the batch holds.
 SLICE_BYTES = 1 << 20
 
+
+
+def release() -> None:
+    """Give memory that earlier tasks of this worker freed back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _powers = {"p": np.ones(1, U64), "i": np.ones(1, U64)}
 
 

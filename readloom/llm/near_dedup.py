@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, join_groups
 from .graph import connected_components
-from .kernels import U64, mix, ngrams, text_slices, unique_per_row, words
+from .kernels import U64, mix, ngrams, release, text_slices, unique_per_row, words
 
 UNIVERSE_BITS = 20
 #: Buckets of at most so many members are compared pair by pair, larger ones by way of a centre: of equal bands, and of (centre, difference), where most pairs fall to a bound first.
 PAIRWISE, PAIRWISE_LATER = 8, 256
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 MOST_LEVELS = 3
 
 
@@ -32,15 +32,15 @@ MOST_LEVELS = 3
 class NearOptions:
     """Shingle length in words; similarity as a percentage; bands of rows of signature coordinates.
 
-    With 60 bands of 7 rows a pair at 0.8 is missed with probability 7e-7; for 0.85,
+    With 45 bands of 6 rows a pair at 0.8 is missed with probability 1e-6; for 0.85,
     48 bands of 8 rows miss one with 2e-7. Long bands keep texts that share a passage
     only from meeting at all.
     """
 
     shingle: int = 5
     percent: int = 80
-    bands: int = 60
-    rows: int = 7
+    bands: int = 45
+    rows: int = 6
     seed: int = 11
 
     @property
@@ -92,6 +92,7 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np
 
 def _signer(options: NearOptions):
     def sign(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in arrow:
             doc_ids = batch.column("doc_id")
             for first, sets, bounds in shingle_sets(batch.column("text"), options.shingle):
@@ -116,6 +117,7 @@ def _signer(options: NearOptions):
 
 def _set_maker(n: int):
     def make(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in arrow:
             for first, sets, bounds in shingle_sets(batch.column("text"), n):
                 blobs = [sets[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -133,6 +135,7 @@ def _compare(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _verifier(percent: int):
     def verify(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in arrow:
             keep = []
             for x, y in zip(batch.column("left_set"), batch.column("right_set"), strict=True):
@@ -145,26 +148,36 @@ def _verifier(percent: int):
 
 
 def _count_blocks(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    """Of a task's sets: (block, places in the block, counts), for places that occur."""
+    found, counts = np.empty(0, np.int32), np.empty(0, np.int64)
     for batch in arrow:
-        for shingles in batch.column("shingles"):
-            np.add.at(total, (np.frombuffer(shingles.as_buffer(), U64) >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
-    blocks = total.reshape(64, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "counts"])
+        for begin in range(0, batch.num_rows, 1000):
+            column = batch.column("shingles").slice(begin, 1000)
+            at = np.concatenate([np.frombuffer(v.as_buffer(), U64) >> U64(64 - SKETCH_BITS) for v in column]).astype(np.int32)
+            places, inverse = np.unique(np.concatenate([found, at]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, np.ones(len(at), np.int64)]), len(places)).astype(np.int64)
+            found = places
+    block = found >> (SKETCH_BITS - 6)
+    edges = np.searchsorted(block, np.arange(65))
+    parts = [(i, found[a:z].tobytes(), counts[a:z].tobytes()) for i, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if a < z]
+    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["block", "at", "counts"])
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c.as_py(), np.int64) for c in table.column("counts"))
+    total = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
+    for at, counts in zip(table.column("at"), table.column("counts"), strict=True):
+        total[np.frombuffer(at.as_py(), np.int32) & ((1 << (SKETCH_BITS - 6)) - 1)] += np.frombuffer(counts.as_py(), np.int64)
+    total = np.minimum(total, (1 << 16) - 1).astype(np.uint16)
     return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """About how many sets hold a shingle, by its leading bits: a table of fixed size, summed on executors, that only orders keys."""
-    rows = sets.select("shingles").mapInArrow(_count_blocks, "block int, counts binary").groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary").collect()
-    out = np.zeros((64, (1 << SKETCH_BITS) // 64), np.int64)
+    """How many sets hold a shingle, by its leading bits, so never too few: a table of 8 MB whatever the input, summed on executors. A count of 65535 stands for more."""
+    rows = sets.select("shingles").mapInArrow(_count_blocks, "block int, at binary, counts binary").groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary").collect()
+    out = np.zeros((64, 1 << (SKETCH_BITS - 6)), np.uint16)
     for r in rows:
-        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.int32)
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint16)
+    return out.ravel()
 
 
 def _star_comparer(percent: int, counts: np.ndarray):
@@ -185,8 +198,9 @@ def _star_comparer(percent: int, counts: np.ndarray):
     beta = (100 - percent) / (100 + percent)
 
     def compare(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in arrow:
-            linked, halves, keys, differ = [], [], [], []
+            linked, halves, keys, spots, differ = [], [], [], [], []
             for x, y, centre, alone in zip(batch.column("left_set"), batch.column("right_set"), batch.column("b").to_pylist(), batch.column("met").to_pylist(), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 in_y = _compare(x, y)[0]
@@ -196,23 +210,30 @@ def _star_comparer(percent: int, counts: np.ndarray):
                 if alone == 1:
                     halves.append(0)
                     keys.append(np.empty(0, np.int64))
+                    spots.append(np.empty(0, np.int32))
                     continue
                 salt = np.frombuffer(centre[:8], U64)
                 extra, missing = x[~in_y], y[~_compare(y, x)[0]]
                 shift = U64(64 - SKETCH_BITS)
-                holders, lacking = counts[(extra >> shift).astype(np.int64)], np.maximum(alone - counts[(missing >> shift).astype(np.int64)], alone // 8)
+                holders, lacking = counts[(extra >> shift).astype(np.int64)].astype(np.int64), np.maximum(alone - counts[(missing >> shift).astype(np.int64)].astype(np.int64), alone // 8)
                 change = mix(np.concatenate([extra, ~missing]) + salt)
-                change = change[np.lexsort((change, np.floor(np.log2(np.concatenate([holders, lacking]) + 1.0))))]
+                order = np.lexsort((change, np.floor(np.log2(np.concatenate([holders, lacking]) + 1.0))))
+                shared = np.concatenate([holders > 1, np.ones(len(missing), bool)])[order]
+                change = change[order]
                 far = max(int(np.ceil(len(change) - beta * len(x) * (1 + 100 / percent) - 1e-6)), 1)
                 near = int(np.floor((len(change) + beta * (len(missing) - len(extra))) / 2 - 1e-6)) + 1
                 half = len(change) - max(far, near) + 1
                 halves.append(half)
-                keys.append((change[:half] if linked[-1] else change[: len(change) - far + 1]).view(np.int64))
+                at = np.flatnonzero(shared[: half if linked[-1] else len(change) - far + 1])
+                keys.append(change[at].view(np.int64))
+                spots.append(at.astype(np.int32))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(spots) if spots else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(halves, pa.int32()), pa.array(differ, pa.int32()), lists], ["a", "b", "linked", "half", "differ", "keys"]
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(halves, pa.int32()), pa.array(differ, pa.int32()), lists, places],
+                ["a", "b", "linked", "half", "differ", "keys", "spots"],
             )
 
     return compare
@@ -287,11 +308,12 @@ def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, per
         met = scratch.table(stars.groupBy("b").agg(F.count(F.lit(1)).alias("met")), f"{name}-met")
         stars = join_groups(stars, met, ["b"], "met", int(rows))
         counts = shingle_counts(sets) if counts is None else counts
-        compared = _with_sets(stars, sets).mapInArrow(_star_comparer(percent, counts), "a binary, b binary, linked boolean, half int, differ int, keys array<long>")
+        compared = _with_sets(stars, sets).mapInArrow(_star_comparer(percent, counts), "a binary, b binary, linked boolean, half int, differ int, keys array<long>, spots array<int>")
         compared = scratch.table(compared, f"{name}-compared")
         links.append(compared.where("linked").select("a", "b"))
         roots = _roots(links, scratch, name)
-        spread = compared.select("a", "linked", "half", "differ", F.posexplode("keys").alias("at", "bucket"))
+        spread = compared.select("a", "linked", "half", "differ", F.explode(F.arrays_zip("keys", "spots")).alias("k"))
+        spread = spread.select("a", "linked", "half", "differ", F.col("k.keys").alias("bucket"), F.col("k.spots").alias("at"))
         members = spread.select("bucket", F.col("a").alias("node"), F.when(F.col("linked"), "N").when(F.col("at") < F.col("half"), "F").otherwise("X").alias("kind"), (F.col("differ") - F.col("at")).alias("left"), "differ")
         level += 1
 

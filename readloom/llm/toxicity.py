@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .kernels import U64, mix, text_slices, unique_per_row, words
+from .kernels import U64, mix, release, text_slices, unique_per_row, words
 
 #: Hashed coordinates; the weight table can't be larger than this.
 BITS = 20
@@ -126,6 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: Colu
 
 def _scorer(at: np.ndarray, weight: np.ndarray, bias: float):
     def score(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         table = np.zeros(1 << BITS)
         table[at] = weight
         for batch in arrow:
