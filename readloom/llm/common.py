@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import contextlib
 import tempfile
 import uuid
 
@@ -41,9 +41,23 @@ def _remove_local(uri: str) -> None:
     shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_scratch() -> None:
+    """When the driver ends, its scratch folders go, as far as its session still runs."""
+    for spark, base in _made:
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                remove(spark, base)
+
+
 class Scratch:
     """Intermediate tables of one query, each written once to the shared folder and read back.
 
+    They stay until the driver ends, since results are read from them.
+
     A written table cuts lineage: a lost executor makes later stages reread files
     rather than recompute everything that came before.
     """
@@ -51,6 +65,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        _made.append((spark, self.base))
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"

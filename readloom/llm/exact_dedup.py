@@ -96,7 +96,7 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batches:
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     digests = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest")), "digests")
-    index = index or DigestIndex(spark)
+    index = index or DigestIndex(spark, scratch.path("index"))
     for i, batch in enumerate(batches_by_id(digests, batches)):
         ingest(index, batch, scratch, f"groups-{i}")
     sizes = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
