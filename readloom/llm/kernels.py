@@ -16,7 +16,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts are worked off in slices of about so many bytes, which bounds memory whatever the batch holds.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 
