@@ -373,6 +373,33 @@ def adjacent_blocks(spark, sf):
     return spark.createDataFrame(duplicates.adjacent_blocks(_appended(spark, sf), 60), "first long, second long, records long")
 
 
+def _doubled(spark, sf) -> tuple[DataFrame, int]:
+    """All documents and then all of them again, and how many they are."""
+    copies = A.copies(spark, sf)
+    count = copies.count()
+    return copies.unionByName(copies.withColumn("ordinal", F.col("ordinal") + count)), count
+
+
+DOUBLED_SQL = "doubled AS (SELECT ordinal, read_name, sequence FROM copies UNION ALL SELECT ordinal + (SELECT count(*) FROM copies) AS ordinal, read_name, sequence FROM copies)"
+
+
+@query("dedup_apply_whole", "SELECT ordinal, read_name FROM doubled WHERE ordinal < (SELECT count(*) FROM copies)", A.COPIES_SQL, DOUBLED_SQL)
+def dedup_apply_whole(spark, sf):
+    doubled, count = _doubled(spark, sf)
+    return duplicates.deduplicate(doubled, min_block=count).select("ordinal", "read_name")
+
+
+@query(
+    "adjacent_blocks_whole",
+    """SELECT min(a.ordinal) AS first, min(b.ordinal) AS second, count(*) AS records FROM doubled a JOIN doubled b ON b.ordinal = a.ordinal + (SELECT count(*) FROM copies)
+    WHERE a.read_name = b.read_name AND a.sequence = b.sequence HAVING count(*) > 0 AND count(*) = (SELECT count(*) FROM copies)""",
+    A.COPIES_SQL,
+    DOUBLED_SQL,
+)
+def adjacent_blocks_whole(spark, sf):
+    return spark.createDataFrame(duplicates.adjacent_blocks(*_doubled(spark, sf)), "first long, second long, records long")
+
+
 @query("inspect_duplication")
 def inspect_duplication(spark, sf):
     return duplicates.duplication_findings(A.copies(spark, sf))

@@ -165,3 +165,9 @@ def test_subsamples(spark):
     assert again == small
     mapped = sample.subsample_random(reads, 0.5, 3, mapped_only=True)
     assert mapped.where("ref_id < 0").count() == 0
+
+
+def test_whole_tables_are_deduplicated(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert catalog.QUERIES["dedup_apply_whole"](spark, SF).count() == documents > 180
+    assert [tuple(r) for r in catalog.QUERIES["adjacent_blocks_whole"](spark, SF).collect()] == [(0, documents, documents)]
