@@ -133,6 +133,18 @@ def check_map(spark, sf):
     return profile.check_map(A.reads(spark, sf), 800)
 
 
+@query(
+    "check_map_full",
+    f"""SELECT *, CASE WHEN records_examined = 0 THEN 'indeterminate' WHEN mapped_records_observed > 0 THEN 'mapped' ELSE 'unmapped' END AS mapping_status,
+    CASE WHEN records_examined = 0 OR inconsistent_records_observed > 0 THEN 'low' WHEN mapped_records_observed > 0 THEN 'medium' ELSE 'high' END AS confidence
+    FROM (SELECT count(*) AS records_examined, count(*) FILTER (WHERE {MAPPED}) AS mapped_records_observed, count(*) FILTER (WHERE NOT {MAPPED}) AS unmapped_records_observed,
+      count(*) FILTER (WHERE {CONTRADICTORY}) AS inconsistent_records_observed, count(DISTINCT CASE WHEN {MAPPED} THEN ref_id END) AS references_with_mapped_reads_observed, true AS reached_end FROM reads)""",
+    A.READS_SQL,
+)
+def check_map_full(spark, sf):
+    return profile.check_map(A.reads(spark, sf), None)
+
+
 @query("enumerate", "SELECT 'events' AS source, count(*) AS records FROM reads", A.READS_SQL)
 def enumerate_(spark, sf):
     return profile.enumerate_records(A.reads(spark, sf))
@@ -159,6 +171,18 @@ def check_tag(spark, sf):
     return profile.check_tag(reads, "MD", 300).unionByName(profile.check_tag(reads, "ZZ", 300))
 
 
+@query(
+    "check_tag_full",
+    """SELECT tag, CASE WHEN first IS NOT NULL THEN 'observed_present' WHEN n = 0 THEN 'indeterminate' ELSE 'absent_in_full_scan' END AS result,
+    CASE WHEN first IS NOT NULL THEN first + 1 ELSE n END AS records_examined, CAST(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END AS bigint) AS records_with_tag
+    FROM (SELECT t.tag, count(ordinal) AS n, min(CASE WHEN contains(tag_text, t.tag) THEN ordinal END) AS first FROM (VALUES ('MD'), ('ZZ')) AS t(tag) LEFT JOIN reads ON true GROUP BY t.tag)""",
+    A.READS_SQL,
+)
+def check_tag_full(spark, sf):
+    reads = _aux(A.reads(spark, sf))
+    return profile.check_tag(reads, "MD", None).unionByName(profile.check_tag(reads, "ZZ", None))
+
+
 @query(
     "unmap",
     """SELECT ordinal, CASE WHEN flags & 1 <> 0 THEN ((flags | 4) & ~50) | 8 ELSE (flags | 4) & ~50 END AS flags, -1 AS ref_id, -1 AS pos, -1 AS next_ref_id, -1 AS next_pos, 0 AS tlen, 0 AS mapq, 0 AS n_cigar,

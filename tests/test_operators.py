@@ -171,3 +171,10 @@ def test_whole_tables_are_deduplicated(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert catalog.QUERIES["dedup_apply_whole"](spark, SF).count() == documents > 180
     assert [tuple(r) for r in catalog.QUERIES["adjacent_blocks_whole"](spark, SF).collect()] == [(0, documents, documents)]
+
+
+def test_full_scans_see_every_record(spark):
+    records = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert catalog.QUERIES["check_map_full"](spark, SF).first()["records_examined"] == records
+    absent = catalog.QUERIES["check_tag_full"](spark, SF).where("tag = 'ZZ'").first()
+    assert (absent["result"], absent["records_examined"]) == ("absent_in_full_scan", records)
