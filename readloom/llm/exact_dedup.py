@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, join_groups, shared_root, shuffle_partitions
+from .common import SPACE, Scratch, is_empty_folder, join_groups, read_note, shared_root, shuffle_partitions, unused, write_note
 
 
 def text_digest(text: Column) -> Column:
@@ -24,16 +24,28 @@ class DigestIndex:
     """A table (digest, keep_id), bucketed and sorted by digest, that outlives the session that made it.
 
     Files lie under ``path``; opening the same path again registers them anew. The
-    number of buckets is fixed when the index is made, since appended files must
-    agree with those there.
+    number of buckets is fixed when the index is made and noted beside the files,
+    since appended ones must agree with those there: an index that is opened again
+    has the buckets it was made with, whatever the session's partitions, and asking
+    for another number is an error, as is a folder with files but no note.
     """
 
     SCHEMA = "digest BINARY, keep_id BIGINT"
+    NOTE = "_buckets"
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or f"{shared_root(spark)}/digest-index-{uuid.uuid4().hex[:12]}"
-        self.buckets = buckets or shuffle_partitions(spark)
+        noted = read_note(spark, f"{self.path}/{self.NOTE}")
+        if noted is None:
+            if not is_empty_folder(spark, self.path):
+                raise ValueError(f"{self.path} holds files but not how many buckets they are in")
+            self.buckets = buckets or shuffle_partitions(spark)
+            write_note(spark, f"{self.path}/{self.NOTE}", str(self.buckets))
+        else:
+            self.buckets = int(noted)
+            if buckets not in (None, self.buckets):
+                raise ValueError(f"{self.path} has {self.buckets} buckets, not {buckets}")
         self.name = f"digest_index_{uuid.uuid4().hex[:12]}"
         spark.sql(
             f"CREATE TABLE {self.name} ({self.SCHEMA}) USING parquet OPTIONS (path '{self.path}') "
@@ -113,15 +125,17 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batches:
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents without all but the smallest doc_id of equal texts, with the columns of ``docs``.
+    """The documents without all but the smallest doc_id of equal texts, with the columns of ``docs`` whatever their names.
 
     Rows that repeat both doc_id and text are kept once. Null ids count as one id.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "dedup")
-    marked = docs.withColumn("__digest", text_digest(F.col("text")))
+    id_, digest = unused(docs, "id"), unused(docs, "digest")
+    plain = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     report = exact_duplicates(docs, index)
-    kept = scratch.table(report.where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct(), "kept")
-    marked = marked.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    kept = scratch.table(report.where("kept").select(plain.alias(id_), F.unhex("text_sha256").alias(digest)).distinct(), "kept")
+    marked = docs.withColumns({id_: plain, digest: text_digest(F.col("text"))})
     # one key names one row here, but for whole repeated rows
-    return marked.join(kept.hint("merge"), ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).select(*docs.columns)
+    return marked.join(kept.hint("merge"), [id_, digest], "left_semi").dropDuplicates([id_, digest]).select(*docs.columns)

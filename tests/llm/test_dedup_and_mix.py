@@ -43,6 +43,34 @@ def test_exact_duplicates(spark):
     assert left.count() == len(groups)
 
 
+def test_index_opens_with_the_buckets_it_was_made_with(spark):
+    rows = [(i, f"text {i}", "s") for i in range(200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        first = DigestIndex(spark)
+        exact_dedup.exact_duplicates(table(spark, rows), first).count()
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        again = DigestIndex(spark, first.path)
+        assert again.buckets == 16
+        got = exact_dedup.exact_duplicates(table(spark, [(i + 1000, t, s) for i, t, s in rows] + [(5000, "new", "s")]), again).collect()
+        assert {r.doc_id for r in got if r.kept} == {5000}
+        assert again.read().count() == 201
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError, match="16 buckets"):
+        DigestIndex(spark, first.path, buckets=7)
+    unnoted = f"{first.path}-unnoted"
+    spark.range(3).write.parquet(unnoted)
+    with pytest.raises(ValueError, match="how many buckets"):
+        DigestIndex(spark, unnoted)
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, 2, 3), (2, "a  b", 4, 5, 6)], "doc_id long, text string, id long, ID_ long, digest long")
+    assert exact_dedup.deduplicate(docs).collect() == docs.where("doc_id = 1").collect()
+
+
 def test_index_outlives_its_name(spark):
     first = DigestIndex(spark, buckets=4)
     exact_dedup.exact_duplicates(table(spark, [(1, "one", "s"), (2, "two", "s")]), first)
@@ -52,18 +80,30 @@ def test_index_outlives_its_name(spark):
     assert again.read().count() == 3
 
 
-def repeats(rows, length):
-    texts = [(i, (t or "").encode()) for i, t, _ in rows]
-    counts = collections.Counter(b[k : k + length] for _, b in texts for k in range(len(b) - length + 1))
+def covered(texts, length):
+    """Per text, which bytes a string of ``length`` bytes covers that starts at two places."""
+    counts = collections.Counter(b[k : k + length] for b in texts for k in range(len(b) - length + 1))
     out = []
-    for i, b in texts:
+    for b in texts:
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - length + 1):
             if counts[b[k : k + length]] > 1:
                 gone[k : k + length] = True
-        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0
+        out.append(gone)
+    return out
+
+
+def run_lengths(flags):
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return (edge[1::2] - edge[::2]).tolist()
+
+
+def repeats(rows, length, report):
+    texts = [(t or "").encode() for _, t, _ in rows]
+    out = []
+    for (i, _, _), b, gone, shared in zip(rows, texts, covered(texts, length), covered(texts, report), strict=True):
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
-        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(b), int(gone.sum()), len(run_lengths(gone)), hashlib.sha256(kept).hexdigest(), int(shared.sum()), max(run_lengths(shared), default=0)))
     return sorted(out, key=repr)
 
 
@@ -76,10 +116,24 @@ def test_repeated_strings(spark, monkeypatch, most):
     rows = [(i, noise(rng.randrange(300)), "s") for i in range(25)]
     rows += [(50 + i, noise(rng.randrange(60)) + passage[rng.randrange(20) :] + noise(rng.randrange(60)) + passage[: 100 + rng.randrange(50)], "s") for i in range(12)]
     rows += [(80, line * 30, "s"), (81, "x" * 500, "s"), (82, None, None), (83, "", "s"), (84, passage, "s"), (84, passage, "s"), (None, noise(10) + passage, "s"), (85, "y" * 60, "s"), (86, "ab" * 100, "s")]
-    for length, anchor in ((60, 20), (61, 31)):
-        got = suffix_dedup.remove_repeats(table(spark, rows), length, anchor).drop("kept").collect()
-        assert sorted(map(tuple, got), key=repr) == repeats(rows, length)
-    assert suffix_dedup.remove_repeats(table(spark, []), 60, 20).count() == 0
+    for length, report, anchor in ((60, 40, 20), (61, 61, 31), (90, 33, 8)):
+        got = suffix_dedup.remove_repeats(table(spark, rows), length, report, anchor).drop("kept").collect()
+        assert sorted(map(tuple, got), key=repr) == repeats(rows, length, report)
+    assert suffix_dedup.remove_repeats(table(spark, []), 60, 40, 20).count() == 0
+
+
+def test_repeats_in_a_text_of_several_pieces(spark):
+    rng = np.random.default_rng(7)
+    noise = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    passage, short = noise(900), noise(300)
+    cut = suffix_dedup.PIECE - 500
+    long = noise(cut) + passage + noise(60000) + short + noise(20) + passage[:450]
+    rows = [(1, long, "s"), (2, noise(50) + passage + noise(50), "s"), (3, short, "s"), (4, noise(5000), "s")]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(table(spark, rows)).collect()}
+    want = long[:cut] + long[cut + 900 : -450]
+    assert (got[1].n_removed, got[1].n_spans, got[1].n_repeated, got[1].longest_repeat) == (1350, 2, 1650, 900)
+    assert got[1].kept_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert [(got[i].n_removed, got[i].n_repeated) for i in (2, 3, 4)] == [(900, 900), (0, 300), (0, 0)]
 
 
 def test_very_long_text_in_pieces(spark, monkeypatch):
@@ -90,7 +144,7 @@ def test_very_long_text_in_pieces(spark, monkeypatch):
     text = "".join(rng.choice("abcd") for _ in range(suffix_dedup.PIECE * 5))
     batch = pa.RecordBatch.from_pydict({"key": pa.array([1]), "batch": pa.array([0], pa.int32()), "text": pa.array([text * 500])})
     covered = set()
-    for out in suffix_dedup._indexer(60, 20)(iter([batch.slice(0, 1)])):
+    for out in suffix_dedup._indexer(60, 60, 20)(iter([batch.slice(0, 1)])):
         for first, run in zip(out.column("first").to_pylist(), out.column("run").to_pylist(), strict=True):
             covered.update(range(first, first + run + 1))
         if len(covered) > 5000:
@@ -104,12 +158,12 @@ def test_levels_merge_geometrically(spark):
     rows = [(i, "".join(random.Random(i).choice("abc") for _ in range(200)), "s") for i in range(16)]
     docs = table(spark, rows).selectExpr("doc_id AS key", "cast(doc_id % 4 as int) AS batch", "text")
     scratch = Scratch(spark, "levels")
-    entries = scratch.table(docs.mapInArrow(suffix_dedup._indexer(60, 20), suffix_dedup._ENTRIES), "entries")
+    entries = scratch.table(docs.mapInArrow(suffix_dedup._indexer(60, 60, 20), suffix_dedup._ENTRIES), "entries")
     index = suffix_dedup.SuffixIndex(scratch)
     sizes = []
     for b in range(4):
         index.add(entries.where(f"batch = {b}"))
-        sizes.append([s for s, _, _ in index.levels])
+        sizes.append([level[0] for level in index.levels])
     assert sizes == [[1], [2], [2, 1], [4]]
 
 
