@@ -1,13 +1,16 @@
 """Exact removal of long repeated byte strings with a logarithmic family of sparse suffix arrays.
 
 A suffix is indexed where a text has an anchor: the k-byte string with the least
-hash among those inside a window of ``length`` bytes. Equal windows have the same
-anchor at the same place, so suffixes at anchors find every repeated window, with
-about one suffix in ``(length - k) / 2`` bytes. Consecutive windows with the same
-anchor form a run; the entry of a run is the digest of the anchor, then that of all
-bytes of the run. A level of the index is a table of distinct entries sorted by
-digest, hence by suffix prefix. New batches get a level of their own, are
-merge-scanned against the existing levels for shared anchors, and levels of equal
+hash among those inside a window. Equal windows have the same anchor at the same
+place, so suffixes at anchors find every repeated window, with about one suffix in
+half a window less the anchor. Windows are as long as the shorter of two lengths:
+strings of ``length`` bytes are removed, those of ``report`` bytes only counted; a
+window of ``length`` bytes has the anchor of the shorter one that begins where it
+does. Consecutive windows with the same anchor form a run; the entry of a run is the
+digest of the anchor, then that of all bytes of the run. A level of the index is a
+table of distinct entries sorted by digest, beside one of its heads (the digests of
+anchors) and how many entries each has. New batches get a level of their own, whose
+heads are merge-scanned against those of the existing levels, and levels of equal
 size merge.
 """
 
@@ -27,11 +30,11 @@ from .common import Scratch, join_groups
 from .kernels import _BASE, U64, _power_tables, mix, text_slices
 
 #: Bytes of an anchor.
-ANCHOR = 96
+ANCHOR = 48
 #: Longer texts are indexed in overlapping pieces of so many window starts.
 PIECE = 1 << 22
 #: Runs that a task compares for one anchor; windows of commoner anchors are compared by their own hashes, as rows.
-MOST_RUNS = 4096
+MOST_RUNS = 1024
 _POSITION = U64((1 << 24) - 1)
 
 _ENTRIES = "key long, batch int, entry binary, first int, run int, lead int"
@@ -57,13 +60,13 @@ def anchors(data: np.ndarray, length: int, k: int) -> np.ndarray:
     return (low & _POSITION).astype(np.int64)
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Iterator[tuple[int, int, int, int]]:
-    """(row, first window, last window, anchor) inside the concatenated texts of a slice."""
-    if len(data) < length:
+def _runs(data: np.ndarray, offsets: np.ndarray, window: int, k: int, starts: int) -> Iterator[tuple[int, int, int, int]]:
+    """(row, first window, last window, anchor) inside the concatenated texts of a slice; windows begin in its first ``starts`` bytes."""
+    if len(data) < window:
         return
-    at = anchors(data, length, k)
+    at = anchors(data, window, k)[:starts]
     row = np.searchsorted(offsets, np.arange(len(at)), "right") - 1
-    valid = np.arange(len(at)) + length <= offsets[row + 1]
+    valid = np.arange(len(at)) + window <= offsets[row + 1]
     start = valid.copy()
     start[1:] &= (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | ~valid[:-1]
     end = valid.copy()
@@ -72,27 +75,29 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Iterato
     yield from zip(row[first].tolist(), first.tolist(), last.tolist(), at[first].tolist(), strict=True)
 
 
-def _pieces(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, start in the row's text, bytes, offsets); a very long text comes alone, piece by piece."""
+def _pieces(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """(first row, start in the row's text, bytes, offsets, window starts); a very long text comes alone, piece by piece, each with the bytes that its last windows reach."""
     for first, data, offsets in text_slices(column):
         if len(data) <= PIECE + length:
-            yield first, 0, data, offsets
+            yield first, 0, data, offsets, len(data)
             continue
-        for begin in range(0, max(len(data) - length + 1, 1), PIECE):
+        for begin in range(0, len(data), PIECE):
             part = data[begin : begin + PIECE + length - 1]
-            yield first, begin, part, np.array([0, len(part)])
+            yield first, begin, part, np.array([0, len(part)]), PIECE
 
 
-def _indexer(length: int, k: int):
+def _indexer(length: int, window: int, k: int):
     def index(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             keys, batches = batch.column("key").to_numpy(), batch.column("batch").to_numpy()
-            for first, begin, data, offsets in _pieces(batch.column("text"), length):
+            for first, begin, data, offsets, starts in _pieces(batch.column("text"), length):
                 raw = data.tobytes()
+                ends = offsets[1:].tolist()
                 rows, entry, start, run, lead = [], [], [], [], []
-                for row, a, z, m in _runs(data, offsets, length, k):
+                for row, a, z, m in _runs(data, offsets, window, k, starts):
                     head = xxhash.xxh3_64_digest(raw[m : m + k])
-                    entry.append(head + xxhash.xxh3_64_digest(raw[a : z + length], m - a))
+                    # the number of windows is part of the entry: where a text ends, equal bytes may hold fewer
+                    entry.append(head + xxhash.xxh3_64_digest(raw[a : min(z + length, ends[row])], (z - a) << 16 | m - a))
                     rows.append(row)
                     start.append(a - int(offsets[row]) + begin)
                     run.append(z - a)
@@ -108,55 +113,48 @@ def _indexer(length: int, k: int):
 
 @dataclass
 class SuffixIndex:
-    """Levels of distinct entries, each twice the size of the next at least; ``met`` holds heads (anchor digests) that scans found in two places."""
+    """Levels of distinct entries, each twice the size of the next at least; ``met`` holds heads that scans found in two entries."""
 
     scratch: Scratch
-    levels: list[tuple[int, str, DataFrame]] = field(default_factory=list)
+    levels: list[tuple[int, str, DataFrame, DataFrame]] = field(default_factory=list)
     met: list[DataFrame] = field(default_factory=list)
     _made: int = 0
 
-    @staticmethod
-    def suffixes(entries: DataFrame) -> DataFrame:
-        """The sorted sparse suffix array of a batch: an entry, how often it occurs, and where one of its occurrences is."""
-        place = F.min(F.struct("key", "first", "run", "lead")).alias("place")
-        return entries.groupBy("entry").agg(F.count(F.lit(1)).alias("times"), place)
-
     def add(self, entries: DataFrame) -> None:
-        """Index a batch: build its array, scan it against each level, and merge levels of equal size."""
-        level = self._write(self.suffixes(entries), 1)
-        heads = level[2].groupBy(_head()).agg(F.count(F.lit(1)).alias("n"))
-        self._note(heads.where("n > 1").select("head"))
-        for _, _, older in self.levels:
-            self._note(level[2].select(_head()).hint("merge").join(older.select(_head()), "head", "left_semi").distinct())
+        """Index a batch: build its array, scan its heads against those of each level, and merge levels of equal size."""
+        place = F.min(F.struct("key", "first", "run", "lead")).alias("place")
+        level = self._write(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("times"), place), 1)
+        self._note(level[3].where("n > 1").select("head"))
+        for *_, older in self.levels:
+            self._note(level[3].select("head").hint("merge").join(older.select("head"), "head", "left_semi"))
         self.levels.append(level)
         while len(self.levels) > 1 and self.levels[-1][0] >= self.levels[-2][0]:
-            a, b = self.levels.pop(), self.levels.pop()
-            both = b[2].unionByName(a[2]).groupBy("entry").agg(F.sum("times").alias("times"), F.min("place").alias("place"))
-            self.levels.append(self._write(both, a[0] + b[0]))
-            for gone in (a, b):
-                self.scratch.drop(gone[1])
-
-    def merged(self) -> DataFrame:
-        """All levels as one."""
+            self._merge()
+
+    def merged(self) -> tuple[DataFrame, DataFrame]:
+        """All levels as one, and its heads met twice with the number of entries of each (of which some may be counted more than once)."""
         while len(self.levels) > 1:
-            a, b = self.levels.pop(), self.levels.pop()
-            both = b[2].unionByName(a[2]).groupBy("entry").agg(F.sum("times").alias("times"), F.min("place").alias("place"))
-            self.levels.append(self._write(both, a[0] + b[0]))
-            for gone in (a, b):
-                self.scratch.drop(gone[1])
-        return self.levels[0][2]
-
-    def heads(self) -> DataFrame:
-        """Heads met in two entries or more."""
+            self._merge()
         found = self.met[0]
         for more in self.met[1:]:
             found = found.unionByName(more)
-        return found.distinct()
-
-    def _write(self, df: DataFrame, size: int) -> tuple[int, str, DataFrame]:
+        _, _, suffixes, heads = self.levels[0]
+        return suffixes, self.scratch.table(heads.join(found.distinct().hint("merge"), "head", "left_semi"), "heads-met")
+
+    def _merge(self) -> None:
+        a, b = self.levels.pop(), self.levels.pop()
+        both = b[2].unionByName(a[2]).groupBy("entry").agg(F.sum("times").alias("times"), F.min("place").alias("place"))
+        heads = b[3].unionByName(a[3]).groupBy("head").agg(F.sum("n").alias("n"))
+        self.levels.append(self._write(both, a[0] + b[0], heads))
+        for gone in (a, b):
+            self.scratch.drop(gone[1])
+
+    def _write(self, df: DataFrame, size: int, heads: DataFrame | None = None) -> tuple[int, str, DataFrame, DataFrame]:
         self._made += 1
         name = f"level-{self._made}"
-        return size, name, self.scratch.table(df.sortWithinPartitions("entry"), name)
+        level = self.scratch.table(df.sortWithinPartitions("entry"), name)
+        heads = level.groupBy(_head()).agg(F.count(F.lit(1)).alias("n")) if heads is None else heads
+        return size, name, level, self.scratch.table(heads.sortWithinPartitions("head"), f"{name}-heads")
 
     def _note(self, heads: DataFrame) -> None:
         self.met.append(self.scratch.table(heads, f"met-{self._made}-{len(self.met)}"))
@@ -176,10 +174,11 @@ def _fetcher(length: int):
                     [
                         pa.array([p["entry"] for p in places], pa.binary()),
                         pa.array([p["lead"] for p in places], pa.int32()),
+                        pa.array([p["run"] for p in places], pa.int32()),
                         pa.array([text[p["first"] : p["first"] + p["run"] + length] for p in places], pa.binary()),
                         pa.array([p["common"] for p in places], pa.bool_()),
                     ],
-                    ["entry", "lead", "bytes", "common"],
+                    ["entry", "lead", "run", "bytes", "common"],
                 )
 
     return fetch
@@ -193,67 +192,75 @@ def _spans(flags: np.ndarray) -> bytes:
     return pairs.astype("<i4").tobytes()
 
 
-def _window_keys(raw: bytes, lead: int, length: int) -> np.ndarray:
-    """A hash of each window of a run and of where its anchor is."""
-    rolled = _rolling(np.frombuffer(raw, np.uint8), length)
+def _window_keys(raw: bytes, lead: int, length: int, most: int) -> np.ndarray:
+    """A hash of each window of a run (``most`` at most) and of where its anchor is."""
+    if len(raw) < length:
+        return np.empty(0, U64)
+    rolled = _rolling(np.frombuffer(raw, np.uint8), length)[:most]
     return mix(rolled + (lead - np.arange(len(rolled))).astype(U64) * U64(_BASE))
 
 
-def _window_rows(length: int):
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, bytes]]:
+    return zip(*[batch.column(c).to_pylist() for c in ("entry", "lead", "run", "bytes")], strict=True)
+
+
+def _window_rows(lengths: tuple[int, int]):
     def rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
-            for entry, lead, raw in zip(batch.column("entry").to_pylist(), batch.column("lead").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                keys = _window_keys(raw, lead, length)
+            for entry, lead, run, raw in _rows_of(batch):
                 head = np.frombuffer(entry[:8], U64)
-                yield pa.RecordBatch.from_arrays([pa.array([entry] * len(keys), pa.binary()), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(mix(keys ^ head).view(np.int64))], ["entry", "spot", "window"])
+                for kind, length in enumerate(lengths):
+                    keys = _window_keys(raw, lead, length, run + 1)
+                    spots, kinds = np.arange(len(keys), dtype=np.int32), np.full(len(keys), kind, np.int8)
+                    yield pa.RecordBatch.from_arrays([pa.array([entry] * len(keys), pa.binary()), pa.array(spots), pa.array(kinds), pa.array(mix(keys ^ head ^ U64(length)).view(np.int64))], ["entry", "spot", "kind", "window"])
 
     return rows
 
 
 def _spot_spans(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spans(spots: list[int] | None) -> bytes:
+        flags = np.zeros(max(spots) + 1 if spots else 0, bool)
+        flags[spots or []] = True
+        return _spans(flags)
+
     for batch in arrow:
-        spans = []
-        for spots in batch.column("spots").to_pylist():
-            flags = np.zeros(max(spots) + 1, bool)
-            flags[spots] = True
-            spans.append(_spans(flags))
-        yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.array(spans, pa.binary())], ["entry", "spans"])
+        found = [pa.array([spans(s) for s in batch.column(c).to_pylist()], pa.binary()) for c in ("long", "short")]
+        yield pa.RecordBatch.from_arrays([batch.column("entry"), *found], ["entry", "spans", "shared"])
 
 
-def _common_anchors(variants: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+def _common_anchors(variants: DataFrame, lengths: tuple[int, int], scratch: Scratch) -> DataFrame:
     """Spans of repeated windows in runs of very common anchors: windows are counted before the shuffle, and hot ones meet their counts by broadcast."""
-    windows = scratch.table(variants.mapInArrow(_window_rows(length), "entry binary, spot int, window long"), "windows")
+    windows = scratch.table(variants.mapInArrow(_window_rows(lengths), "entry binary, spot int, kind byte, window long"), "windows")
     counts = scratch.table(windows.groupBy("window").agg(F.count_distinct("entry").alias("runs"), F.count(F.lit(1)).alias("rows")).where("runs > 1").drop("runs"), "window-counts")
     hits = join_groups(windows, counts, ["window"], "rows", windows.count())
-    return hits.groupBy("entry").agg(F.collect_set("spot").alias("spots")).mapInArrow(_spot_spans, "entry binary, spans binary")
+    spots = [F.collect_set(F.when(F.col("kind") == kind, F.col("spot"))).alias(name) for kind, name in enumerate(("long", "short"))]
+    return hits.groupBy("entry").agg(*spots).mapInArrow(_spot_spans, "entry binary, spans binary, shared binary")
 
 
-def _resolver(length: int):
-    def resolve_group(group: list[tuple[bytes, int, bytes]]) -> list[tuple[bytes, bytes]]:
-        keys = [_window_keys(raw, lead, length) for _, lead, raw in group]
+def _resolver(lengths: tuple[int, int]):
+    def repeated(group: list[tuple[bytes, int, int, bytes]], length: int) -> list[np.ndarray]:
+        """For each run of a group, which of its windows stand in another run as well."""
+        keys = [_window_keys(raw, lead, length, run + 1) for _, lead, run, raw in group]
         _, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        repeated = counts[inverse] > 1
-        out, at = [], 0
-        for (entry, _, _), k in zip(group, keys, strict=True):
-            flags = repeated[at : at + len(k)]
-            at += len(k)
-            if flags.any():
-                out.append((entry, _spans(flags)))
-        return out
-
-    def emit(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["entry", "spans"])
+        return np.split(counts[inverse] > 1, np.cumsum([len(k) for k in keys])[:-1])
+
+    def resolve_group(group: list[tuple[bytes, int, int, bytes]]) -> list[tuple[bytes, bytes, bytes]]:
+        long, short = (repeated(group, n) for n in lengths)
+        return [(g[0], _spans(x), _spans(y)) for g, x, y in zip(group, long, short, strict=True) if y.any()]
+
+    def emit(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.binary()) for c in range(3)], ["entry", "spans", "shared"])
 
     def resolve(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, group = None, []
         for batch in arrow:
-            rows: list[tuple[bytes, bytes]] = []
-            for entry, lead, raw in zip(batch.column("entry").to_pylist(), batch.column("lead").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                if entry[:8] != head:
+            rows: list[tuple[bytes, bytes, bytes]] = []
+            for row in _rows_of(batch):
+                if row[0][:8] != head:
                     if len(group) > 1:
                         rows += resolve_group(group)
-                    head, group = entry[:8], []
-                group.append((entry, lead, raw))
+                    head, group = row[0][:8], []
+                group.append(row)
             yield emit(rows)
         if len(group) > 1:
             yield emit(resolve_group(group))
@@ -261,52 +268,58 @@ def _resolver(length: int):
     return resolve
 
 
-def _remover(length: int):
+def _covered(spans: list[np.ndarray], length: int) -> tuple[list[int], list[int]]:
+    """Where the bytes that windows cover begin and end, as maximal runs; spans are of first and last window starts."""
+    found = np.concatenate(spans) if spans else np.empty((0, 2), np.int64)
+    found = found[found[:, 1] >= found[:, 0]]
+    if not len(found):
+        return [], []
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(found[:, 1] + length)
+    new = np.concatenate([[True], found[1:, 0] > reach[:-1]])
+    return found[new, 0].tolist(), reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(found) - 1]])].tolist()
+
+
+def _remover(lengths: tuple[int, int]):
+    def pairs(marks: list[dict] | None, column: str, last_start: int) -> list[np.ndarray]:
+        """Spans of windows in the text; a mark without its own holds for the whole run, as far as windows fit in."""
+        found = []
+        for m in marks or ():
+            if m[column] is None:
+                found.append(np.array([[m["first"], min(m["first"] + m["run"], last_start)]]))
+            else:
+                found.append(np.frombuffer(m[column], "<i4").reshape(-1, 2).astype(np.int64) + m["first"])
+        return found
+
     def cut(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             texts = batch.column("text").cast(pa.large_binary())
             out: list[tuple] = []
             for i, marks in enumerate(batch.column("marks").to_pylist()):
                 text = texts[i].as_py() or b""
-                spans = []
-                for mark in marks or ():
-                    pairs = np.frombuffer(mark["spans"], "<i4").reshape(-1, 2).astype(np.int64) + mark["first"] if mark["spans"] else np.array([[mark["first"], mark["first"] + mark["run"]]])
-                    spans.append(pairs)
-                kept, removed, count, begin = [], 0, 0, 0
-                if spans:
-                    all_ = np.concatenate(spans)
-                    all_ = all_[np.argsort(all_[:, 0], kind="stable")]
-                    reach = np.maximum.accumulate(all_[:, 1] + length)
-                    new = np.concatenate([[True], all_[1:, 0] > reach[:-1]])
-                    first = all_[new, 0].tolist()
-                    last = reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(all_) - 1]])].tolist()
-                    for a, z in zip(first, last, strict=True):
-                        kept.append(text[begin:a])
-                        removed += z - a
-                        begin = z
-                    count = len(first)
-                kept.append(text[begin:])
-                out.append((len(text), removed, count, b"".join(kept)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    *[pa.array([o[c] for o in out], pa.int64()) for c in range(3)],
-                    pa.array([hashlib.sha256(o[3]).hexdigest() for o in out], pa.string()),
-                    pa.array([o[3] for o in out], pa.binary()),
-                ],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+                first, last = _covered(pairs(marks, "spans", len(text) - lengths[0]), lengths[0])
+                kept = b"".join(text[a:z] for a, z in zip([0, *last], [*first, len(text)], strict=True))
+                shared = [z - a for a, z in zip(*_covered(pairs(marks, "shared", len(text) - lengths[1]), lengths[1]), strict=True)]
+                out.append((len(text), len(text) - len(kept), len(first), hashlib.sha256(kept).hexdigest(), sum(shared), max(shared, default=0), kept))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)]], [c.split(" ")[0] for c in _CUT.split(", ")])
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, anchor: int = ANCHOR, batches: int = 2) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
+_CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, longest_repeat long, kept binary"
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, report: int = 256, anchor: int = ANCHOR, batches: int = 4) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated, longest_repeat, kept.
 
     A byte goes if a string of ``length`` bytes that covers it starts at another
     place too, in this document or another; all strings are judged on the input.
+    ``n_repeated`` counts the bytes that strings of ``report`` bytes cover which
+    start at another place too, no more than ``length``; they stay unless a longer
+    one covers them. ``longest_repeat`` is the longest run of such bytes.
     ``kept`` is what stays, as bytes, since a cut may fall inside a character.
-    Null texts are empty; texts shorter than ``length`` stay whole; repeated rows
+    Null texts are empty; texts shorter than ``report`` repeat nothing; repeated rows
     are documents of their own, so that both lose what they share. An empty table
     gives no rows; columns other than doc_id and text are not read.
 
@@ -315,32 +328,33 @@ def remove_repeats(docs: DataFrame, length: int = 400, anchor: int = ANCHOR, bat
     hash, in one task for up to ``MOST_RUNS`` runs, as counted rows beyond; the
     marks then go to all occurrences.
     """
+    report = min(report, length)
+    lengths = (length, report)
     scratch = Scratch(docs.sparkSession, "repeats")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), "text"))
-    marked = texts.withColumn("batch", F.pmod("key", F.lit(batches)).cast("int")).where(F.octet_length("text") >= length)
-    entries = scratch.table(marked.select("key", "batch", "text").mapInArrow(_indexer(length, anchor), _ENTRIES), "entries")
+    marked = texts.withColumn("batch", F.pmod("key", F.lit(batches)).cast("int")).where(F.octet_length("text") >= report)
+    entries = scratch.table(marked.select("key", "batch", "text").mapInArrow(_indexer(length, report, min(anchor, report)), _ENTRIES), "entries", ("batch",))
     index = SuffixIndex(scratch)
     for b in range(batches):
         index.add(entries.where(F.col("batch") == b))
-    suffixes = index.merged()
+    suffixes, heads = index.merged()
 
-    several = suffixes.join(index.heads().hint("merge"), F.substring("entry", 1, 8) == F.col("head")).select("head", "entry", "place")
-    several = scratch.table(several, "several")
-    heads = scratch.table(several.groupBy("head").agg(F.count(F.lit(1)).alias("runs")), "heads")
-    asked = join_groups(several, heads, ["head"], "runs", several.count()).withColumn("common", F.col("runs") > MOST_RUNS)
+    total = int(heads.agg(F.sum("n")).first()[0] or 0)
+    asked = join_groups(suffixes.select(_head(), "entry", "place"), heads, ["head"], "n", total).withColumn("common", F.col("n") > MOST_RUNS)
     wanted = asked.groupBy("place.key").agg(F.collect_list(F.struct("entry", "place.first", "place.run", "place.lead", "common")).alias("places"))
     variants = texts.join(wanted.hint("merge"), "key").select("text", "places")
-    variants = scratch.table(variants.mapInArrow(_fetcher(length), "entry binary, lead int, bytes binary, common boolean"), "variants")
+    variants = scratch.table(variants.mapInArrow(_fetcher(length), "entry binary, lead int, run int, bytes binary, common boolean"), "variants")
     rare = variants.where("NOT common").drop("common").withColumn("head", F.substring("entry", 1, 8)).repartition("head").sortWithinPartitions("entry").drop("head")
-    partly = rare.mapInArrow(_resolver(length), "entry binary, spans binary")
-    partly = scratch.table(partly.unionByName(_common_anchors(variants.where("common").drop("common"), length, scratch)), "partly")
+    partly = rare.mapInArrow(_resolver(lengths), "entry binary, spans binary, shared binary")
+    partly = scratch.table(partly.unionByName(_common_anchors(variants.where("common").drop("common"), lengths, scratch)), "partly")
 
-    whole = suffixes.where("times > 1").select("entry", "times", F.lit(None).cast("binary").alias("spans"))
-    rest = partly.join(suffixes.where("times = 1").select("entry", "times").hint("merge"), "entry").select("entry", "times", "spans")
+    nothing = F.lit(None).cast("binary")
+    whole = suffixes.where("times > 1").select("entry", "times", nothing.alias("spans"), nothing.alias("shared"))
+    rest = partly.join(suffixes.where("times = 1").select("entry", "times").hint("merge"), "entry").select("entry", "times", "spans", "shared")
     marks = scratch.table(whole.unionByName(rest), "marks")
     total = int(marks.agg(F.sum("times")).first()[0] or 0)
     hits = join_groups(entries.select("key", "entry", "first", "run"), marks, ["entry"], "times", total)
-    by_text = hits.groupBy("key").agg(F.collect_list(F.struct("first", "run", "spans")).alias("marks"))
+    by_text = hits.groupBy("key").agg(F.collect_list(F.struct("first", "run", "spans", "shared")).alias("marks"))
     cut = texts.join(by_text.hint("merge"), "key", "left").select("doc_id", "text", "marks")
-    return cut.mapInArrow(_remover(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return cut.mapInArrow(_remover(lengths), _CUT)
