@@ -34,7 +34,7 @@ ANCHOR = 48
 #: Longer texts are indexed in overlapping pieces of so many window starts.
 PIECE = 1 << 22
 #: Runs that a task compares for one anchor; windows of commoner anchors are compared by their own hashes, as rows.
-MOST_RUNS = 1024
+MOST_RUNS = 4096
 _POSITION = U64((1 << 24) - 1)
 
 _ENTRIES = "key long, batch int, entry binary, first int, run int, lead int"
@@ -184,35 +184,49 @@ def _fetcher(length: int):
     return fetch
 
 
-def _spans(flags: np.ndarray) -> bytes:
-    """(first, last) of the runs of true flags."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    pairs = edge.reshape(-1, 2)
-    pairs[:, 1] -= 1
-    return pairs.astype("<i4").tobytes()
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For n[i] places of each i, the i and the place."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _window_keys(raw: bytes, lead: int, length: int, most: int) -> np.ndarray:
-    """A hash of each window of a run (``most`` at most) and of where its anchor is."""
-    if len(raw) < length:
-        return np.empty(0, U64)
-    rolled = _rolling(np.frombuffer(raw, np.uint8), length)[:most]
-    return mix(rolled + (lead - np.arange(len(rolled))).astype(U64) * U64(_BASE))
+def _window_keys(batch: list[tuple[bytes, int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of runs (entry, lead, run, bytes): a hash of each window and of where its anchor is, the run it is in, and its place there."""
+    sizes = np.array([len(row[3]) for row in batch], np.int64)
+    n = np.clip(np.minimum(np.array([row[2] for row in batch], np.int64) + 1, sizes - length + 1), 0, None)
+    owner, place = _spread(n)
+    if not len(owner):
+        return np.empty(0, U64), owner, place
+    rolled = _rolling(np.frombuffer(b"".join(row[3] for row in batch), np.uint8), length)
+    lead = np.array([row[1] for row in batch], np.int64)
+    return mix(rolled[(np.cumsum(sizes) - sizes)[owner] + place] + (lead[owner] - place).astype(U64) * U64(_BASE)), owner, place
 
 
-def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, bytes]]:
-    return zip(*[batch.column(c).to_pylist() for c in ("entry", "lead", "run", "bytes")], strict=True)
+def _spans(flags: np.ndarray, owner: np.ndarray, place: np.ndarray, runs: int) -> list[bytes]:
+    """For each run, (first, last) of its stretches of flagged windows."""
+    edge = np.ones(len(flags) + 1, bool)
+    edge[1:-1] = owner[1:] != owner[:-1]
+    before, after = np.append(False, flags[:-1]), np.append(flags[1:], False)
+    start, end = flags & (edge[:-1] | ~before), flags & (edge[1:] | ~after)
+    raw = np.stack([place[start], place[end]], axis=1).astype("<i4").tobytes()
+    bounds = (8 * np.searchsorted(owner[start], np.arange(runs + 1))).tolist()
+    return [raw[a:z] for a, z in zip(bounds, bounds[1:], strict=False)]
+
+
+def _rows_of(batch: pa.RecordBatch) -> list[tuple[bytes, int, int, bytes]]:
+    return list(zip(*[batch.column(c).to_pylist() for c in ("entry", "lead", "run", "bytes")], strict=True))
 
 
 def _window_rows(lengths: tuple[int, int]):
     def rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
-            for entry, lead, run, raw in _rows_of(batch):
-                head = np.frombuffer(entry[:8], U64)
-                for kind, length in enumerate(lengths):
-                    keys = _window_keys(raw, lead, length, run + 1)
-                    spots, kinds = np.arange(len(keys), dtype=np.int32), np.full(len(keys), kind, np.int8)
-                    yield pa.RecordBatch.from_arrays([pa.array([entry] * len(keys), pa.binary()), pa.array(spots), pa.array(kinds), pa.array(mix(keys ^ head ^ U64(length)).view(np.int64))], ["entry", "spot", "kind", "window"])
+            runs = _rows_of(batch)
+            heads = np.frombuffer(b"".join(r[0][:8] for r in runs), U64)
+            for kind, length in enumerate(lengths):
+                keys, owner, place = _window_keys(runs, length)
+                windows = mix(keys ^ heads[owner] ^ U64(length)).view(np.int64)
+                columns = [batch.column("entry").take(pa.array(owner)), pa.array(place.astype(np.int32)), pa.array(np.full(len(keys), kind, np.int8)), pa.array(windows)]
+                yield pa.RecordBatch.from_arrays(columns, ["entry", "spot", "kind", "window"])
 
     return rows
 
@@ -221,7 +235,7 @@ def _spot_spans(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def spans(spots: list[int] | None) -> bytes:
         flags = np.zeros(max(spots) + 1 if spots else 0, bool)
         flags[spots or []] = True
-        return _spans(flags)
+        return _spans(flags, np.zeros(len(flags), np.int64), np.arange(len(flags)), 1)[0]
 
     for batch in arrow:
         found = [pa.array([spans(s) for s in batch.column(c).to_pylist()], pa.binary()) for c in ("long", "short")]
@@ -238,71 +252,84 @@ def _common_anchors(variants: DataFrame, lengths: tuple[int, int], scratch: Scra
 
 
 def _resolver(lengths: tuple[int, int]):
-    def repeated(group: list[tuple[bytes, int, int, bytes]], length: int) -> list[np.ndarray]:
-        """For each run of a group, which of its windows stand in another run as well."""
-        keys = [_window_keys(raw, lead, length, run + 1) for _, lead, run, raw in group]
-        _, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        return np.split(counts[inverse] > 1, np.cumsum([len(k) for k in keys])[:-1])
-
-    def resolve_group(group: list[tuple[bytes, int, int, bytes]]) -> list[tuple[bytes, bytes, bytes]]:
-        long, short = (repeated(group, n) for n in lengths)
-        return [(g[0], _spans(x), _spans(y)) for g, x, y in zip(group, long, short, strict=True) if y.any()]
-
-    def emit(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.binary()) for c in range(3)], ["entry", "spans", "shared"])
+    def settle(runs: list[tuple[bytes, int, int, bytes]]) -> pa.RecordBatch:
+        """The windows that stand in two runs of an anchor; a run holds each of its windows once."""
+        heads = np.frombuffer(b"".join(r[0][:8] for r in runs), U64)
+        found = []
+        for length in lengths:
+            keys, owner, place = _window_keys(runs, length)
+            _, inverse, counts = np.unique(mix(keys ^ mix(heads[owner])), return_inverse=True, return_counts=True)
+            found.append(_spans(counts[inverse] > 1, owner, place, len(runs)))
+        some = [i for i, shared in enumerate(found[1]) if shared]
+        columns = [[runs[i][0] for i in some], *[[spans[i] for i in some] for spans in found]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["entry", "spans", "shared"])
 
     def resolve(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, group = None, []
+        held: list[tuple[bytes, int, int, bytes]] = []
         for batch in arrow:
-            rows: list[tuple[bytes, bytes, bytes]] = []
-            for row in _rows_of(batch):
-                if row[0][:8] != head:
-                    if len(group) > 1:
-                        rows += resolve_group(group)
-                    head, group = row[0][:8], []
-                group.append(row)
-            yield emit(rows)
-        if len(group) > 1:
-            yield emit(resolve_group(group))
+            held += _rows_of(batch)
+            if not held or held[0][0][:8] == held[-1][0][:8]:
+                continue  # the last anchor may go on in the next batch
+            head = held[-1][0][:8]
+            cut = next(i for i in range(len(held) - 1, -1, -1) if held[i][0][:8] != head) + 1
+            yield settle(held[:cut])
+            held = held[cut:]
+        if held:
+            yield settle(held)
 
     return resolve
 
 
-def _covered(spans: list[np.ndarray], length: int) -> tuple[list[int], list[int]]:
-    """Where the bytes that windows cover begin and end, as maximal runs; spans are of first and last window starts."""
-    found = np.concatenate(spans) if spans else np.empty((0, 2), np.int64)
-    found = found[found[:, 1] >= found[:, 0]]
-    if not len(found):
-        return [], []
-    found = found[np.argsort(found[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(found[:, 1] + length)
-    new = np.concatenate([[True], found[1:, 0] > reach[:-1]])
-    return found[new, 0].tolist(), reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(found) - 1]])].tolist()
+def _covered(owner: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, end) of the maximal runs of bytes that windows cover, from spans of first and last window starts."""
+    fits = last >= first
+    owner, first, last = owner[fits], first[fits], last[fits]
+    order = np.lexsort((first, owner))
+    owner, first, last = owner[order], first[order], last[order]
+    reach = np.maximum.accumulate(owner * (1 << 40) + last + length) - owner * (1 << 40)
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (first[1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    return owner[at], first[at], reach[np.append(at[1:], len(owner)) - 1] if len(at) else reach
 
 
 def _remover(lengths: tuple[int, int]):
-    def pairs(marks: list[dict] | None, column: str, last_start: int) -> list[np.ndarray]:
-        """Spans of windows in the text; a mark without its own holds for the whole run, as far as windows fit in."""
-        found = []
-        for m in marks or ():
-            if m[column] is None:
-                found.append(np.array([[m["first"], min(m["first"] + m["run"], last_start)]]))
-            else:
-                found.append(np.frombuffer(m[column], "<i4").reshape(-1, 2).astype(np.int64) + m["first"])
-        return found
+    def spans(marks: pa.ListArray, column: str, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first, last window start); a mark without its own spans holds for the whole run, as far as windows fit in."""
+        counts = np.diff(marks.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(counts)), counts)
+        struct = marks.flatten()
+        first, run, own = struct.field("first").to_numpy().astype(np.int64), struct.field("run").to_numpy().astype(np.int64), struct.field(column)
+        whole = own.is_null().to_numpy(zero_copy_only=False)
+        part = np.flatnonzero(~whole)
+        blobs = own.take(pa.array(part)).to_pylist()
+        pairs = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2).astype(np.int64)
+        of = np.repeat(part, [len(b) // 8 for b in blobs])
+        last = np.minimum(first + run, sizes[owner] - length)
+        return np.concatenate([owner[whole], owner[of]]), np.concatenate([first[whole], pairs[:, 0] + first[of]]), np.concatenate([last[whole], pairs[:, 1] + first[of]])
 
     def cut(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
-            texts = batch.column("text").cast(pa.large_binary())
-            out: list[tuple] = []
-            for i, marks in enumerate(batch.column("marks").to_pylist()):
-                text = texts[i].as_py() or b""
-                first, last = _covered(pairs(marks, "spans", len(text) - lengths[0]), lengths[0])
-                kept = b"".join(text[a:z] for a, z in zip([0, *last], [*first, len(text)], strict=True))
-                shared = [z - a for a, z in zip(*_covered(pairs(marks, "shared", len(text) - lengths[1]), lengths[1]), strict=True)]
-                out.append((len(text), len(text) - len(kept), len(first), hashlib.sha256(kept).hexdigest(), sum(shared), max(shared, default=0), kept))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)]], [c.split(" ")[0] for c in _CUT.split(", ")])
+            if not batch.num_rows:
+                continue
+            texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            marks = batch.column("marks").fill_null([])
+            sizes = np.array([len(t) for t in texts], np.int64)
+            rows = len(texts)
+            removed, shared = (_covered(*spans(marks, c, sizes, n), n) for c, n in zip(("spans", "shared"), lengths, strict=True))
+            long = np.zeros(rows, np.int64)
+            np.maximum.at(long, shared[0], shared[2] - shared[1])
+            edges = np.searchsorted(removed[0], np.arange(rows + 1)).tolist()
+            begins, ends = removed[1].tolist(), removed[2].tolist()
+            kept = []
+            for i, text in enumerate(texts):
+                a, z = edges[i], edges[i + 1]
+                kept.append(b"".join(text[x:y] for x, y in zip([0, *ends[a:z]], [*begins[a:z], len(text)], strict=True)) if a < z else text)
+            left = np.array([len(k) for k in kept], np.int64)
+            numbers = [sizes, sizes - left, np.bincount(removed[0], minlength=rows), np.bincount(shared[0], shared[2] - shared[1], rows).astype(np.int64), long]
+            n_bytes, n_removed, n_spans, n_repeated, longest = (pa.array(c.astype(np.int64)) for c in numbers)
+            digests = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, n_removed, n_spans, digests, n_repeated, longest, pa.array(kept, pa.binary())], [c.split(" ")[0] for c in _CUT.split(", ")])
 
     return cut
 
@@ -310,7 +337,7 @@ def _remover(lengths: tuple[int, int]):
 _CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, longest_repeat long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, report: int = 256, anchor: int = ANCHOR, batches: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, report: int = 256, anchor: int = ANCHOR, batches: int = 3) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated, longest_repeat, kept.
 
     A byte goes if a string of ``length`` bytes that covers it starts at another
