@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,7 +92,23 @@ _SCALARS = {b"A": ("<c", 1), b"c": ("<b", 1), b"C": ("<B", 1), b"s": ("<h", 2),
 
 def walk_aux(raw: bytes) -> list[tuple[str, str, bytes]]:
     """(tag, type, payload bytes) of each aux field in order; a field that runs over the end is an error."""
-    out, at = [], 0
+    return list(aux_fields(raw))
+
+
+def aux_tags(raw: bytes) -> tuple[list[str], str | None]:
+    """The tags of the aux fields up to the first that can't be read, and what is wrong with that one."""
+    tags: list[str] = []
+    try:
+        for tag, _, _ in aux_fields(raw):
+            tags.append(tag)
+    except ValueError as e:
+        return tags, str(e)
+    return tags, None
+
+
+def aux_fields(raw: bytes) -> Iterator[tuple[str, str, bytes]]:
+    """The fields that ``walk_aux`` lists, one by one."""
+    at = 0
     while at < len(raw):
         if at + 3 > len(raw):
             raise ValueError("truncated aux field")
@@ -110,9 +127,8 @@ def walk_aux(raw: bytes) -> list[tuple[str, str, bytes]]:
             raise ValueError(f"unknown aux type {kind!r}")
         if at + size > len(raw):
             raise ValueError("truncated aux field")
-        out.append((tag, kind.decode(), raw[at : at + size]))
+        yield tag, kind.decode(), raw[at : at + size]
         at += size
-    return out
 
 
 def aux_value(kind: str, payload: bytes):

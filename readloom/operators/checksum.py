@@ -27,12 +27,16 @@ def framed_digest(binary: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.concat(*little, F.lit("00000000"))), binary), 256)
 
 
-def stream_digest(rows: DataFrame, column: str) -> str:
-    """SHA-256 over the framed values of a column, partition by partition in order; the driver holds one partition at a time."""
-    total = hashlib.sha256()
+def framed(value: bytes) -> bytes:
+    return len(value).to_bytes(8, "little") + value
+
+
+def stream_digest(rows: DataFrame, column: str, before: bytes | None = None) -> str:
+    """SHA-256 over the framed values of a column, partition by partition in order, after ``before`` if given; the driver holds one partition at a time."""
+    total = hashlib.sha256(b"" if before is None else framed(before))
     for row in rows.select(column).toLocalIterator(prefetchPartitions=True):
         value = row[0] if isinstance(row[0], (bytes, bytearray)) else row[0].encode()
-        total.update(len(value).to_bytes(8, "little") + bytes(value))
+        total.update(framed(bytes(value)))
     return total.hexdigest()
 
 

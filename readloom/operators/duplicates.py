@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.errors import ReadloomError, unimplemented
 from readloom.functions import expr as E
-from readloom.functions.ordinal import previous, running_sum
+from readloom.functions.ordinal import WIDTH, previous, running_sum
 
 
 def identity_counts(reads: DataFrame, mode: str) -> DataFrame:
@@ -67,31 +69,38 @@ def adjacent_blocks(reads: DataFrame, min_block: int = 50, mode: str = "qname_se
     length, so it is found only if that is ``min_block``. ``any_length`` takes
     every period from ``min_block`` up.
 
-    Only candidate runs reach the driver, and of the reads only the identities
-    inside them.
+    Runs reach the driver, a row each of ``min_block`` records at least, and no
+    identity does.
     """
     if min_block <= 0:
         return []
     if strategy == "any_length":
         return _any_length(reads, min_block, mode)
-    runs = sorted((r["first_ordinal"], r["first_ordinal"] + r["records"]) for r in repeat_runs(reads, min_block, mode).collect())
+    runs = _collected(repeat_runs(reads, min_block, mode))
     if not runs:
         return []
-    spans = reads.sparkSession.createDataFrame([(int(a), int(z + min_block)) for a, z in runs], "a long, z long")
-    rows = reads.join(F.broadcast(spans), (F.col("ordinal") >= F.col("a")) & (F.col("ordinal") < F.col("z")), "left_semi")
-    ids = {r["ordinal"]: r["id"] for r in rows.select("ordinal", F.sha2(E.identity(mode), 256).alias("id")).collect()}
-    return greedy_blocks(runs, ids, min_block)
+    # a block that repeats at two neighbouring lengths is one identity over and over
+    same = repeat_runs(reads, 1, mode).where(F.col("records") > 2 * min_block)
+    return greedy_blocks(runs, [(a, z + 1) for a, z in _collected(same)], min_block)
+
+
+def _collected(runs: DataFrame) -> list[tuple[int, int]]:
+    return sorted((r["first_ordinal"], r["first_ordinal"] + r["records"]) for r in runs.collect())
 
 
-def greedy_blocks(runs: list[tuple[int, int]], ids: dict[int, str], m: int) -> list[tuple[int, int, int]]:
-    """The left-to-right pass over candidate runs [first, end); a block found moves the pass beyond both of its copies."""
+def greedy_blocks(runs: list[tuple[int, int]], constant: list[tuple[int, int]], m: int) -> list[tuple[int, int, int]]:
+    """The left-to-right pass over candidate runs [first, end); a block found moves the pass beyond both of its copies.
+
+    ``constant`` has the stretches [first, end) of one identity that hold more than
+    two blocks; there a block takes half of what is left of the stretch.
+    """
     out, free = [], 0
+    starts = [a for a, _ in constant]
     for first, end in runs:
         at = max(first, free)
         while end - at >= m:
-            size = m
-            while all(ids.get(at + i) is not None and ids.get(at + i) == ids.get(at + size + 1 + i) for i in range(size + 1)):
-                size += 1
+            i = bisect_right(starts, at) - 1
+            size = max(m, (constant[i][1] - at) // 2) if i >= 0 else m
             out.append((at, at + size, size))
             at += 2 * size
         free = max(free, at)
@@ -124,15 +133,18 @@ def removal_ranges(blocks: list[tuple[int, int, int]], keep: str = "first") -> l
 
 
 def remove_ranges(reads: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
-    """Reads outside the ranges, whose list is bounded by what the block search collected."""
+    """Reads outside the ranges. Ranges are cut at multiples of ``WIDTH``, so that the join has a key; the optimizer broadcasts them if they are few."""
     if not ranges:
         return reads
     table = reads.sparkSession.createDataFrame([(int(a), int(z)) for a, z in ranges], "__a long, __z long")
-    return reads.join(F.broadcast(table), (F.col("ordinal") >= F.col("__a")) & (F.col("ordinal") < F.col("__z")), "left_anti")
+    table = table.withColumn("__part", F.explode(F.sequence(F.expr(f"__a div {WIDTH}"), F.expr(f"(__z - 1) div {WIDTH}"))))
+    marked = reads.withColumn("__part", F.expr(f"ordinal div {WIDTH}"))
+    inside = (marked["__part"] == table["__part"]) & (marked["ordinal"] >= table["__a"]) & (marked["ordinal"] < table["__z"])
+    return marked.join(table, inside, "left_anti").drop("__part")
 
 
-def deduplicate(reads: DataFrame, mode: str = "contiguous-block", identity: str = "qname_seq_qual", keep: str = "first", min_block: int = 50) -> DataFrame:
-    """Reads without repeated blocks; ``whole-file-append`` removes only a second half that equals the first."""
+def blocks_to_remove(reads: DataFrame, mode: str = "contiguous-block", identity: str = "qname_seq_qual", keep: str = "first", min_block: int = 50) -> list[tuple[int, int]]:
+    """[first, end) of what a mode removes; ``whole-file-append`` removes only a second half that equals the first."""
     if mode == "global-exact":
         raise unimplemented("global-exact deduplication")
     if mode not in ("contiguous-block", "whole-file-append"):
@@ -141,7 +153,12 @@ def deduplicate(reads: DataFrame, mode: str = "contiguous-block", identity: str
     if mode == "whole-file-append":
         total = reads.count()
         blocks = [b for b in blocks if b[0] == 0 and 2 * b[2] == total]
-    return remove_ranges(reads, removal_ranges(blocks, keep))
+    return removal_ranges(blocks, keep)
+
+
+def deduplicate(reads: DataFrame, mode: str = "contiguous-block", identity: str = "qname_seq_qual", keep: str = "first", min_block: int = 50) -> DataFrame:
+    """Reads without what ``blocks_to_remove`` finds."""
+    return remove_ranges(reads, blocks_to_remove(reads, mode, identity, keep, min_block))
 
 
 def duplication_findings(reads: DataFrame, identity: str = "qname_seq_qual", min_block: int = 50, max_findings: int = 25) -> DataFrame:

@@ -39,27 +39,36 @@ def _count(where: Column, name: str) -> Column:
     return F.count_if(where).alias(name)
 
 
-def summary_counts(reads: DataFrame) -> DataFrame:
-    """Record counts; a record that is both secondary and supplementary counts as secondary."""
+def count_columns() -> list[Column]:
+    """Aggregates of the record counts; a record that is both secondary and supplementary counts as secondary."""
     secondary, supplementary = E.flag(S.SECONDARY), E.flag(S.SUPPLEMENTARY)
-    return reads.agg(
-        F.count(F.lit(1)).alias("records_examined"),
-        _count(E.is_mapped(), "mapped_records"),
-        _count(~E.is_mapped(), "unmapped_records"),
-        _count(secondary, "secondary_records"),
-        _count(~secondary & supplementary, "supplementary_records"),
-        _count(~secondary & ~supplementary, "primary_records"),
-        _count(E.flag(S.DUPLICATE), "duplicate_records"),
-        _count(E.flag(S.QC_FAIL), "qc_fail_records"),
-        _count(E.flag(S.PAIRED), "paired_records"),
-        _count(E.flag(S.PROPER_PAIR), "properly_paired_records"),
-        _count(E.flag(S.READ1), "read1_records"),
-        _count(E.flag(S.READ2), "read2_records"),
-        _count(E.flag(S.REVERSE), "reverse_strand_records"),
-        _count(E.is_contradictory(), "contradictory_records"),
-    )
+    kinds = {
+        "examined": F.lit(True),
+        "mapped": E.is_mapped(),
+        "unmapped": ~E.is_mapped(),
+        "secondary": secondary,
+        "supplementary": ~secondary & supplementary,
+        "primary": ~secondary & ~supplementary,
+        "duplicate": E.flag(S.DUPLICATE),
+        "qc_fail": E.flag(S.QC_FAIL),
+        "paired": E.flag(S.PAIRED),
+        "properly_paired": E.flag(S.PROPER_PAIR),
+        "read1": E.flag(S.READ1),
+        "read2": E.flag(S.READ2),
+        "reverse_strand": E.flag(S.REVERSE),
+        "contradictory": E.is_contradictory(),
+    }
+    names = {"examined": "records_examined"}
+    return [_count(where, names.get(kind, f"{kind}_records")) for kind, where in kinds.items()]
+
+
+def summary_counts(reads: DataFrame) -> DataFrame:
+    """Record counts."""
+    return reads.agg(*count_columns())
 
 
+#: Counts that a summary shows as flag categories.
+FLAG_CATEGORIES = ("paired", "properly_paired", "read1", "read2", "reverse_strand")
 FRACTIONS = ("mapped", "primary", "secondary", "supplementary", "duplicate", "qc_fail")
 
 
@@ -69,13 +78,17 @@ def summary_fractions(reads: DataFrame) -> DataFrame:
     return counts.select(*[E.fraction(F.col(f"{n}_records"), F.col("records_examined")).alias(f"{n}_fraction") for n in FRACTIONS])
 
 
-def mapq_stats(reads: DataFrame) -> DataFrame:
-    return reads.agg(
+def mapq_columns() -> list[Column]:
+    return [
         F.min("mapq").alias("mapq_min"),
         F.max("mapq").alias("mapq_max"),
         E.fraction(F.sum(F.col("mapq").cast("long")), F.count(F.lit(1))).alias("mapq_mean"),
         F.count_if(F.col("mapq") == 0).alias("mapq_zero_count"),
-    )
+    ]
+
+
+def mapq_stats(reads: DataFrame) -> DataFrame:
+    return reads.agg(*mapq_columns())
 
 
 def mapq_histogram(reads: DataFrame) -> DataFrame:
@@ -87,24 +100,20 @@ def refs_with_mapped(reads: DataFrame) -> DataFrame:
 
 
 def summary(reads: DataFrame, limit: int | None, references: int) -> DataFrame:
-    """The whole summary in one row: mode, counts, fractions, mapping status and confidence, from one pass over the scanned records.
+    """The whole summary in one row: mode, counts, fractions, mapping status and confidence, in one aggregation over the scanned records.
 
-    One record beyond the limit is looked for, since only the end of the records makes a scan full.
+    A scan that ends at its limit hasn't seen the end, even if no record follows.
     """
-    scanned = F.lit(True) if limit is None else F.col("ordinal") < limit
-    more = F.lit(False) if limit is None else F.count_if(F.col("ordinal") >= limit - 1) > 0
-    source = reads if limit is None else reads.where(F.col("ordinal") < limit)
-    counts = summary_counts(source)
-    quality = mapq_stats(source)
-    seen = source.agg(more.alias("bounded"), F.count_distinct(F.when(E.is_mapped() & scanned, F.col("ref_id"))).alias("references_with_mapped_reads"))
-    one = counts.join(quality).join(seen)
+    stopped = F.lit(False) if limit is None else F.count(F.lit(1)) >= limit
+    one = bounded(reads, limit).agg(*count_columns(), *mapq_columns(), F.count_distinct(F.when(E.is_mapped(), F.col("ref_id"))).alias("references_with_mapped_reads"), stopped.alias("bounded"))
+    names = [c for c in one.columns if c.startswith("records_") or c.endswith("_records")]
     status = F.when(F.col("records_examined") == 0, "indeterminate").when(F.col("mapped_records") > 0, "mapped").otherwise("unmapped")
     confidence = F.when(F.col("records_examined") == 0, "low").when(F.col("bounded"), "medium").otherwise("high")
     shares = [E.fraction(F.col(f"{n}_records"), F.col("records_examined")).alias(f"{n}_fraction") for n in FRACTIONS]
     return one.select(
         F.when(F.col("bounded"), "bounded_scan").otherwise("full_scan").alias("mode"),
         F.lit(references).cast("long").alias("references_defined"),
-        *[F.col(c) for c in counts.columns],
+        *[F.col(c) for c in names],
         F.when(~F.col("bounded"), F.col("records_examined")).alias("records_total_known"),
         *shares,
         "mapq_min",

@@ -49,13 +49,13 @@ def subsample_hash(reads: DataFrame, fraction: float, identity: Column, mapped_o
 
 
 def fastq_identity(mode: str) -> Column:
-    """Identity bytes of a raw read: name, or name, NUL and sequence, or all four lines' content."""
-    name = F.encode("read_name", "UTF-8")
+    """Identity bytes of a raw read: name, or name, NUL and sequence, or its four lines with NUL between them (``raw_header`` is without its mark)."""
+    name, nul = F.encode("read_name", "UTF-8"), F.lit(b"\x00")
     if mode == "qname":
         return name
-    parts = [name, F.lit(b"\x00"), F.encode("sequence", "UTF-8")]
-    if mode == "full_record":
-        parts += [F.lit(b"\x00"), F.encode("quality", "UTF-8")]
-    elif mode != "qname_seq":
+    if mode == "qname_seq":
+        return F.concat(name, nul, F.encode("sequence", "UTF-8"))
+    if mode != "full_record":
         raise ReadloomError("invalid_argument", f"no such identity: {mode}")
-    return F.concat(*parts)
+    lines = [F.concat(F.lit(b"@"), F.encode("raw_header", "UTF-8")), *[F.encode(c, "UTF-8") for c in ("sequence", "plus_line", "quality")]]
+    return F.concat(lines[0], nul, lines[1], nul, lines[2], nul, lines[3])

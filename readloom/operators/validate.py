@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from readloom import schema as S
+from readloom.errors import ReadloomError
 from readloom.functions import expr as E
+from readloom.functions.kernels import aux_tags
+from readloom.sources.bgzf import EOF_MARKER
+from readloom.sources.header import parse_binary
+
+#: What parsing a damaged header may raise.
+HEADER_ERRORS = (ReadloomError, ValueError, IndexError, KeyError, struct.error)
 
 #: (code, severity, condition) of record rules; conditions are SQL text over a reads row.
 RECORD_RULES: tuple[tuple[str, str, str], ...] = (
@@ -34,9 +44,93 @@ def record_findings(reads: DataFrame, refs: DataFrame | None = None) -> DataFram
 
 
 def aux_findings(reads: DataFrame) -> DataFrame:
-    """Records whose aux tags repeat. ``tags`` is an array of tag names."""
-    repeated = reads.where(F.size(F.array_distinct("tags")) < F.size("tags"))
-    return repeated.select(F.lit("warning").alias("severity"), F.lit("aux").alias("scope"), F.lit("duplicate_aux_tag").alias("code"), (F.col("ordinal") + 1).alias("record_index"))
+    """(severity, scope, code, record_index, tag) for each aux tag that its record had before. ``tags`` is an array of tag names."""
+    again = F.expr("filter(transform(tags, (t, i) -> if(array_position(tags, t) <= i, t, null)), t -> t is not null)")
+    repeated = reads.select((F.col("ordinal") + 1).alias("record_index"), F.explode(again).alias("tag"))
+    return repeated.select(F.lit("warning").alias("severity"), F.lit("aux").alias("scope"), F.lit("duplicate_aux_tag").alias("code"), "record_index", "tag")
+
+
+def _check_aux(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrow:
+        repeated, malformed = [], []
+        for raw in batch.column("aux_bytes").to_pylist():
+            tags, problem = aux_tags(raw or b"")
+            repeated.append([t for i, t in enumerate(tags) if t in tags[:i]] if len(set(tags)) < len(tags) else [])
+            malformed.append(problem)
+        columns = [*batch.columns, pa.array(repeated, pa.list_(pa.string())), pa.array(malformed, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "repeated", "malformed"])
+
+
+def _entry(severity: str, scope: str, code: str, tag: Column | None = None) -> Column:
+    values = {"severity": F.lit(severity), "scope": F.lit(scope), "code": F.lit(code), "tag": F.lit(None).cast("string") if tag is None else tag}
+    return F.struct(*[v.alias(n) for n, v in values.items()])
+
+
+def aux_region_findings(reads: DataFrame) -> DataFrame:
+    """The findings of ``aux_findings`` and those on aux regions that can't be read to their end, from ``aux_bytes``."""
+    checked = reads.select("ordinal", "aux_bytes").mapInArrow(_check_aux, "ordinal long, aux_bytes binary, repeated array<string>, malformed string")
+    return _exploded(checked, [])
+
+
+def body_findings(raw: DataFrame) -> DataFrame:
+    """All findings on records in one pass over raw reads: (severity, scope, code, tag, record_index, place), in the order of rules; a record without a name couldn't be decoded."""
+    names = raw.columns
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in raw.schema.fields)
+    checked = raw.select(*names).mapInArrow(_check_aux, types + ", repeated array<string>, malformed string")
+    rules = [F.when(F.expr(condition), _entry(severity, "record", code)) for code, severity, condition in RECORD_RULES]
+    return _exploded(checked, [F.when(F.col("read_name").isNull(), _entry("error", "record", "invalid_record")), *rules])
+
+
+def _exploded(checked: DataFrame, rules: list[Column]) -> DataFrame:
+    again = F.transform("repeated", lambda t: _entry("warning", "aux", "duplicate_aux_tag", t))
+    broken = F.when(F.col("malformed").isNotNull(), _entry("error", "aux", "malformed_aux_region"))
+    entries = F.concat(F.array_compact(F.array(*rules)), again, F.array_compact(F.array(broken))) if rules else F.concat(again, F.array_compact(F.array(broken)))
+    found = checked.select((F.col("ordinal") + 1).alias("record_index"), F.posexplode(entries).alias("place", "f"))
+    return found.select("f.severity", "f.scope", "f.code", "f.tag", "record_index", "place")
+
+
+def damage_findings(layout: DataFrame) -> DataFrame:
+    """The first record that can't be read: (severity, scope, code, record_index), no row if all can.
+
+    ``layout`` has, of each record, its ordinal, block_size, the bytes its fields
+    take (fields_size) and those there are (available). Reading ends there.
+    """
+    code = (
+        F.when(F.col("block_size") < 32, "invalid_record")
+        .when(F.col("available") < F.col("block_size"), "truncated_record")
+        .when(F.col("fields_size") > F.col("block_size"), "invalid_record")
+    )
+    first = layout.select("ordinal", code.alias("code")).where("code IS NOT NULL").agg(F.min(F.struct("ordinal", "code")).alias("f")).where("f IS NOT NULL")
+    return first.select(F.lit("error").alias("severity"), F.lit("record").alias("scope"), "f.code", (F.col("f.ordinal") + 1).alias("record_index"))
+
+
+def eof_findings(tails: DataFrame) -> DataFrame:
+    """(severity, scope, code, source): whether each file, of which ``tail`` has the last bytes, ends in the end marker of blocked gzip."""
+    there = F.substring("tail", -len(EOF_MARKER), len(EOF_MARKER)) == F.lit(EOF_MARKER)
+    there = F.coalesce(there, F.lit(False))
+    return tails.select(
+        F.when(there, "info").otherwise("warning").alias("severity"),
+        F.lit("file").alias("scope"),
+        F.when(there, "bgzf_eof_present").otherwise("missing_bgzf_eof").alias("code"),
+        "source",
+    )
+
+
+def _parse_headers(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrow:
+        bad = []
+        for source, raw in zip(batch.column("source").to_pylist(), batch.column("header").to_pylist(), strict=True):
+            try:
+                parse_binary(raw or b"")
+            except HEADER_ERRORS:
+                bad.append(source)
+        yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["source"])
+
+
+def header_parse_findings(headers: DataFrame) -> DataFrame:
+    """(severity, scope, code, source) of files whose binary ``header`` can't be parsed."""
+    bad = headers.select(F.col("source").cast("string").alias("source"), "header").mapInArrow(_parse_headers, "source string")
+    return bad.select(F.lit("error").alias("severity"), F.lit("header").alias("scope"), F.lit("invalid_header").alias("code"), "source")
 
 
 def header_findings(refs: DataFrame, sq: DataFrame, groups: DataFrame, programs: DataFrame) -> DataFrame:

@@ -74,3 +74,46 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _header(spark, sf_dir, PROGRAMS_SQL, ())
+
+
+# Relations with damage, for validation: column expressions or hexadecimal text by a key.
+
+LAYOUT_SQL = """layout AS (SELECT ordinal, block_size + 40 AS block_size, cast(60 + ordinal % 3 AS int) AS fields_size,
+    cast(case when ordinal % 4999 = 4998 then block_size when ordinal % 6007 = 6006 then 10 else block_size + 40 end AS int) AS available FROM reads)"""
+
+#: Aux regions by ordinal modulo 9: a tag twice, and regions that end too soon or hold an unknown type; the seventh is both.
+AUX_HEX = (
+    "4E4D43014E4D4302",  # NM:C twice
+    "4E4D4301584200",  # XB has an unknown type
+    "4E4D69010000",  # NM:i of three bytes
+    "4D445A4143",  # MD:Z without its end
+    "4E4D",  # a tag alone
+    "4D4C424303000000010203FF4E",  # one byte too many after ML:B:C
+    "5842430158424302584263",  # XB:C twice, then cut
+    "4E4D43014D445A414300",  # NM:C, MD:Z
+    "",
+)
+
+
+def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = LAYOUT_SQL[LAYOUT_SQL.index("(") + 1 : -1].replace("FROM reads", "FROM {reads}")
+    return spark.sql(body, reads=reads(spark, sf_dir))
+
+
+def aux_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = F.array(*[F.unhex(F.lit(h)) for h in AUX_HEX])
+    return reads(spark, sf_dir).select("ordinal", F.get(regions, (F.col("ordinal") % len(AUX_HEX)).cast("int")).alias("aux_bytes"))
+
+
+def tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last bytes of files: the end marker behind something, the marker cut short, or something else."""
+    marker = "1f8b08040000000000ff0600424302001b0003000000000000000000"
+    tail = F.when(F.expr("n_nationkey % 3 = 0"), F.unhex(F.lit("AB" + marker))).when(F.expr("n_nationkey % 3 = 1"), F.unhex(F.lit(marker[:-2]))).otherwise(F.encode("n_name", "UTF-8"))
+    return _table(spark, sf_dir, "nation").select(F.col("n_name").alias("source"), tail.alias("tail"))
+
+
+def binary_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary headers: whole for two keys of five, else with another magic, a name cut short, or no number of references."""
+    whole = "42414D01" + "05000000" + "40434F0978" + "01000000" + "05000000" + "6368724100" + "88130000"
+    kinds = F.array(*[F.unhex(F.lit(h)) for h in (whole, "42414D02" + whole[8:], whole[:-12], whole[:26], whole)])
+    return _table(spark, sf_dir, "nation").select(F.col("n_name").alias("source"), F.get(kinds, F.expr("cast(n_nationkey % 5 as int)")).alias("header"))

@@ -269,11 +269,30 @@ def check_sort_violations(spark, sf):
     return order.sort_violations(A.reads(spark, sf), 5000).select("coordinate_violation", "lexicographic_violation", "scanned")
 
 
-@query("check_sort")
+#: Names are a word, a colon and a number, so natural order is that of the word, then of the number and its length.
+CHECK_SORT_SQL = """SELECT CASE WHEN n = 0 THEN 'indeterminate' WHEN c IS NULL THEN 'coordinate' WHEN l IS NULL OR m IS NULL THEN 'queryname' ELSE 'unsorted' END AS order,
+      CASE WHEN n > 0 THEN c IS NULL OR l IS NULL OR m IS NULL END AS appears_sorted,
+      CASE WHEN c IS NOT NULL AND l IS NOT NULL AND m IS NOT NULL THEN greatest(c, l, m) ELSE n END AS records_examined,
+      CASE WHEN c IS NOT NULL AND l IS NOT NULL AND m IS NOT NULL THEN least(c, l, m) END AS first_violation,
+      CASE WHEN n = 0 THEN 'limited' ELSE 'strong' END AS evidence_strength,
+      CASE WHEN n > 0 THEN c IS NULL END AS agrees_with_header, CASE WHEN n = 0 THEN 'low' ELSE 'high' END AS confidence
+    FROM (SELECT count(*) AS n, min(CASE WHEN before_place > place THEN ordinal + 1 END) AS c, min(CASE WHEN before_name > read_name THEN ordinal + 1 END) AS l, min(CASE WHEN before_digits > digits THEN ordinal + 1 END) AS m
+      FROM (SELECT *, lag(place) OVER w AS before_place, lag(read_name) OVER w AS before_name, lag(digits) OVER w AS before_digits
+        FROM (SELECT ordinal, read_name, (split_part(read_name, ':', 1), CAST(split_part(read_name, ':', 2) AS bigint), length(read_name)) AS digits,
+            (ref_id < 0, CASE WHEN ref_id < 0 THEN 2147483647 ELSE ref_id END, CASE WHEN ref_id < 0 THEN 2147483647 ELSE greatest(pos, 0) END, (flags // 16) % 2, (flags // 256) % 2, (flags // 2048) % 2, (flags // 64) % 2, (flags // 128) % 2, flags) AS place
+          FROM reads WHERE ordinal < LIMIT_OF_SCAN) WINDOW w AS (ORDER BY ordinal)))"""
+
+
+@query("check_sort", CHECK_SORT_SQL.replace("LIMIT_OF_SCAN", "10000"), A.READS_SQL)
 def check_sort(spark, sf):
     return order.check_sort(A.reads(spark, sf), 10000, "coordinate")
 
 
+@query("check_sort_strict", CHECK_SORT_SQL.replace("WHERE ordinal < LIMIT_OF_SCAN", ""), A.READS_SQL)
+def check_sort_strict(spark, sf):
+    return order.check_sort(A.reads(spark, sf), None, "coordinate")
+
+
 SORT_COLUMNS = "ordinal, ref_id, pos, read_name, flags"
 
 
@@ -334,7 +353,16 @@ def readname_regime_styles(spark, sf):
     return order.edge_windows(A.reads(spark, sf)).groupBy("edge", E.name_style().alias("style")).agg(F.count(F.lit(1)).alias("records"))
 
 
-@query("readname_regime")
+@query(
+    "readname_regime",
+    """SELECT max(CASE WHEN edge = 'start' THEN style END) AS start_style, max(CASE WHEN edge = 'end' THEN style END) AS end_style
+    FROM (SELECT edge, CASE WHEN read_name LIKE '%:%:%:%' THEN 'colon_delimited' WHEN read_name LIKE '%\\_%' ESCAPE '\\' THEN 'underscore_or_dash' ELSE 'simple' END AS style, count(*) AS n, sum(count(*)) OVER (PARTITION BY edge) AS size
+      FROM (SELECT edge, CASE WHEN ordinal * 2 > last THEN 'run_' || ordinal ELSE 'a:b:c:d' END AS read_name
+        FROM (SELECT ordinal, max(ordinal) OVER () AS last FROM reads) JOIN (VALUES ('start'), ('end')) AS e(edge) ON (edge = 'start' AND ordinal < 256) OR (edge = 'end' AND ordinal > last - 256))
+      GROUP BY 1, 2) WHERE size >= 16 AND n >= 0.8 * size
+    HAVING max(CASE WHEN edge = 'start' THEN style END) <> max(CASE WHEN edge = 'end' THEN style END)""",
+    A.READS_SQL,
+)
 def readname_regime(spark, sf):
     reads = A.reads(spark, sf)
     last = reads.agg(F.max("ordinal").alias("last"))
@@ -342,7 +370,14 @@ def readname_regime(spark, sf):
     return order.readname_regime(shifted.drop("last"))
 
 
-@query("tag_schema_shift")
+@query(
+    "tag_schema_shift",
+    """SELECT s.mean AS start_mean_tags, e.mean AS end_mean_tags, s.tags AS start_prevalent, e.tags AS end_prevalent FROM
+      (SELECT count(*) AS n, avg(CASE WHEN ordinal < 300 THEN 3 ELSE 1 END) AS mean, CASE WHEN 10 * count(*) FILTER (WHERE ordinal < 300) >= 6 * count(*) THEN 'AS,MD,NM' ELSE 'NM' END AS tags FROM reads WHERE ordinal < 256) s,
+      (SELECT count(*) AS n, avg(CASE WHEN ordinal < 300 THEN 3 ELSE 1 END) AS mean, CASE WHEN 10 * count(*) FILTER (WHERE ordinal < 300) >= 6 * count(*) THEN 'AS,MD,NM' ELSE 'NM' END AS tags FROM reads WHERE ordinal >= (SELECT count(*) FROM reads) - 256) e
+    WHERE s.n >= 16 AND e.n >= 16 AND (abs(s.mean - e.mean) >= 1.5 OR s.tags <> e.tags)""",
+    A.READS_SQL,
+)
 def tag_schema_shift(spark, sf):
     reads = A.reads(spark, sf)
     return order.tag_schema_shift(reads.withColumn("tags", F.when(F.col("ordinal") < 300, F.array(F.lit("NM"), F.lit("MD"), F.lit("AS"))).otherwise(F.array(F.lit("NM")))))
@@ -377,26 +412,6 @@ def block_self_join(spark, sf):
     return duplicates.repeats_at(A.copies(spark, sf), 3)
 
 
-def _appended(spark, sf) -> DataFrame:
-    """The first 120 documents, then 60 and the same 60 again."""
-    copies = A.copies(spark, sf)
-    again = copies.where("ordinal >= 120 AND ordinal < 180").withColumn("ordinal", F.col("ordinal") + 60)
-    return copies.where("ordinal < 180").unionByName(again)
-
-
-APPENDED_SQL = "appended AS (SELECT ordinal, read_name, sequence FROM copies WHERE ordinal < 180 UNION ALL SELECT ordinal + 60 AS ordinal, read_name, sequence FROM copies WHERE ordinal >= 120 AND ordinal < 180)"
-
-
-@query("dedup_apply", "SELECT ordinal, read_name FROM appended WHERE ordinal < 180", A.COPIES_SQL, APPENDED_SQL)
-def dedup_apply(spark, sf):
-    return duplicates.deduplicate(_appended(spark, sf), min_block=60).select("ordinal", "read_name")
-
-
-@query("adjacent_blocks", "SELECT CAST(120 AS bigint) AS first, CAST(180 AS bigint) AS second, CAST(60 AS bigint) AS records")
-def adjacent_blocks(spark, sf):
-    return spark.createDataFrame(duplicates.adjacent_blocks(_appended(spark, sf), 60), "first long, second long, records long")
-
-
 def _doubled(spark, sf) -> tuple[DataFrame, int]:
     """All documents and then all of them again, and how many they are."""
     copies = A.copies(spark, sf)
@@ -407,26 +422,45 @@ def _doubled(spark, sf) -> tuple[DataFrame, int]:
 DOUBLED_SQL = "doubled AS (SELECT ordinal, read_name, sequence FROM copies UNION ALL SELECT ordinal + (SELECT count(*) FROM copies) AS ordinal, read_name, sequence FROM copies)"
 
 
-@query("dedup_apply_whole", "SELECT ordinal, read_name FROM doubled WHERE ordinal < (SELECT count(*) FROM copies)", A.COPIES_SQL, DOUBLED_SQL)
-def dedup_apply_whole(spark, sf):
+DOUBLED_LEFT_SQL = """SELECT ordinal, read_name FROM doubled d WHERE NOT EXISTS (SELECT 1 FROM doubled e
+    WHERE e.ordinal = d.ordinal - (SELECT count(*) FROM copies) AND e.read_name = d.read_name AND e.sequence = d.sequence)"""
+
+
+@query("dedup_apply", DOUBLED_LEFT_SQL, A.COPIES_SQL, DOUBLED_SQL)
+def dedup_apply(spark, sf):
     doubled, count = _doubled(spark, sf)
     return duplicates.deduplicate(doubled, min_block=count).select("ordinal", "read_name")
 
 
+@query("dedup_whole_file_append", DOUBLED_LEFT_SQL, A.COPIES_SQL, DOUBLED_SQL)
+def dedup_whole_file_append(spark, sf):
+    doubled, count = _doubled(spark, sf)
+    return duplicates.deduplicate(doubled, "whole-file-append", min_block=count).select("ordinal", "read_name")
+
+
 @query(
-    "adjacent_blocks_whole",
+    "adjacent_blocks",
     """SELECT min(a.ordinal) AS first, min(b.ordinal) AS second, count(*) AS records FROM doubled a JOIN doubled b ON b.ordinal = a.ordinal + (SELECT count(*) FROM copies)
     WHERE a.read_name = b.read_name AND a.sequence = b.sequence HAVING count(*) > 0 AND count(*) = (SELECT count(*) FROM copies)""",
     A.COPIES_SQL,
     DOUBLED_SQL,
 )
-def adjacent_blocks_whole(spark, sf):
+def adjacent_blocks(spark, sf):
     return spark.createDataFrame(duplicates.adjacent_blocks(*_doubled(spark, sf)), "first long, second long, records long")
 
 
-@query("inspect_duplication")
+@query(
+    "inspect_duplication",
+    """SELECT 'whole_file_append_duplicate' AS finding, 'high' AS confidence, 'strong' AS evidence_strength, 1 AS first_1, n AS last_1, n + 1 AS first_2, 2 * n AS last_2
+      FROM (SELECT count(*) AS n FROM copies) WHERE n > 0 AND n = (SELECT count(*) FROM doubled a JOIN doubled b ON b.ordinal = a.ordinal + n WHERE a.read_name = b.read_name AND a.sequence = b.sequence)
+    UNION ALL SELECT 'exact_record_duplicate', CASE WHEN 4 * sum(k) FILTER (WHERE k > 1) >= sum(k) THEN 'high' ELSE 'medium' END, 'moderate', NULL, NULL, NULL, NULL
+      FROM (SELECT count(*) AS k FROM doubled GROUP BY read_name, sequence) HAVING count(*) FILTER (WHERE k > 1) > 0""",
+    A.COPIES_SQL,
+    DOUBLED_SQL,
+)
 def inspect_duplication(spark, sf):
-    return duplicates.duplication_findings(A.copies(spark, sf))
+    doubled, count = _doubled(spark, sf)
+    return duplicates.duplication_findings(doubled, min_block=count)
 
 
 @query("merge_input", "SELECT ordinal, read_name, 0 AS file_no FROM reads UNION ALL SELECT ordinal + (SELECT count(*) FROM reads) AS ordinal, read_name, 1 AS file_no FROM reads", A.READS_SQL)
@@ -462,10 +496,21 @@ def reg2bin(spark, sf):
     return A.reads(spark, sf).select("ordinal", E.reg2bin(begin, begin + F.col("l_seq") * F.col("l_seq") * 10).alias("bin"))
 
 
+#: Written out apart from the rules that they check: (severity, code, condition) with flag bits as remainders.
 RULES_SQL = " UNION ALL ".join(
-    f"SELECT '{severity}' AS severity, 'record' AS scope, '{code}' AS code, ordinal + 1 AS record_index FROM reads WHERE "
-    + ("regexp_matches(read_name, '[\\x00-\\x1f\\x7f]')" if "rlike" in condition else condition.replace("flags & 4 <> 0", "(flags & 4) <> 0"))
-    for code, severity, condition in validate.RECORD_RULES
+    f"SELECT '{severity}' AS severity, 'record' AS scope, '{code}' AS code, ordinal + 1 AS record_index FROM reads WHERE {condition}"
+    for severity, code, condition in (
+        ("error", "invalid_block_size", "NOT block_size >= 32"),
+        ("error", "empty_read_name", "length(read_name) = 0"),
+        ("warning", "control_character_in_read_name", "len(list_filter(string_split(read_name, ''), lambda c: unicode(c) < 32 OR unicode(c) = 127)) > 0"),
+        ("error", "contradictory_mapping_state", "CASE WHEN (flags // 4) % 2 = 1 THEN ref_id > -1 ELSE ref_id < 0 END"),
+        ("error", "negative_position_for_mapped_record", "(flags // 4) % 2 = 0 AND sign(pos) = -1"),
+        ("warning", "mate_position_inconsistency", "next_ref_id > -1 AND sign(next_pos) = -1"),
+        ("warning", "proper_pair_without_paired_flag", "flags % 4 = 2"),
+        ("warning", "read1_and_read2_both_set", "(flags // 64) % 4 = 3"),
+        ("warning", "secondary_and_supplementary_both_set", "(flags // 256) % 2 + (flags // 2048) % 2 = 2"),
+        ("warning", "mapped_record_without_cigar", "(flags // 4) % 2 + n_cigar = 0"),
+    )
 )
 
 
@@ -474,11 +519,46 @@ def validate_records(spark, sf):
     return validate.record_findings(A.reads(spark, sf))
 
 
-@query("validate_aux", "SELECT 'warning' AS severity, 'aux' AS scope, 'duplicate_aux_tag' AS code, ordinal + 1 AS record_index FROM reads WHERE tag_text = 'NM,MD,NM'", A.READS_SQL)
+@query("validate_aux", "SELECT 'warning' AS severity, 'aux' AS scope, 'duplicate_aux_tag' AS code, ordinal + 1 AS record_index, 'NM' AS tag FROM reads WHERE tag_text = 'NM,MD,NM'", A.READS_SQL)
 def validate_aux(spark, sf):
     return validate.aux_findings(A.reads(spark, sf))
 
 
+@query(
+    "validate_aux_region",
+    """SELECT CASE WHEN k IN (0, 6) THEN 'warning' ELSE 'error' END AS severity, 'aux' AS scope, CASE WHEN k IN (0, 6) THEN 'duplicate_aux_tag' ELSE 'malformed_aux_region' END AS code, ordinal + 1 AS record_index, CASE WHEN k = 0 THEN 'NM' WHEN k = 6 THEN 'XB' END AS tag
+      FROM (SELECT ordinal, ordinal % 9 AS k FROM reads) WHERE k IN (0, 1, 2, 3, 4, 5, 6)
+    UNION ALL SELECT 'error', 'aux', 'malformed_aux_region', ordinal + 1, NULL FROM reads WHERE ordinal % 9 = 6""",
+    A.READS_SQL,
+)
+def validate_aux_region(spark, sf):
+    return validate.aux_region_findings(A.aux_regions(spark, sf)).select("severity", "scope", "code", "record_index", "tag")
+
+
+@query(
+    "validate_damage",
+    """SELECT 'error' AS severity, 'record' AS scope, CASE WHEN block_size < 32 OR available >= block_size THEN 'invalid_record' ELSE 'truncated_record' END AS code, ordinal + 1 AS record_index
+    FROM layout WHERE ordinal = (SELECT min(ordinal) FROM layout WHERE least(block_size - 32, available - block_size, block_size - fields_size) < 0)""",
+    A.READS_SQL,
+    A.LAYOUT_SQL,
+)
+def validate_damage(spark, sf):
+    return validate.damage_findings(A.layout(spark, sf))
+
+
+@query(
+    "validate_eof",
+    """SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'info' ELSE 'warning' END AS severity, 'file' AS scope, CASE WHEN n_nationkey % 3 = 0 THEN 'bgzf_eof_present' ELSE 'missing_bgzf_eof' END AS code, n_name AS source FROM nation""",
+)
+def validate_eof(spark, sf):
+    return validate.eof_findings(A.tails(spark, sf))
+
+
+@query("validate_header_parse", "SELECT 'error' AS severity, 'header' AS scope, 'invalid_header' AS code, n_name AS source FROM nation WHERE n_nationkey % 5 BETWEEN 1 AND 3")
+def validate_header_parse(spark, sf):
+    return validate.header_parse_findings(A.binary_headers(spark, sf))
+
+
 @query(
     "validate_header",
     """SELECT 'warning' AS severity, 'header' AS scope, 'reference_length_mismatch' AS code, refs.name AS reference_name FROM refs JOIN sq ON refs.name = sq.name WHERE refs.length <> sq.length
@@ -508,28 +588,56 @@ def validate_caps(spark, sf):
     return validate.capped(validate.record_findings(A.reads(spark, sf)), 20, 20).select("severity", "code", "record_index", "rank")
 
 
-@query("record_digest", "SELECT ordinal, sha256(octet_length(encode(a)) || ':' || a || '|' || octet_length(encode(read_name)) || ':' || read_name) AS digest FROM (SELECT *, concat_ws(',', ref_id, pos, mapq, flags, next_ref_id, next_pos, tlen) AS a FROM reads)", A.READS_SQL)
+RECORD_BYTES_SQL = "octet_length(encode(a)) || ':' || a || '|' || octet_length(encode(read_name)) || ':' || read_name"
+RECORD_FIELDS_SQL = "(SELECT *, concat_ws(',', ref_id, pos, mapq, flags, next_ref_id, next_pos, tlen) AS a FROM reads)"
+
+
+@query("record_digest", f"SELECT ordinal, sha256({RECORD_BYTES_SQL}) AS digest FROM {RECORD_FIELDS_SQL}", A.READS_SQL)
 def record_digest(spark, sf):
     return A.reads(spark, sf).select("ordinal", checksum.record_digest().alias("digest"))
 
 
-@query("checksum_multiset")
+@query(
+    "checksum_multiset",
+    f"""SELECT count(*) AS records, {", ".join(f"bit_xor(w{i}) AS xor_{i}, CAST(sum(w{i}) AS bigint) AS sum_{i}" for i in range(8))}
+    FROM (SELECT {", ".join(f"CAST('0x' || substring(d, {1 + 8 * i}, 8) AS bigint) AS w{i}" for i in range(8))} FROM (SELECT sha256({RECORD_BYTES_SQL}) AS d FROM {RECORD_FIELDS_SQL}))""",
+    A.READS_SQL,
+)
 def checksum_multiset(spark, sf):
     return checksum.checksum_multiset(A.reads(spark, sf))
 
 
-@query("checksum_canonical")
+@query(
+    "checksum_canonical",
+    # lengths are under 128, so a length as 64 bits is its character and seven NULs
+    f"""SELECT 'raw' AS mode, sha256(string_agg(chr(CAST(length(b) AS int)) || repeat(chr(0), 7) || b, '' ORDER BY ordinal)) AS digest FROM (SELECT ordinal, {RECORD_BYTES_SQL} AS b FROM {RECORD_FIELDS_SQL})
+    UNION ALL SELECT 'canonical', sha256(string_agg(chr(64) || repeat(chr(0), 7) || d, '' ORDER BY d)) FROM (SELECT sha256({RECORD_BYTES_SQL}) AS d FROM {RECORD_FIELDS_SQL})""",
+    A.READS_SQL,
+)
 def checksum_canonical(spark, sf):
     reads = A.reads(spark, sf)
     return spark.createDataFrame([("raw", checksum.checksum_in_order(reads)), ("canonical", checksum.checksum_canonical(reads))], "mode string, digest string")
 
 
-@query("subsample_random")
+#: The n-th output of a 64-bit generator with a fixed increment, written with 128-bit products.
+DRAW_SQL = """draws AS (SELECT ordinal, read_name, xor(x2, x2 >> 31) AS draw FROM (SELECT *, CAST((CAST(xor(x1, x1 >> 27) AS uhugeint) * 10723151780598845931) % 18446744073709551616 AS ubigint) AS x2
+    FROM (SELECT *, CAST((CAST(xor(x0, x0 >> 30) AS uhugeint) * 13787848793156543929) % 18446744073709551616 AS ubigint) AS x1
+      FROM (SELECT ordinal, read_name, CAST((7 + CAST(row_number() OVER (ORDER BY ordinal) AS uhugeint) * 11400714819323198485) % 18446744073709551616 AS ubigint) AS x0 FROM reads WHERE ref_id >= 0 AND (flags // 4) % 2 = 0))))"""
+
+
+@query("subsample_random", "SELECT ordinal, read_name FROM draws WHERE draw <= 4611686018427387904", A.READS_SQL, DRAW_SQL)
 def subsample_random(spark, sf):
     return sample.subsample_random(A.reads(spark, sf), 0.25, 7, mapped_only=True).select("ordinal", "read_name")
 
 
-@query("subsample_hash")
+@query(
+    "subsample_hash",
+    # a fold over the bytes of name, NUL and text: exclusive or, then a product modulo 2^64; kept up to half of the largest value as a double
+    """SELECT ordinal, read_name FROM (SELECT ordinal, read_name, list_reduce(list_prepend(CAST(14695981039346656037 AS uhugeint),
+        list_transform(regexp_extract_all(hex(encode(read_name || chr(0) || sequence)), '..'), lambda h: CAST('0x' || h AS uhugeint))),
+        lambda v, b: (CAST(xor(CAST(v AS ubigint), CAST(b AS ubigint)) AS uhugeint) * 1099511628211) % 18446744073709551616) AS h FROM copies) WHERE h <= 9223372036854775808""",
+    A.COPIES_SQL,
+)
 def subsample_hash(spark, sf):
     return sample.subsample_hash(A.copies(spark, sf), 0.5, sample.fastq_identity("qname_seq")).select("ordinal", "read_name")
 
@@ -561,7 +669,15 @@ def forensic_read_groups(spark, sf):
     return found.select("category", "severity", "message")
 
 
-@query("forensic_inspect")
+@query(
+    "forensic_inspect",
+    """SELECT least(n, 25) AS findings, n > 0 AS suspicion_detected, false AS likely_concatenation_or_coercion FROM (SELECT
+      (SELECT count(*) FROM (SELECT id FROM groups GROUP BY id HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT sample FROM groups GROUP BY sample HAVING count(DISTINCT platform) > 1))
+      + (SELECT count(*) FROM (SELECT id FROM programs GROUP BY id HAVING count(*) > 1)) + (SELECT count(*) FROM programs WHERE previous_program_id IS NOT NULL AND previous_program_id NOT IN (SELECT id FROM programs))
+      + (SELECT CASE WHEN count(*) > 1 THEN 1 ELSE 0 END FROM programs WHERE previous_program_id IS NULL OR previous_program_id NOT IN (SELECT id FROM programs)) AS n)""",
+    A.GROUPS_SQL,
+    A.PROGRAMS_SQL,
+)
 def forensic_inspect(spark, sf):
     copies = A.copies(spark, sf).withColumn("rg", F.lit(None).cast("string")).withColumn("tags", F.array(F.lit("NM")))
     found = forensic.forensic_findings(copies, A.groups(spark, sf), A.programs(spark, sf))
@@ -606,7 +722,15 @@ def consume_alignment(spark, sf):
     return rewrite.merge([reads, reads]).select("ordinal", "read_name", "ref_id")
 
 
-@query("multiset_equality", "SELECT true AS sorted_equals, false AS bounded_equals")
+MULTISET = "read_name, ref_id, pos, flags, next_ref_id, next_pos, tlen"
+
+
+@query(
+    "multiset_equality",
+    f"""SELECT NOT EXISTS (SELECT {MULTISET} FROM (SELECT * FROM reads ORDER BY read_name) EXCEPT ALL SELECT {MULTISET} FROM reads) AS sorted_equals,
+    NOT EXISTS (SELECT {MULTISET} FROM reads EXCEPT ALL SELECT {MULTISET} FROM reads WHERE ordinal < 100) AS bounded_equals""",
+    A.READS_SQL,
+)
 def multiset_equality(spark, sf):
     reads = A.reads(spark, sf).select("ordinal", "read_name", "ref_id", "pos", "flags", "next_ref_id", "next_pos", "tlen")
     same = rewrite.same_multiset(reads, order.sort_reads(reads, "queryname"))

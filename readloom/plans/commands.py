@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 from readloom.errors import ReadloomError, unimplemented
 from readloom.operators import duplicates, forensic, order, profile, rewrite, sample, validate
-from readloom.sources import bam, fastq, files, index, probe, sam
+from readloom.operators.checksum import framed
+from readloom.sources import bam, bgzf, fastq, files, index, probe, sam
 from readloom.sources.header import Header
 from readloom.sources.header import reheader as change_header
 
 COMMANDS: dict[str, Callable] = {}
 
+# Fixed values of the public format: the type codes of aux fields.
+AUX_TYPES = ("A", "c", "C", "s", "S", "i", "I", "f", "Z", "H", "B")
+
 
 def command(name: str):
     """Register a command whose result, or error, is put in an envelope."""
@@ -77,7 +81,10 @@ def _scratch(spark: SparkSession, name: str) -> str:
     import tempfile
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ReadloomError("invalid_argument", "spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -119,10 +126,19 @@ def enumerate_(spark, path, compat: bool = False):
 
 
 @command("summary")
-def summary(spark, path, sample_records: int = 100_000, full_scan: bool = False, include_mapq_hist: bool = False):
+def summary(spark, path, sample_records: int = 100_000, full_scan: bool = False, prefer_index: bool = False, include_mapq_hist: bool = False, include_flags: bool = False):
     reads, head = _bam(spark, path), bam.read_header(path)
     limit = None if full_scan else sample_records
     out = _one(profile.summary(reads, limit, len(head.references)))
+    flags = {k: out.pop(k) for k in list(out) if k.removesuffix("_records") in profile.FLAG_CATEGORIES}
+    if include_flags:
+        out["flag_categories"] = flags
+    out["index_used"] = False
+    state = index.check_index(path, len(head.references)) if prefer_index else {"state": None}
+    if state["state"] == "plausible":
+        counts, unplaced = index.parse_bai(state["path"], len(head.references))
+        mapped, unmapped = sum(c[0] for c in counts if c), sum(c[1] for c in counts if c) + (unplaced or 0)
+        out |= {"index_used": True, "index_derived": {"total_mapped_reads": mapped, "total_unmapped_reads": unmapped, "references_with_mapped_reads": sum(1 for c in counts if c and c[0])}}
     if include_mapq_hist:
         out["mapq_histogram"] = {r["mapq"]: r["records"] for r in profile.mapq_histogram(profile.bounded(reads, limit)).collect()}
     return out
@@ -141,17 +157,31 @@ def check_map(spark, path, sample_records: int = 10_000, full_scan: bool = False
 
 
 @command("check_sort")
-def check_sort(spark, path, sample_records: int = 10_000):
+def check_sort(spark, path, sample_records: int = 10_000, strict: bool = False):
+    """``strict`` goes on to the end of the file, or until all orders are broken."""
     hd = next(iter(bam.read_header(path).records("HD")), {})
-    return {"declared": hd.get("SO"), **_one(order.check_sort(_bam(spark, path), sample_records, hd.get("SO"), hd.get("SS")))}
+    return {"declared": hd.get("SO"), **_one(order.check_sort(_bam(spark, path), None if strict else sample_records, hd.get("SO"), hd.get("SS")))}
 
 
 @command("check_tag")
-def check_tag(spark, path, tag: str = "NM", sample_records: int = 100_000, full_scan: bool = False, count_hits: bool = False):
+def check_tag(spark, path, tag: str = "NM", sample_records: int = 100_000, full_scan: bool = False, count_hits: bool = False, require_type: str | None = None):
     if len(tag) != 2 or not tag.isascii() or not tag.isprintable() or " " in tag:
         raise ReadloomError("invalid_tag", tag)
-    reads = bam.decoded(_bam(spark, path)).withColumn("aux", F.transform("tags", lambda t: F.struct(t.alias("tag"), F.lit("").alias("type"))))
-    return _one(profile.check_tag(reads, tag, None if full_scan else sample_records, None, count_hits))
+    if require_type is not None and require_type not in AUX_TYPES:
+        raise ReadloomError("invalid_tag_type", require_type)
+
+    def fields(arrow):
+        import pyarrow as pa
+
+        from readloom.functions.kernels import walk_aux
+
+        kind = pa.list_(pa.struct([("tag", pa.string()), ("type", pa.string())]))
+        for batch in arrow:
+            found = [[{"tag": t, "type": k} for t, k, _ in walk_aux(raw)] for raw in batch.column("aux_bytes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("ordinal"), pa.array(found, kind)], ["ordinal", "aux"])
+
+    reads = _bam(spark, path).select("ordinal", "aux_bytes").mapInArrow(fields, "ordinal long, aux array<struct<tag string, type string>>")
+    return _one(profile.check_tag(reads, tag, None if full_scan else sample_records, require_type, count_hits)) | {"required_type": require_type}
 
 
 @command("check_index")
@@ -169,23 +199,78 @@ def build_index(spark, path, out: str | None = None, force: bool = False):
     return summary_ | {"checkpoints": len(points)}
 
 
+def _record_findings(spark: SparkSession, path: str, records: int | None, fail_fast: bool, most: dict[str, int]) -> dict:
+    """What the records' scan tells: how far it came, the number of findings by severity, and the first of them."""
+    bam.register(spark)
+    ranges, damage = bam.scan_plan(path)
+    total = sum(r.records for r in ranges)
+    reads = profile.bounded(spark.read.format("bam").option("ondamage", "mark").load(path), records)
+    scratch = _scratch(spark, "validate")
+    validate.body_findings(reads).write.parquet(scratch)
+    found = spark.read.parquet(scratch)
+    first = found.agg(F.min(F.when(F.col("code") == "invalid_record", F.col("record_index"))).alias("bad"), F.min(F.when(F.col("severity") == "error", F.col("record_index"))).alias("error")).first()
+    extent = damage[:2] if damage and (records is None or damage[1] <= records) else None
+    bad, code = min([(first["bad"], "invalid_record")] if first["bad"] else [], default=(None, ""))
+    if extent and (bad is None or extent[1] < bad):
+        bad, code = extent[1], extent[0]
+    examined = min(total, records) if records is not None else total
+    examined = examined if bad is None else bad - 1
+    stopped = fail_fast and first["error"] is not None and first["error"] <= examined
+    examined = first["error"] if stopped else examined
+    within = found.where(F.col("record_index") <= examined).where("code <> 'invalid_record'")
+    counts = {r["severity"]: r["n"] for r in within.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows: list[dict] = []
+    for severity, n in most.items():
+        few = within.where(F.col("severity") == severity).orderBy("record_index", "place").limit(max(n, 0))
+        rows += [r.asDict() for r in few.collect()]
+    rows.sort(key=lambda r: (r["record_index"], r.pop("place")))
+    if bad is not None and not stopped:
+        counts["error"] = counts.get("error", 0) + 1
+        if sum(r["severity"] == "error" for r in rows) < most["error"]:
+            rows.append({"severity": "error", "scope": "record", "code": code, "tag": None, "record_index": bad})
+    files.remove_folder(scratch)
+    complete = bad is None and not stopped and (records is None or total < records)
+    return {"examined": examined, "complete": complete, "counts": counts, "rows": rows}
+
+
 @command("validate")
 def validate_(spark, path, max_errors: int = 100, max_warnings: int = 100, header_only: bool = False, records: int | None = None, fail_fast: bool = False, include_warnings: bool = False):
-    head = bam.read_header(path)
-    text = Header.parse_text(head.text())
-    sq = spark.createDataFrame(text.references, "name string, length long")
-    found = validate.header_findings(head.refs(spark).select("index", "name", "length"), sq, head.read_groups(spark), head.programs(spark))
-    head_rows = [r.asDict() for r in found.collect()]
-    out = {"records_examined": 0, "errors": sum(r["severity"] == "error" for r in head_rows), "warnings": sum(r["severity"] == "warning" for r in head_rows)}
-    stored = head_rows
-    if not header_only:
-        reads = bam.decoded(_bam(spark, path))
-        counts = _one(validate.validity(reads, fail_fast, records))
-        extra = validate.aux_findings(reads if records is None else reads.where(F.col("ordinal") < records))
-        out = {"records_examined": counts["records_examined"], "errors": out["errors"] + counts["errors"], "warnings": out["warnings"] + counts["warnings"] + extra.count()}
-        stored = stored + [r.asDict() for r in validate.capped(validate.record_findings(reads).unionByName(extra), max_errors, max_warnings).collect()]
-    stored = [r for r in stored if include_warnings or r["severity"] != "warning"]
-    return out | {"valid": out["errors"] == 0, "findings": stored}
+    mode = "header_only" if header_only else "full" if records is None else "bounded_records"
+    blank = {"tag": None, "record_index": None, "reference_name": None}
+    marker = files.tail(path, 28)
+    rows = [blank | {"severity": "info", "scope": "file", "code": "bgzf_eof_present"} if marker == bgzf.EOF_MARKER else blank | {"severity": "warning", "scope": "file", "code": "missing_bgzf_eof"}]
+    body = {"examined": 0, "complete": False, "counts": {}, "rows": []}
+    try:
+        head = bam.read_header(path)
+    except validate.HEADER_ERRORS as e:
+        rows.append(blank | {"severity": "error", "scope": "header", "code": "invalid_header", "detail": str(e)})
+    else:
+        text = Header.parse_text(head.text())
+        sq = spark.createDataFrame(text.references, "name string, length long")
+        found = validate.header_findings(head.refs(spark).select("index", "name", "length"), sq, head.read_groups(spark), head.programs(spark))
+        rows += [blank | r.asDict() for r in found.collect()]
+        broken = any(r["severity"] == "error" for r in rows)
+        if not header_only and not (fail_fast and broken):
+            stored = {s: n - sum(r["severity"] == s for r in rows) for s, n in (("error", max_errors), ("warning", max_warnings))}
+            body = _record_findings(spark, path, records, fail_fast, stored)
+    counts = {s: sum(r["severity"] == s for r in rows) + body["counts"].get(s, 0) for s in ("error", "warning", "info")}
+    caps = {"error": max_errors, "warning": max_warnings if include_warnings else 0, "info": len(rows)}
+    findings = []
+    for r in [*rows, *(blank | r for r in body["rows"])]:
+        caps[r["severity"]] -= 1
+        if caps[r["severity"]] >= 0:
+            findings.append(r)
+    return {
+        "mode": mode,
+        "valid": counts["error"] == 0,
+        "header_valid": not any(r["severity"] == "error" and r["scope"] == "header" for r in rows),
+        "records_examined": body["examined"],
+        "full_file_examined": body["complete"],
+        "errors": counts["error"],
+        "warnings": counts["warning"],
+        "infos": counts["info"],
+        "findings": findings,
+    }
 
 
 @command("inspect_duplication")
@@ -198,18 +283,24 @@ def inspect_duplication(spark, path, identity: str = "qname_seq_qual", min_block
 
 
 @command("deduplicate")
-def deduplicate(spark, path, out: str = "", mode: str = "contiguous-block", identity: str = "qname_seq_qual", keep: str = "first", min_block_size: int = 50, dry_run: bool = False, force: bool = False):
+def deduplicate(spark, path, out: str = "", mode: str = "contiguous-block", identity: str = "qname_seq_qual", keep: str = "first", min_block_size: int = 50, dry_run: bool = False, force: bool = False, verify_checksum: bool = False):
+    """Ranges are those that are removed; with ``verify_checksum`` a BAM output's records are compared with the input's that stay."""
     kind, reads = _any(spark, path)
-    if mode == "global-exact":
-        raise unimplemented("global-exact deduplication")
-    ranges = duplicates.removal_ranges(duplicates.adjacent_blocks(reads, max(min_block_size, 1), identity), keep)
+    ranges = duplicates.blocks_to_remove(reads, mode, identity, keep, min_block_size)
     done = {"removed_ranges": [[a + 1, z] for a, z in ranges], "records_removed": sum(z - a for a, z in ranges), "dry_run": dry_run}
-    if not dry_run:
-        left = duplicates.deduplicate(reads, mode, identity, keep, min_block_size)
-        if kind == "BAM":
-            _write(spark, left.orderBy("ordinal"), bam.read_header(path), out, force)
-        else:
-            fastq.write_fastq(rewrite.to_fastq_text(left), out, force)
+    if dry_run:
+        return done | ({"checksum": {"performed": False}} if verify_checksum else {})
+    left = duplicates.remove_ranges(reads, ranges)
+    if kind != "BAM":
+        fastq.write_fastq(rewrite.to_fastq_text(left), out, force)
+        return done | ({"checksum": {"performed": False}} if verify_checksum else {})
+    done["records_written"] = _write(spark, left.orderBy("ordinal"), bam.read_header(path), out, force)
+    if verify_checksum:
+        raw = duplicates.remove_ranges(_bam(spark, path), ranges)
+        before, after = bam.checksum(raw, True), bam.checksum(_bam(spark, out), True)
+        if before != after:
+            raise ReadloomError("checksum_mismatch", "the output's records aren't those that were to stay")
+        done["checksum"] = {"performed": True, "digest": after, "matched": True}
     return done
 
 
@@ -231,8 +322,7 @@ def subsample(spark, path, out: str = "", fraction: float = 0.1, mode: str = "ra
         parts = {"qname": name, "qname_seq": F.concat(name, F.lit(b"\x00"), size, F.col("seq_packed"))}
         key = parts.get(identity)
         if key is None:
-            raw = bam.serialised(reads.drop("sequence", "quality", "tags", "rg"))
-            reads, key = reads.join(raw, "ordinal"), F.col("record")
+            reads, key = reads.join(bam.encoded(reads), "ordinal"), F.col("record")
     else:
         key = sample.fastq_identity(identity)
     kept = sample.subsample_random(reads, fraction, seed, mapped_only, primary_only) if mode == "random" else sample.subsample_hash(reads, fraction, key, mapped_only, primary_only)
@@ -409,18 +499,22 @@ def to_fastq(spark, path, out: str | None = None, force: bool = False):
 
 
 @command("checksum")
-def checksum(spark, path, mode: str = "all", exclude_tags: tuple[str, ...] = (), only_primary: bool = False, mapped_only: bool = False):
+def checksum(spark, path, mode: str = "all", exclude_tags: tuple[str, ...] = (), only_primary: bool = False, mapped_only: bool = False, include_header: bool = False):
+    """``payload`` is records in order, after the header with ``include_header``."""
     reads = _bam(spark, path)
     reads = profile.primary_only(reads) if only_primary else reads
     reads = profile.mapped_only(reads) if mapped_only else reads
+    head = bam.read_header(path).digested()
     out = {}
     if mode in ("all", "raw-record-order"):
         out["raw_record_order"] = bam.checksum(reads, False, exclude_tags)
     if mode in ("all", "canonical-record-order"):
         out["canonical_record_order"] = bam.checksum(reads, True, exclude_tags)
+    if mode in ("all", "payload"):
+        same = not include_header and "raw_record_order" in out
+        out["payload"] = out["raw_record_order"] if same else bam.checksum(reads, False, exclude_tags, head if include_header else None)
     if mode in ("all", "header"):
-        out["header"] = hashlib.sha256(bam.read_header(path).binary()).hexdigest()
+        out["header"] = hashlib.sha256(framed(head)).hexdigest()
     if not out:
         raise ReadloomError("invalid_argument", f"no such mode: {mode}")
     return out
-

@@ -3,8 +3,9 @@
 Records straddle compressed blocks, so ranges of blocks can't be read alone without
 knowing where their first record begins. One pass over a file finds that for
 ranges of about ``range_bytes``: a plan row is (first block, offset in it, next
-range's start, first ordinal, records). The plan is cached; tasks then read their
-ranges independently, and ordinals are global.
+range's start, first ordinal, records). The pass inflates the file once on the
+driver for each action; tasks then read their ranges independently, and ordinals are
+global.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from readloom import schema as S
 from readloom.errors import ReadloomError
+from readloom.operators.checksum import framed, framed_digest, stream_digest
 from readloom.sources import bgzf
 from readloom.sources.files import open_input
 from readloom.sources.header import Header, parse_binary
@@ -71,36 +73,57 @@ def _header(stream) -> tuple[Header, int, int]:
 
 def plan_ranges(path: str, range_bytes: int = 32 << 20) -> list[BamRange]:
     """Ranges of records by one sequential pass; a file that ends inside a record is an error."""
+    ranges, damage = scan_plan(path, range_bytes)
+    if damage is not None:
+        code, record, detail = damage
+        raise ReadloomError("truncated_file" if code == "truncated_record" else code, f"{path}, record {record}: {detail}")
+    return ranges
+
+
+def scan_plan(path: str, range_bytes: int = 32 << 20) -> tuple[list[BamRange], tuple[str, int, str] | None]:
+    """Ranges of the records before the first whose extent is damaged, and (code, 1-based record, detail) of that one."""
     out: list[BamRange] = []
+    damage: tuple[str, int, str] | None = None
     with open_input(path) as stream:
         _, block, skip = _header(stream)
         first, first_skip, ordinal, count, since = block, skip, 0, 0, 0
         head, need = b"", 0  # bytes of a size field that a block's end cut, or payload still to pass over
-        for at, size in bgzf.members(stream, block):
-            stream.seek(at)
-            data = bgzf.inflate(stream.read(size))
-            pos = skip if at == block else 0
-            since += size
-            while pos < len(data):
-                if need:
-                    step = min(need, len(data) - pos)
-                    pos, need = pos + step, need - step
-                    continue
-                if not head and since > range_bytes and count:
-                    out.append(BamRange(path, first, first_skip, ordinal, count))
-                    first, first_skip, ordinal, count, since = at, pos, ordinal + count, 0, size
-                take = min(4 - len(head), len(data) - pos)
-                head, pos = head + data[pos : pos + take], pos + take
-                if len(head) == 4:
-                    need, head = struct.unpack("<i", head)[0], b""
-                    if need < 32:
-                        raise ReadloomError("invalid_record", f"record {ordinal + count + 1} has a block size of {need}")
-                    count += 1
-        if head or need:
-            raise ReadloomError("truncated_file", f"{path} ends inside record {ordinal + count}")
+        try:
+            for at, size in bgzf.members(stream, block):
+                stream.seek(at)
+                data = bgzf.inflate(stream.read(size))
+                pos = skip if at == block else 0
+                since += size
+                while pos < len(data) and damage is None:
+                    if need:
+                        step = min(need, len(data) - pos)
+                        pos, need = pos + step, need - step
+                        continue
+                    if not head and since > range_bytes and count:
+                        out.append(BamRange(path, first, first_skip, ordinal, count))
+                        first, first_skip, ordinal, count, since = at, pos, ordinal + count, 0, size
+                    take = min(4 - len(head), len(data) - pos)
+                    head, pos = head + data[pos : pos + take], pos + take
+                    if len(head) == 4:
+                        need, head = struct.unpack("<i", head)[0], b""
+                        if need < 32:
+                            damage, need = ("invalid_record", ordinal + count + 1, f"a block size of {need}"), 0
+                        else:
+                            count += 1
+                if damage is not None:
+                    break
+        except ReadloomError as e:
+            if e.code != "truncated_file":
+                raise
+            # the member that is cut holds the rest of the record begun, or the next one
+            damage = ("truncated_record", ordinal + count + (0 if need else 1), e.message)
+        if damage is None and (head or need):
+            damage = ("truncated_record", ordinal + count + (0 if need else 1), "the file ends inside it")
+        if need:
+            count -= 1
         if count or not out:
             out.append(BamRange(path, first, first_skip, ordinal, count))
-    return out
+    return out, damage
 
 
 def _inflated(stream, block: int, skip: int) -> Iterator[bytes]:
@@ -110,15 +133,21 @@ def _inflated(stream, block: int, skip: int) -> Iterator[bytes]:
         yield data[skip:] if at == block else data
 
 
-def read_range(r: BamRange) -> Iterator[tuple]:
-    """Rows of a range, in the order of the reads schema."""
+def read_range(r: BamRange, mark: bool = False) -> Iterator[tuple]:
+    """Rows of a range, in the order of the reads schema; with ``mark``, a record that its fields don't fit into has no read name and no fields."""
     with open_input(r.path) as stream:
         blocks, data, at, done = _inflated(stream, r.block, r.skip), b"", 0, 0
         while done < r.records:
             while len(data) - at < 4 or len(data) - at - 4 < struct.unpack_from("<i", data, at)[0]:
                 data, at = data[at:] + next(blocks), 0
             size = struct.unpack_from("<i", data, at)[0]
-            yield decode_record(data[at + 4 : at + 4 + size], r.path, r.ordinal + done)
+            try:
+                row = decode_record(data[at + 4 : at + 4 + size], r.path, r.ordinal + done)
+            except (ReadloomError, UnicodeDecodeError):
+                if not mark:
+                    raise
+                row = (r.path, r.ordinal + done, size, *[None] * (len(_NAMES) - 3))
+            yield row
             at += 4 + size
             done += 1
 
@@ -154,18 +183,19 @@ class BamReader(DataSourceReader):
         self.paths = options["path"].split(",")
         self.limit = int(options["maxrecords"]) if options.get("maxrecords") else None
         self.range_bytes = int(options.get("rangebytes", 32 << 20))
+        self.mark = options.get("ondamage", "fail") == "mark"
 
     def partitions(self) -> list[BamRange]:
         out = []
         for path in self.paths:
-            for r in plan_ranges(path, self.range_bytes):
+            for r in scan_plan(path, self.range_bytes)[0] if self.mark else plan_ranges(path, self.range_bytes):
                 if self.limit is None or r.ordinal < self.limit:
                     out.append(r if self.limit is None else BamRange(r.path, r.block, r.skip, r.ordinal, min(r.records, self.limit - r.ordinal)))
         return out
 
     def read(self, partition: BamRange) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for row in read_range(partition):
+        for row in read_range(partition, self.mark):
             rows.append(row)
             if len(rows) == BATCH_RECORDS:
                 yield _batch(rows)
@@ -179,7 +209,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class BamDataSource(DataSource):
-    """``spark.read.format("bam").load(path)``; options maxRecords (of each file) and rangeBytes."""
+    """``spark.read.format("bam").load(path)``; options maxRecords (of each file), rangeBytes, and onDamage: ``fail``, or ``mark`` to read what comes before a damaged extent and leave records that can't be decoded without fields."""
 
     @classmethod
     def name(cls) -> str:
@@ -198,11 +228,13 @@ def register(spark: SparkSession) -> None:
 
 def _part_writer(folder: str):
     def write(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        task = TaskContext.get()
+        part = task.partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        name, held, count = f"{root}/part-{part:06d}", b"", 0
-        with fs.open_output_stream(name + ".tmp") as stream:
+        # attempts of a task write files of their own; the driver joins those of the attempts whose rows it got
+        name, held, count = f"part-{part:06d}-{task.taskAttemptId()}", b"", 0
+        with fs.open_output_stream(f"{root}/{name}") as stream:
             for batch in arrow:
                 for row in batch.to_pylist():
                     held += encode_record(row)
@@ -212,8 +244,7 @@ def _part_writer(folder: str):
                         stream.write(bgzf.deflate(held[:whole]))
                         held = held[whole:]
             stream.write(bgzf.deflate(held))
-        fs.move(name + ".tmp", name)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([count], pa.int64())], ["part", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([count], pa.int64())], ["part", "name", "records"])
 
     return write
 
@@ -229,20 +260,20 @@ def write_bam(reads: DataFrame, header: Header, path: str, scratch_folder: str,
 
     if os.path.exists(path) and not force:
         raise ReadloomError("output_exists", f"{path} exists", hint="use force to replace it")
-    done = sorted(tuple(r) for r in reads.mapInArrow(_part_writer(scratch_folder), "part int, records long").collect())
+    done = sorted(tuple(r) for r in reads.mapInArrow(_part_writer(scratch_folder), "part int, name string, records long").collect())
     fs, root = pafs.FileSystem.from_uri(scratch_folder)
 
     def parts() -> Iterator[bytes]:
         yield bgzf.deflate(header.binary())
-        for part, _ in done:
-            with fs.open_input_stream(f"{root}/part-{part:06d}") as stream:
+        for _, name, _ in done:
+            with fs.open_input_stream(f"{root}/{name}") as stream:
                 while piece := stream.read(8 << 20):
                     yield piece
         yield bgzf.EOF_MARKER
 
     atomic_write(path, parts(), force)
     fs.delete_dir(root)
-    return sum(n for _, n in done)
+    return sum(n for _, _, n in done)
 
 
 def decoded(reads: DataFrame) -> DataFrame:
@@ -272,8 +303,19 @@ def without_tags(raw: bytes, tags: set[str]) -> bytes:
     return b"".join(t.encode() + k.encode() + p for t, k, p in walk_aux(raw) if t not in tags)
 
 
+#: The format of the fixed fields that checksums cover: flags, reference, position, mapping quality, CIGAR operations, bases, mate's reference and position, template length.
+_DIGESTED = struct.Struct("<HiiBIIiii")
+_DIGESTED_NAMES = ("flags", "ref_id", "pos", "mapq", "n_cigar", "l_seq", "next_ref_id", "next_pos", "tlen")
+
+
+def digested(row: dict) -> bytes:
+    """The bytes of a record that checksums cover: no block size and bin; fields of any length behind their length."""
+    variable = [framed(bytes(row[c] or b"")) for c in ("cigar", "seq_packed", "qual", "aux_bytes")]
+    return framed(row["read_name"].encode()) + _DIGESTED.pack(*[row[c] for c in _DIGESTED_NAMES]) + b"".join(variable)
+
+
 def serialised(reads: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(ordinal, record): the bytes that checksums cover, without block size and bin."""
+    """(ordinal, record): the bytes that checksums cover, without the aux fields of some tags."""
     gone = set(exclude)
 
     def make(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,21 +324,28 @@ def serialised(reads: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
             for row in batch.to_pylist():
                 if gone:
                     row["aux_bytes"] = without_tags(row["aux_bytes"], gone)
-                raw = encode_record(row)
-                out.append(raw[4:14] + raw[16:])
+                out.append(digested(row))
             yield pa.RecordBatch.from_arrays([batch.column("ordinal"), pa.array(out, pa.binary())], ["ordinal", "record"])
 
     return reads.mapInArrow(make, "ordinal long, record binary")
 
 
-def checksum(reads: DataFrame, canonical: bool, exclude: tuple[str, ...] = ()) -> str:
-    """SHA-256 of whole records: in order, or of their sorted digests."""
-    from readloom.operators.checksum import framed_digest, stream_digest
+def encoded(reads: DataFrame) -> DataFrame:
+    """(ordinal, record): records as a file holds them, block size and all."""
+
+    def make(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            yield pa.RecordBatch.from_arrays([batch.column("ordinal"), pa.array([encode_record(row) for row in batch.to_pylist()], pa.binary())], ["ordinal", "record"])
+
+    return reads.select(*_NAMES).mapInArrow(make, "ordinal long, record binary")
+
 
+def checksum(reads: DataFrame, canonical: bool, exclude: tuple[str, ...] = (), before: bytes | None = None) -> str:
+    """SHA-256 of whole records: in order, after ``before`` if given, or of their sorted digests."""
     rows = serialised(reads, exclude)
     if canonical:
         return stream_digest(rows.select(F.unhex(framed_digest(F.col("record"))).alias("d")).orderBy("d"), "d")
-    return stream_digest(rows.orderBy("ordinal"), "record")
+    return stream_digest(rows.orderBy("ordinal").select("record"), "record", before)
 
 
 def numbers(cigar: bytes) -> list[tuple[int, str]]:

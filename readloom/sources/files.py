@@ -32,6 +32,18 @@ def read_all(uri: str) -> bytes:
         return f.read()
 
 
+def tail(uri: str, size: int) -> bytes:
+    """The last bytes of a file, fewer if it has fewer."""
+    with open_input(uri) as f:
+        f.seek(max(f.size() - size, 0))
+        return f.read()
+
+
+def remove_folder(uri: str) -> None:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.delete_dir(path)
+
+
 def atomic_write(path: str, parts, force: bool = False, source: str | None = None) -> None:
     """Write byte parts to a temporary sibling, then rename; never over an input, over a file only with ``force``."""
     if source is not None and os.path.abspath(source) == os.path.abspath(path):

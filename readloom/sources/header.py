@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readloom import schema as S
 from readloom.errors import ReadloomError
+from readloom.operators.checksum import framed
 
 # Limits on what a header may claim.
 MOST_TEXT, MOST_REFERENCES, MOST_NAME = 16 << 20, 1_000_000, 1 << 20
@@ -64,6 +65,14 @@ class Header:
             parts += [struct.pack("<i", len(raw)), raw, struct.pack("<I", length)]
         return b"".join(parts)
 
+    def digested(self) -> bytes:
+        """The bytes that a header's checksum covers: text and references, names and text behind their length."""
+        text = self.text().encode()
+        parts = [framed(text), struct.pack("<I", len(self.references))]
+        for name, length in self.references:
+            parts += [framed(name.encode()), struct.pack("<I", length)]
+        return b"".join(parts)
+
     def with_order(self, order: str, sub_order: str | None = None) -> Header:
         """The header after sorting: SO set, GO gone, SS set or gone; an @HD line is put first where there is none."""
         drop = {"SO", "GO", "SS"}

@@ -173,3 +173,103 @@ def test_arriving_files(spark, made, tmp_path):
         assert tuple(spark.sql("SELECT files, records, bases FROM arrived").first()) == (1, 120, 720)
     finally:
         query.stop()
+
+
+def blocked(spark, base, name, texts):
+    """A BAM of unmapped records with the given names."""
+    source, out = str(base / f"{name}.sam"), str(base / f"{name}.bam")
+    open(source, "w").write(HEAD + "".join(f"{t}\t4\t*\t0\t0\t*\t*\t0\t0\tACGT\tIIII\n" for t in texts))
+    bam.write_bam(sam.read_sam(spark, source).orderBy("ordinal"), sam.read_header(source), out, f"file://{base}/{name}.parts", True)
+    return out
+
+
+def test_reported_ranges_are_those_removed(spark, made):
+    base, _, _ = made
+    block = [f"b{i}" for i in range(50)]
+    path = blocked(spark, base, "inner", [f"a{i}" for i in range(30)] + block + block + [f"z{i}" for i in range(30)])
+    out = str(base / "inner.out.bam")
+    done = ok(spark, "deduplicate", path, out=out, mode="whole-file-append", verify_checksum=True)
+    assert (done["records_removed"], done["removed_ranges"], done["records_written"]) == (0, [], 160) and names(spark, out) == names(spark, path)
+    done = ok(spark, "deduplicate", path, out=out, force=True, verify_checksum=True)
+    assert (done["records_removed"], done["removed_ranges"], done["records_written"]) == (50, [[81, 130]], 110) and done["checksum"]["matched"]
+    assert names(spark, out) == [n for i, n in enumerate(names(spark, path)) if not 80 <= i < 130]
+    whole = blocked(spark, base, "whole", block + block)
+    assert ok(spark, "deduplicate", whole, mode="whole-file-append", keep="last", dry_run=True, verify_checksum=True)["removed_ranges"] == [[1, 50]]
+
+
+def codes(data):
+    return [(f["severity"], f["code"], f["record_index"]) for f in data["findings"]]
+
+
+def test_validation_of_damaged_files(spark, made):
+    from readloom.sources import bgzf
+
+    base, _, _ = made
+    source = str(base / "sound.sam")
+    flags = [0, 0, 77, 0, 192, 0]
+    open(source, "w").write(HEAD + "".join(f"r{i}\t{f}\tchrA\t{i + 1}\t9\t4M\t*\t0\t0\tACGT\tIIII\tNM:i:1\n" for i, f in enumerate(flags)))
+    path = str(base / "sound.bam")
+    head = sam.read_header(source)
+    bam.write_bam(sam.read_sam(spark, source).orderBy("ordinal"), head, path, f"file://{base}/sound.parts")
+    rows = [r.asDict() for r in spark.read.format("bam").load(path).orderBy("ordinal").collect()]
+    raw = [bam.encode_record(r) for r in rows]
+
+    def report(body, end=bgzf.EOF_MARKER, begin=None, **options):
+        target = str(base / "damaged.bam")
+        open(target, "wb").write(bgzf.deflate(head.binary() if begin is None else begin) + bgzf.deflate(body) + end)
+        got = COMMANDS["validate"](spark, target, **options)
+        assert got["error"] is None, got
+        assert got["ok"] == got["data"]["valid"]
+        return got["data"]
+
+    flagged = [("error", "contradictory_mapping_state", 3), ("warning", "read1_and_read2_both_set", 5)]
+    sound = report(b"".join(raw), include_warnings=True)
+    assert codes(sound) == [("info", "bgzf_eof_present", None), *flagged]
+    assert (sound["records_examined"], sound["full_file_examined"], sound["errors"], sound["warnings"], sound["mode"]) == (6, True, 1, 1, "full")
+    assert codes(report(b"".join(raw), b"")) == [flagged[0]]
+    assert report(b"".join(raw), b"")["warnings"] == 2
+    # findings beyond the limit, or after the first error, are neither counted nor stored
+    few = report(b"".join(raw), records=2, include_warnings=True)
+    assert (codes(few)[1:], few["records_examined"], few["valid"], few["mode"], few["full_file_examined"]) == ([], 2, True, "bounded_records", False)
+    quick = report(b"".join(raw), fail_fast=True, include_warnings=True)
+    assert (codes(quick)[1:], quick["records_examined"], quick["warnings"]) == (flagged[:1], 3, 0)
+    cut = report(b"".join(raw)[:-5], include_warnings=True)
+    assert codes(cut)[1:] == [*flagged, ("error", "truncated_record", 6)] and cut["records_examined"] == 5 and not cut["full_file_examined"]
+    assert report(b"".join(raw)[:-5], records=5)["errors"] == 1
+    short = report(b"".join(raw[:3]) + b"\x10\0\0\0" + b"".join(raw[3:]))
+    assert codes(short)[1:] == [flagged[0], ("error", "invalid_record", 4)] and short["records_examined"] == 3
+    # more bases than the record has room for
+    wide = raw[1][:20] + b"\xff\0\0\0" + raw[1][24:]
+    broken = report(raw[0] + wide + b"".join(raw[2:]))
+    assert codes(broken)[1:] == [("error", "invalid_record", 2)] and broken["records_examined"] == 1
+    aux = bam.encode_record(rows[0] | {"aux_bytes": b"NMC\1NMC\2XB"})
+    torn = report(b"".join(raw[:2]) + aux, include_warnings=True)
+    assert codes(torn)[1:] == [("warning", "duplicate_aux_tag", 3), ("error", "malformed_aux_region", 3)]
+    assert [f["tag"] for f in torn["findings"][1:]] == ["NM", None] and torn["findings"][1]["scope"] == "aux"
+    lost = report(b"", begin=head.binary()[:-6])
+    assert codes(lost)[1:] == [("error", "invalid_header", None)] and not lost["header_valid"] and lost["records_examined"] == 0
+    many = report(b"".join(raw[:3]) * 4, max_errors=2)
+    assert many["errors"] == 4 and codes(many)[1:] == [("error", "contradictory_mapping_state", 3), ("error", "contradictory_mapping_state", 6)]
+
+
+def test_options_of_reports(spark, made):
+    import hashlib
+
+    base, paths, _ = made
+    assert ok(spark, "check_tag", paths["a"], tag="NM", require_type="c", full_scan=True)["result"] == "observed_present"
+    assert ok(spark, "check_tag", paths["a"], tag="NM", require_type="Z", full_scan=True)["result"] == "absent_in_full_scan"
+    fails(spark, "check_tag", paths["a"], "invalid_tag_type", require_type="q")
+    plain, flags = ok(spark, "summary", paths["a"]), ok(spark, "summary", paths["a"], include_flags=True, prefer_index=True)
+    assert "flag_categories" not in plain and flags["flag_categories"]["reverse_strand_records"] > 0 and flags["index_used"] is False
+    assert ok(spark, "check_sort", paths["a"], sample_records=1)["records_examined"] == 1
+    strict = ok(spark, "check_sort", paths["a"], sample_records=1, strict=True)
+    assert strict["order"] == "unsorted" and strict["records_examined"] > 1
+    head = bam.read_header(paths["b"])
+    frame = lambda b: len(b).to_bytes(8, "little") + b
+    rows = [r.asDict() for r in spark.read.format("bam").load(paths["b"]).orderBy("ordinal").collect()]
+    records = [bam.digested(r) for r in rows]
+    got = ok(spark, "checksum", paths["b"], include_header=True)
+    digest = lambda parts: hashlib.sha256(b"".join(map(frame, parts))).hexdigest()
+    assert got["raw_record_order"] == digest(records) and got["payload"] == digest([head.digested(), *records])
+    assert got["canonical_record_order"] == digest(sorted(hashlib.sha256(frame(r)).digest() for r in records)) and got["header"] == digest([head.digested()])
+    assert ok(spark, "checksum", paths["b"], mode="payload")["payload"] == got["raw_record_order"]

@@ -220,4 +220,8 @@ def test_cram_reference_policies(tmp_path):
         assert e.value.code == code
     open(fasta + ".fai", "w").write("a\t1\t3\t1\t2\n")
     assert cram.resolve_reference(path, fasta).fasta == fasta
+    # an explicit reference comes before the policy and the cache
+    assert cram.resolve_reference(path, fasta, "allow-cache", "/somewhere").fasta == fasta
+    with pytest.raises(ReadloomError, match="unimplemented"):
+        cram.resolve_reference(path, None, "auto-conservative", "/somewhere")
     assert cram.resolve_reference(path, policy="auto-conservative").fasta is None

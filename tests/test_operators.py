@@ -63,16 +63,20 @@ def blocks_model(ids, m):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 2), max_size=40), st.integers(1, 4))
 def test_greedy_blocks_against_the_model(ids, m):
-    equal = [i + m < len(ids) and ids[i] == ids[i + m] for i in range(len(ids))]
-    runs, start = [], None
-    for i, e in enumerate([*equal, False]):
-        if e and start is None:
-            start = i
-        elif not e and start is not None:
-            if i - start >= m:
-                runs.append((start, i))
-            start = None
-    assert duplicates.greedy_blocks(runs, dict(enumerate(map(str, ids))), m) == blocks_model(ids, m)
+    def runs(lag, least):
+        equal = [i + lag < len(ids) and ids[i] == ids[i + lag] for i in range(len(ids))]
+        found, start = [], None
+        for i, e in enumerate([*equal, False]):
+            if e and start is None:
+                start = i
+            elif not e and start is not None:
+                if i - start >= least:
+                    found.append((start, i))
+                start = None
+        return found
+
+    constant = [(a, z + 1) for a, z in runs(1, 2 * m + 1)]
+    assert duplicates.greedy_blocks(runs(m, m), constant, m) == blocks_model(ids, m)
 
 
 def collection(spark, ids):
@@ -169,8 +173,8 @@ def test_subsamples(spark):
 
 def test_whole_tables_are_deduplicated(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert catalog.QUERIES["dedup_apply_whole"](spark, SF).count() == documents > 180
-    assert [tuple(r) for r in catalog.QUERIES["adjacent_blocks_whole"](spark, SF).collect()] == [(0, documents, documents)]
+    assert catalog.QUERIES["dedup_apply"](spark, SF).count() == documents > 180
+    assert [tuple(r) for r in catalog.QUERIES["adjacent_blocks"](spark, SF).collect()] == [(0, documents, documents)]
 
 
 def test_full_scans_see_every_record(spark):
