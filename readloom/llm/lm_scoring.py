@@ -1,67 +1,62 @@
-"""Language-model scores by stupid backoff over word n-gram counts of the whole corpus.
+"""Language-model scores by stupid backoff over word n-gram counts.
 
 Texts are exploded into n-grams; count tables are partitioned by n-gram hash; every
 document's n-grams meet their counts there, and the logarithms are summed per
-document. For a corpus scored on its own counts the exploded n-grams travel packed
-(``score_corpus``); for other documents, whose n-grams may be unseen and back off, the
-same joins are written on rows (``score_against``).
+document. ``score_left_out`` scores each document of a corpus by the counts of all
+others, with bigrams that travel packed; ``score_against`` scores documents by the
+counts of another corpus, of any order, with joins on rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch, join_groups, shuffle_partitions
-from .kernels import U64, mix, text_slices, words
+from .kernels import U64, mix, release, text_slices, words
 
 #: The usual factor for each step back to a shorter n-gram.
 ALPHA = 0.4
-#: Documents are packed in lots of about so many bytes of text.
-LOT_BYTES = 6 << 20
+#: Documents are packed in lots of about so many bytes of text, and counted in parts that stand for about so many.
+LOT_BYTES, PART_BYTES = 3 << 20, 16 << 20
 _BEGIN = U64(0x243F6A8885A308D3)
 _LOW = U64((1 << 48) - 1)
 
-_PACKETS = "part long, lot long, docs binary, grams binary, grams_n binary, contexts binary, contexts_n binary"
-_SUMS = "lot long, docs binary, sums binary"
+_PACKETS = "to int, lot long, part int, docs binary, grams binary, words binary"
+_COUNTED = "lot long, part int, docs binary, grams binary, words binary"
+_SCORES = "doc_id long, n_words long, log_score double, mean_log_score double, backed_off long"
 
 
-def _padded(hashes: np.ndarray, bounds: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words with ``pad`` begin marks before each text's, and the positions of the words."""
-    rows = len(bounds) - 1
-    owner = np.repeat(np.arange(rows), np.diff(bounds))
-    at = np.arange(len(hashes)) + (owner + 1) * pad
-    out = np.full(len(hashes) + rows * pad, _BEGIN, U64)
-    out[at] = hashes
-    return out, at
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays behind their types and lengths, compressed."""
+    parts = [np.array([len(arrays)], "<u8").tobytes()]
+    for a in arrays:
+        parts += [np.array([a.dtype.itemsize, len(a)], "<u8").tobytes(), a.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _chain(padded: np.ndarray, at: np.ndarray, first: int, last: int) -> np.ndarray:
-    """A hash of the words from ``first`` to ``last`` places before each position."""
-    value = np.full(len(at), first - last + 1, U64)
-    for back in range(first, last - 1, -1):
-        value = mix(value * U64(0x9E3779B97F4A7C15) + padded[at - back])
-    return value
+def _unsqueeze(raw: bytes) -> list[np.ndarray]:
+    """Unsigned arrays as ``_squeeze`` packed them."""
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    out, at = [], 8
+    for _ in range(int(np.frombuffer(data, "<u8", 1)[0])):
+        size, n = (int(v) for v in np.frombuffer(data, "<u8", 2, at))
+        out.append(np.frombuffer(data, f"<u{size}", n, at + 16))
+        at += 16 + size * n
+    return out
 
 
-def _distinct(hashes: np.ndarray, owner: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, hash) with their numbers, ordered by part, then text."""
-    order = np.lexsort((hashes, owner))
-    h, d = hashes[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(h)))
-    h, d = h[at], d[at]
-    part = ((h >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    return h[order], d[order], times[order], part[order]
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in as few bytes as the largest needs."""
+    top = int(values.max(initial=0))
+    return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
 def _pack(hashes: np.ndarray, times: np.ndarray) -> bytes:
@@ -81,31 +76,84 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return wide.view("<u8").ravel(), times
 
 
-def _packer(order: int, parts: int):
-    def packets(lot: int, doc_ids: list, hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+class _Lot:
+    """Distinct words and bigrams of each document of a lot, from the places of words among their document's distinct ones.
+
+    ``word`` numbers a document's distinct words in order of appearance, all
+    documents of the lot in a row; ``gram`` numbers its distinct pairs of them, with
+    the begin mark of a document as the first of a pair.
+    """
+
+    def __init__(self, counts: np.ndarray, local: np.ndarray):
+        self.counts = counts
+        self.owner = np.repeat(np.arange(len(counts)), counts)
+        self.starts = np.cumsum(counts) - counts
+        distinct = np.zeros(len(counts), np.int64)
+        np.maximum.at(distinct, self.owner, local + 1)
+        self.bases = np.cumsum(distinct) - distinct
+        self.word = local + self.bases[self.owner]
+        self.n_words = int(distinct.sum())
+        self.first = np.zeros(len(self.word), bool)
+        self.first[self.starts[counts > 0]] = True
+        before = np.append(0, self.word[:-1]) if len(self.word) else self.word
+        self.before = np.where(self.first, self.n_words + self.owner, before)
+        self.pairs, self.gram = np.unique(self.before * max(self.n_words, 1) + self.word, return_inverse=True)
+
+    @staticmethod
+    def of(hashes: np.ndarray, counts: np.ndarray) -> tuple[_Lot, np.ndarray]:
+        """The lot of documents with these words, and the hash of each distinct word."""
+        owner = np.repeat(np.arange(len(counts)), counts)
+        order = np.lexsort((hashes, owner))
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        firsts = order[new]  # the sort is stable, so these are the first places
+        rank = np.empty(len(firsts), np.int64)
+        by_place = np.argsort(firsts)
+        rank[by_place] = np.arange(len(firsts))
+        word = np.empty(len(order), np.int64)
+        word[order] = rank[np.cumsum(new) - 1]
+        distinct = np.bincount(owner[firsts], minlength=len(counts))
+        return _Lot(counts, word - (np.cumsum(distinct) - distinct)[owner]), hashes[firsts[by_place]]
+
+    def lasts(self) -> np.ndarray:
+        """The words that end a document."""
+        return self.word[(self.starts + self.counts - 1)[self.counts > 0]]
+
+
+def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+
+
+def _packer(parts: int):
+    names = [c.split(" ")[0] for c in _PACKETS.split(", ")]
+
+    def packets(number: int, doc_ids: list, hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
         count = np.concatenate(counts)
-        bounds = np.concatenate([[0], np.cumsum(count)])
-        padded, at = _padded(np.concatenate(hashes), bounds, order - 1)
-        owner = np.repeat(np.arange(len(count)), count)
-        columns: list[list] = [[] for _ in range(7)]
+        lot, distinct = _Lot.of(np.concatenate(hashes), count)
+        first, second = np.divmod(lot.pairs, max(lot.n_words, 1))
+        grams = mix(np.append(distinct, np.full(len(count), _BEGIN, U64))[first] * U64(0x9E3779B97F4A7C15) + distinct[second]) if lot.n_words else np.empty(0, U64)
+        word_part, gram_part = _part_of(distinct, parts), _part_of(grams, parts)
+        ends = np.bincount(lot.lasts(), minlength=lot.n_words)
         known = np.array([d is not None for d in doc_ids], np.uint8)
-        head = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + known.tobytes() + count.astype("<u4").tobytes()
-        for c, v in zip(columns, (-1 - lot % parts, lot, head, b"", b"", b"", b""), strict=True):
-            c.append(v)
-        kinds = [_distinct(_chain(padded, at, order - 1, 0), owner, parts), _distinct(_chain(padded, at, order - 1, 1), owner, parts)]
-        edges = [np.searchsorted(k[3], np.arange(parts + 1)) for k in kinds]
+        ids = np.array([d or 0 for d in doc_ids], "<i8").view("<u8")
+        head = _squeeze(ids, known, _narrow(count), _narrow(lot.word - lot.bases[lot.owner]), _narrow(word_part), _narrow(gram_part))
+        rows: list[tuple] = [(number % parts, number, -1, head, None, None)]
+        sides = []
+        for part, values, times in ((gram_part, grams, np.bincount(lot.gram, minlength=len(grams))), (word_part, distinct, np.bincount(lot.word, minlength=lot.n_words))):
+            order = np.argsort(part, kind="stable")
+            sides.append((order, values, times, np.searchsorted(part[order], np.arange(parts + 1))))
+        docs = np.array([int((count > 0).sum())], "<u8").tobytes()
         for p in range(parts):
-            row: list = [p, lot, None]
-            for (h, d, t, _), e in zip(kinds, edges, strict=True):
-                a, b = e[p], e[p + 1]
-                row += [_pack(h[a:b], t[a:b]), np.bincount(d[a:b], minlength=len(count)).astype("<u4").tobytes()]
-            for c, v in zip(columns, row, strict=True):
-                c.append(v)
-        kinds_ = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], _PACKETS.replace(" long", "").replace(" binary", "").split(", "))
+            (grams_at, words_at) = (order[e[p] : e[p + 1]] for order, _, _, e in sides)
+            last = np.flatnonzero(ends[words_at]).astype("<u4").tobytes()
+            packed = [_pack(values[at], times[at]) for (_, values, times, _), at in zip(sides, (grams_at, words_at), strict=True)]
+            rows.append((p, number, p, docs if p == number % parts else None, packed[0], len(last).to_bytes(4, "little") + last + packed[1]))
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def pack(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lot = TaskContext.get().partitionId() << 32
+        release()
+        number = TaskContext.get().partitionId() << 32
         doc_ids, hashes, counts, held = [], [], [], 0
         for batch in arrow:
             ids = batch.column("doc_id").to_pylist()
@@ -116,76 +164,119 @@ def _packer(order: int, parts: int):
                 counts.append(np.diff(bounds))
                 held += len(data)
                 if held >= LOT_BYTES:
-                    yield packets(lot, doc_ids, hashes, counts)
-                    lot += 1
+                    yield packets(number, doc_ids, hashes, counts)
+                    number += 1
                     doc_ids, hashes, counts, held = [], [], [], 0
         if doc_ids:
-            yield packets(lot, doc_ids, hashes, counts)
+            yield packets(number, doc_ids, hashes, counts)
 
     return pack
 
 
-def _count_and_sum(table: pa.Table) -> pa.Table:
-    """For one part of the count tables: count its n-grams and contexts, and sum the logarithms per document of each lot."""
-    if table.column("part")[0].as_py() < 0:
-        return pa.table({"lot": table.column("lot"), "docs": table.column("docs"), "sums": pa.nulls(table.num_rows, pa.binary())})
-    lots = table.column("lot").to_pylist()
-    sums: list[np.ndarray | None] = [None] * len(lots)
-    for name, sign in (("grams", 1.0), ("contexts", -1.0)):
-        unpacked = [_unpack(b.as_py()) for b in table.column(name)]
-        counts = [np.frombuffer(b.as_py(), "<u4") for b in table.column(f"{name}_n")]
-        hashes, times = np.concatenate([u[0] for u in unpacked]), np.concatenate([u[1] for u in unpacked])
-        del unpacked
-        _, inverse = np.unique(hashes, return_inverse=True)
-        del hashes
-        value = np.log(np.bincount(inverse, times))[inverse] * times if len(times) else np.empty(0)
-        at = 0
-        for i, count in enumerate(counts):
-            part = value[at : at + int(count.sum())]
-            at += len(part)
-            ends = np.cumsum(count)
-            running = np.concatenate([[0.0], np.cumsum(part)])
-            found = sign * (running[ends] - running[ends - count])
-            sums[i] = found if sums[i] is None else sums[i] + found
-    return pa.table({"lot": table.column("lot"), "docs": pa.nulls(len(lots), pa.binary()), "sums": pa.array([s.astype("<f8").tobytes() for s in sums], pa.binary())})
-
-
-def _merge_lot(table: pa.Table) -> pa.Table:
-    head, total = None, 0.0
-    order = np.argsort([zlib.crc32(s.as_py() or b"") for s in table.column("sums")], kind="stable")  # parts are added in the same order on every run
-    for i in order:
-        if (docs := table.column("docs")[int(i)].as_py()) is not None:
-            head = docs
-        else:
-            total = total + np.frombuffer(table.column("sums")[int(i)].as_py(), "<f8")
-    n = len(head) // 13
-    ids, known = np.frombuffer(head, "<i8", n), np.frombuffer(head, np.uint8, n, 8 * n)
-    count = np.frombuffer(head, "<u4", n, 9 * n).astype(np.int64)
-    mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
-    return pa.table({"doc_id": pa.array(ids, mask=known == 0), "n_words": pa.array(count), "log_score": pa.array(total, mask=count == 0), "mean_log_score": mean})
-
-
-_SCORES = "doc_id long, n_words long, log_score double, mean_log_score double"
-
-
-def score_corpus(docs: DataFrame, order: int = 3) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) of each document by the n-gram counts of all documents, itself included.
-
-    Words lie between ASCII white space, A-Z lower-cased; ``order - 1`` begin marks
-    come before the first. A word's score is its n-gram's count over its context's;
-    every n-gram has been seen, so none backs off. Scores of documents without
-    words are null. Repeated rows count and are scored each; an empty table gives
-    no rows. Columns other than doc_id and text are not read.
-
-    A document sends a distinct n-gram once, so that no n-gram has more entries
-    than there are documents, however common. An n-gram is known by its part and 48
-    more bits; parts follow the input's size by way of the shuffle partitions.
+def _totals(hashes: list[np.ndarray], times: np.ndarray) -> np.ndarray:
+    """For each n-gram the number of times that all have it."""
+    _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    return np.bincount(inverse, times).astype(np.int64)[inverse]
+
+
+def _count_part(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One part of the count tables: count its n-grams, and answer each lot with those of all other documents."""
+    release()
+    names = [c.split(" ")[0] for c in _COUNTED.split(", ")]
+    lots, parts, grams, gram_times, plain, word_times, ends, docs = [], [], [], [], [], [], [], 0
+    for batch in arrow:
+        own = batch.filter(pc.less(batch.column("part"), 0))
+        yield own.select(names)
+        for row in batch.filter(pc.greater_equal(batch.column("part"), 0)).to_pylist():
+            lots.append(row["lot"])
+            parts.append(row["part"])
+            h, t = _unpack(row["grams"])
+            grams.append(h)
+            gram_times.append(t)
+            size = int.from_bytes(row["words"][:4], "little")
+            h, t = _unpack(row["words"][4 + size :])
+            plain.append(h)
+            word_times.append(t)
+            last = np.zeros(len(h), np.int64)
+            last[np.frombuffer(row["words"][4 : 4 + size], "<u4")] = 1
+            ends.append(last)
+            docs += int(np.frombuffer(row["docs"], "<u8")[0]) if row["docs"] else 0
+    if not lots:
+        return
+    if len(set(parts)) > 1:
+        raise ValueError("parts of the count tables have met in one task")
+    t, w, e = (np.concatenate(c) for c in (gram_times, word_times, ends))
+    sums = np.array([w.sum(), docs], "<u8")
+    counts = [_totals(grams, t) - t, _totals(plain, w) - w, _totals(plain, w - e) - (w - e)]
+    gram_cuts, word_cuts = (np.cumsum([0, *map(len, c)]).tolist() for c in (grams, plain))
+    del grams, plain
+    for begin in range(0, len(lots), 100):
+        rows = []
+        for i in range(begin, min(begin + 100, len(lots))):
+            g, v = slice(gram_cuts[i], gram_cuts[i + 1]), slice(word_cuts[i], word_cuts[i + 1])
+            rows.append((lots[i], parts[i], sums.tobytes(), _squeeze(_narrow(counts[0][g])), _squeeze(_narrow(counts[1][v]), _narrow(counts[2][v]))))
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _score_lot(alpha: float):
+    def placed(answers: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        """Answers of the parts in turn, put where the lot has their n-grams."""
+        out = np.zeros(len(part), np.float64)
+        out[np.argsort(part, kind="stable")] = np.concatenate(answers) if answers else out
+        return out
+
+    def score(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+        ids, known, count, local, word_part, gram_part = _unsqueeze(rows[0]["docs"])
+        lot = _Lot(count.astype(np.int64), local.astype(np.int64))
+        words_, docs = np.sum([np.frombuffer(r["docs"], "<u8") for r in rows[1:]], axis=0).astype(np.float64)
+        answers = [(_unsqueeze(r["grams"])[0], *_unsqueeze(r["words"])) for r in rows[1:]]
+        grams = placed([a[0] for a in answers], gram_part)
+        plain, contexts = (placed([a[i] for a in answers], word_part) for i in (1, 2))
+        # the begin mark is a context once in each document with words
+        context = np.append(contexts, np.full(len(count), docs - 1.0))[lot.before]
+        seen = grams[lot.gram]
+        others = np.maximum(words_ - lot.counts, 1.0)[lot.owner]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(seen > 0, seen / context, alpha * np.maximum(plain[lot.word], 0.5) / others)
+        total = np.bincount(lot.owner, np.log(value), len(count))
+        back = np.bincount(lot.owner, seen == 0, len(count)).astype(np.int64)
+        empty = lot.counts == 0
+        return pa.table({
+            "doc_id": pa.array(ids.view("<i8"), mask=known == 0),
+            "n_words": pa.array(lot.counts),
+            "log_score": pa.array(total, mask=empty),
+            "mean_log_score": pa.array(total / np.maximum(lot.counts, 1), mask=empty),
+            "backed_off": pa.array(back),
+        })
+
+    return score
+
+
+def score_left_out(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score, backed_off) of each document by the bigram counts of all other documents.
+
+    Words lie between ASCII white space, A-Z lower-cased; a begin mark comes before
+    the first. A word that others have after the same one scores its bigram's count
+    over that of its first word as a context; one that they haven't backs off, and
+    scores ``alpha`` times its share of all words, where an unseen word counts as
+    seen half a time. ``backed_off`` counts those. Scores of documents without words
+    are null. Repeated rows are documents of their own, each other's included; null
+    doc_ids stay null; an empty table gives no rows. Columns other than doc_id and
+    text are not read.
+
+    A document sends a distinct n-gram once, so that no n-gram has more entries than
+    there are documents, however common. An n-gram is known by its part and 48 more
+    bits; a part is a task's, and stands for ``PART_BYTES`` of text whatever the input.
     """
-    parts = shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = texts.mapInArrow(_packer(order, parts), _PACKETS)
-    sums = packed.groupBy("part").applyInArrow(_count_and_sum, _SUMS)
-    return sums.groupBy("lot").applyInArrow(_merge_lot, _SCORES)
+    size = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    parts = max(shuffle_partitions(spark), -(-size // PART_BYTES))
+    packed = texts.mapInArrow(_packer(parts), _PACKETS)
+    counted = packed.repartitionById(parts, F.col("to")).mapInArrow(_count_part, _COUNTED)
+    return counted.groupBy("lot").applyInArrow(_score_lot(alpha), _SCORES)
 
 
 def exploded(docs: DataFrame, order: int = 3) -> DataFrame:
@@ -209,15 +300,18 @@ def count_tables(train: DataFrame, order: int, scratch: Scratch) -> dict[str, Da
 
 
 def score_against(docs: DataFrame, train: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFrame:
-    """The columns of ``score_corpus`` for documents by the counts of another corpus, with backoff.
+    """(doc_id, n_words, log_score, mean_log_score) of documents by the counts of another corpus, with backoff.
 
     An unseen n-gram scores ``alpha`` times what its shorter one does, down to the
-    word's share of all words; an unseen word counts as seen half a time. doc_id
-    should be unique and not null; documents without words have null scores.
+    word's share of all words; an unseen word counts as seen half a time. Documents
+    without words have null scores; repeated rows and null doc_ids are scored as
+    well. Either table may be empty; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     tables = count_tables(train, order, scratch)
-    rows = scratch.table(exploded(docs, order), "exploded")
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("doc_id", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"))
+    rows = scratch.table(exploded(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), order), "exploded")
     for k in [*range(1, order + 1), *range(-1, -order, -1)]:
         name = f"g{k}" if k > 0 else f"c{-k}"
         table = tables[name].withColumnRenamed("count", f"n_{name}")
@@ -230,5 +324,5 @@ def score_against(docs: DataFrame, train: DataFrame, order: int = 3, alpha: floa
     for k in range(2, order + 1):
         score = F.when(F.col(f"n_g{k}").isNotNull(), F.col(f"n_g{k}") / F.col(f"n_c{k - 1}")).otherwise(F.lit(alpha) * score)
     summed = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.ln(score)).alias("log_score"))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(summed, "doc_id", "left")
-    return every.select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
+    every = docs.select("id", "doc_id").join(summed, "doc_id", "left")
+    return every.select(F.col("id").alias("doc_id"), F.coalesce("n_words", F.lit(0)).alias("n_words"), "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .common import load
 from .exact_dedup import exact_duplicates
-from .lm_scoring import score_corpus
+from .lm_scoring import score_left_out
 from .mixing import mix
 from .near_dedup import NearOptions, near_duplicates
 from .packing import pack
@@ -57,7 +57,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_corpus(load(spark, sf_dir, "documents"), order=3)
+    return score_left_out(load(spark, sf_dir, "documents"))
 
 
 def op9_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
