@@ -39,7 +39,7 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
     parts = [np.array([len(arrays)], "<u8").tobytes()]
     for a in arrays:
         parts += [np.array([a.dtype.itemsize, len(a)], "<u8").tobytes(), a.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unsqueeze(raw: bytes) -> list[np.ndarray]:
@@ -59,21 +59,17 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
-def _pack(hashes: np.ndarray, times: np.ndarray) -> bytes:
-    """Six bytes a hash, then the places and numbers of those that occur more than once."""
+def _pack(hashes: np.ndarray, *numbers: np.ndarray) -> bytes:
+    """Six bytes a hash, then numbers of each, which are mostly small."""
     low = (hashes & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    more = np.flatnonzero(times > 1)
-    return np.array([len(hashes)], "<u4").tobytes() + low + np.stack([more, times[more]]).astype("<u4").tobytes()
+    return np.array([len(hashes)], "<u4").tobytes() + low + _squeeze(*[_narrow(n) for n in numbers])
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
     n = int(np.frombuffer(packed, "<u4", 1)[0])
     wide = np.zeros((n, 8), np.uint8)
     wide[:, :6] = np.frombuffer(packed, np.uint8, 6 * n, 4).reshape(-1, 6)
-    times = np.ones(n, np.int64)
-    more = np.frombuffer(packed, "<u4", offset=4 + 6 * n).reshape(2, -1)
-    times[more[0]] = more[1]
-    return wide.view("<u8").ravel(), times
+    return wide.view("<u8").ravel(), *[a.astype(np.int64) for a in _unsqueeze(packed[4 + 6 * n :])]
 
 
 class _Lot:
@@ -133,21 +129,19 @@ def _packer(parts: int):
         first, second = np.divmod(lot.pairs, max(lot.n_words, 1))
         grams = mix(np.append(distinct, np.full(len(count), _BEGIN, U64))[first] * U64(0x9E3779B97F4A7C15) + distinct[second]) if lot.n_words else np.empty(0, U64)
         word_part, gram_part = _part_of(distinct, parts), _part_of(grams, parts)
-        ends = np.bincount(lot.lasts(), minlength=lot.n_words)
         known = np.array([d is not None for d in doc_ids], np.uint8)
         ids = np.array([d or 0 for d in doc_ids], "<i8").view("<u8")
         head = _squeeze(ids, known, _narrow(count), _narrow(lot.word - lot.bases[lot.owner]), _narrow(word_part), _narrow(gram_part))
         rows: list[tuple] = [(number % parts, number, -1, head, None, None)]
+        numbers = (np.bincount(lot.gram, minlength=len(grams)),), (np.bincount(lot.word, minlength=lot.n_words), np.bincount(lot.lasts(), minlength=lot.n_words))
         sides = []
-        for part, values, times in ((gram_part, grams, np.bincount(lot.gram, minlength=len(grams))), (word_part, distinct, np.bincount(lot.word, minlength=lot.n_words))):
+        for part, values, own in zip((gram_part, word_part), (grams, distinct), numbers, strict=True):
             order = np.argsort(part, kind="stable")
-            sides.append((order, values, times, np.searchsorted(part[order], np.arange(parts + 1))))
+            sides.append((order, values, own, np.searchsorted(part[order], np.arange(parts + 1))))
         docs = np.array([int((count > 0).sum())], "<u8").tobytes()
         for p in range(parts):
-            (grams_at, words_at) = (order[e[p] : e[p + 1]] for order, _, _, e in sides)
-            last = np.flatnonzero(ends[words_at]).astype("<u4").tobytes()
-            packed = [_pack(values[at], times[at]) for (_, values, times, _), at in zip(sides, (grams_at, words_at), strict=True)]
-            rows.append((p, number, p, docs if p == number % parts else None, packed[0], len(last).to_bytes(4, "little") + last + packed[1]))
+            packed = [_pack(values[order[e[p] : e[p + 1]]], *[n[order[e[p] : e[p + 1]]] for n in own]) for order, values, own, e in sides]
+            rows.append((p, number, p, docs if p == number % parts else None, *packed))
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -193,12 +187,9 @@ def _count_part(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, t = _unpack(row["grams"])
             grams.append(h)
             gram_times.append(t)
-            size = int.from_bytes(row["words"][:4], "little")
-            h, t = _unpack(row["words"][4 + size :])
+            h, t, last = _unpack(row["words"])
             plain.append(h)
             word_times.append(t)
-            last = np.zeros(len(h), np.int64)
-            last[np.frombuffer(row["words"][4 : 4 + size], "<u4")] = 1
             ends.append(last)
             docs += int(np.frombuffer(row["docs"], "<u8")[0]) if row["docs"] else 0
     if not lots:
