@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, Scratch, join_groups
+from .common import SPACE, Scratch, join_groups, unused
 
 #: Remaining budget that the dynamic program fits; above it, counts are taken in proportion.
 DP_BUDGET = 1 << 17
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     Sources in order of code points, null last, weigh ``weights`` in turn; their
     targets come to ``share`` times all sizes, none above ``limit`` (1 or 2) times
     its source. ``taken`` is size times 0, 1 or 2. The selection depends on the
-    seed, doc_id and size alone, so reruns agree. Documents of size 0 take no
+    seed, doc_id (of rows without one, the text) and size alone, so reruns agree. Documents of size 0 take no
     part; a table of such documents has targets of 0, an empty one gives no rows.
     Repeated rows are separate documents; ties between them are equal in every
     column of the result.
@@ -125,13 +125,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     One row per source reaches the driver (its total size); nothing per document
     or per length does.
     """
+    return _mixed(docs, weights, share, limit, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, seed: int = 17) -> DataFrame:
+    """The rows of ``mix`` with a hash of the text, the source, and how many times the document is taken."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
-    spread = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    id_, mark = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    spread = F.xxhash64(F.lit(seed), F.when(id_.isNull(), mark).otherwise(id_))
     sized = scratch.table(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
+            id_.alias("doc_id"),
+            mark.alias("mark"),
             F.coalesce(F.col("source").cast("string"), F.lit(_NULL)).alias("source"),
             words.alias("size"),
             spread.alias("spread"),
@@ -160,21 +167,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     rows = join_groups(sized, plan, ["source", "size"], "n", sum(int(r["rows"]) for r in totals))
     all_ = F.col("cut_part").isNull() & (F.col("extra") > 0)
     sure = rows.where(~F.col("part").eqNullSafe(F.col("cut_part"))).withColumn("more", F.when(all_ | (F.col("part") < F.col("cut_part")), 1).otherwise(0))
-    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("spread", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("spread", "doc_id", "mark"))
     edge = rows.where(F.col("part").eqNullSafe(F.col("cut_part"))).withColumn("more", F.when(place <= F.col("in_part"), 1).otherwise(0))
-    taken = (F.col("size") * (F.col("whole") + F.col("more"))).cast("long")
-    return sure.unionByName(edge).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    times = F.col("whole") + F.col("more")
+    every = sure.unionByName(edge).withColumn("times", F.when(F.col("size") > 0, times).otherwise(0).cast("long"))
+    return every.select("doc_id", "mark", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with the columns of ``docs``, each as often as it is taken.
+    """The documents of the mix with the columns of ``docs`` whatever their names, each as often as it is taken.
 
-    Documents of no words, of which the mix takes nothing, are left out. Documents
-    are matched by doc_id, which should be unique; rows with a null id are left out.
+    Documents of no words, of which the mix takes nothing, are left out; rows with a
+    null doc_id are documents as others are. Rows that agree in doc_id, text and
+    source come as often as all of them are taken together, with the other columns
+    of one of them. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixed")
-    chosen = mix(docs, **options).where("taken > 0 AND doc_id IS NOT NULL")
-    chosen = chosen.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    chosen = scratch.table(chosen.withColumnRenamed("doc_id", "__id"), "chosen")
-    rows = docs.join(chosen.hint("merge"), docs["doc_id"].cast("long") == chosen["__id"])
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    names = [unused(docs, n) for n in ("id", "mark", "origin", "times", "copy")]
+    id_, mark, origin, times, copy = names
+    plain = {id_: F.col("doc_id").cast("long"), mark: F.xxhash64(F.col("text").cast("string")), origin: F.coalesce(F.col("source").cast("string"), F.lit(_NULL))}
+    least = F.lit(-(1 << 63))
+    chosen = _mixed(docs, **options).where("times > 0").groupBy(F.coalesce("doc_id", least).alias(id_), F.col("mark").alias(mark), F.col("source").alias(origin)).agg(F.sum("times").alias(times))
+    chosen = scratch.table(chosen, "chosen")
+    rows = docs.withColumns(plain | {id_: F.coalesce(plain[id_], least)}).join(chosen.hint("merge"), [id_, mark, origin]).dropDuplicates([id_, mark, origin])
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)

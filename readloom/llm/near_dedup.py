@@ -14,10 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_groups
+from .common import Scratch, join_groups, unused
 from .graph import connected_components
 from .kernels import U64, mix, ngrams, release, text_slices, unique_per_row, words
 
@@ -26,6 +27,8 @@ UNIVERSE_BITS = 20
 PAIRWISE, PAIRWISE_LATER = 8, 256
 SKETCH_BITS = 22
 MOST_LEVELS = 3
+#: Tasks' counts that one task sums; pairs with a centre that one copy of its set serves.
+FAN_IN, PAIRS_A_COPY = 64, 512
 
 
 @dataclass(frozen=True)
@@ -90,11 +93,11 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np
         yield first, *unique_per_row(*ngrams(hashes, bounds, n))
 
 
-def _signer(options: NearOptions):
+def _signer(options: NearOptions, carried: tuple[str, ...] = ("doc_id",)):
     def sign(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in arrow:
-            doc_ids = batch.column("doc_id")
+            others = [batch.column(c) for c in carried]
             for first, sets, bounds in shingle_sets(batch.column("text"), options.shingle):
                 count = np.diff(bounds)
                 low = np.zeros((len(count), options.coordinates), np.int32)
@@ -109,7 +112,7 @@ def _signer(options: NearOptions):
                 offsets = np.arange(len(count) + 1, dtype=np.int32) * options.bands
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(first, len(count)), pa.array(count.astype(np.int64)), pa.array(nodes, pa.binary()), bands], ["doc_id", "n_shingles", "node", "bands"]
+                    [*[c.slice(first, len(count)) for c in others], pa.array(count.astype(np.int64)), pa.array(nodes, pa.binary()), bands], [*carried, "n_shingles", "node", "bands"]
                 )
 
     return sign
@@ -148,7 +151,7 @@ def _verifier(percent: int):
 
 
 def _count_blocks(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's sets: (block, places in the block, counts), for places that occur."""
+    """Of a task's sets: (block, task, places in the block, counts), for places that occur."""
     found, counts = np.empty(0, np.int32), np.empty(0, np.int64)
     for batch in arrow:
         for begin in range(0, batch.num_rows, 1000):
@@ -159,25 +162,47 @@ def _count_blocks(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = places
     block = found >> (SKETCH_BITS - 6)
     edges = np.searchsorted(block, np.arange(65))
-    parts = [(i, found[a:z].tobytes(), counts[a:z].tobytes()) for i, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if a < z]
-    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["block", "at", "counts"])
+    task = TaskContext.get().partitionId()
+    parts = [(i, task, found[a:z].tobytes(), counts[a:z].tobytes()) for i, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if a < z]
+    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["block", "task", "at", "counts"])
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
+    """Of up to ``FAN_IN`` tasks' counts of a block: one row with their sums."""
     total = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
+    block, task = table.column("block")[0].as_py(), min(table.column("task").to_pylist())
     for at, counts in zip(table.column("at"), table.column("counts"), strict=True):
-        total[np.frombuffer(at.as_py(), np.int32) & ((1 << (SKETCH_BITS - 6)) - 1)] += np.frombuffer(counts.as_py(), np.int64)
-    total = np.minimum(total, (1 << 16) - 1).astype(np.uint16)
-    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        total[np.frombuffer(at.as_py(), np.int32) & (len(total) - 1)] += np.frombuffer(counts.as_py(), np.int64)
+    at = np.flatnonzero(total).astype(np.int32) + np.int32(block << (SKETCH_BITS - 6))
+    rows = {"block": [block], "task": [task // FAN_IN], "at": [at.tobytes()], "counts": [total[total > 0].tobytes()]}
+    return pa.table({k: pa.array(v, pa.int32() if k in ("block", "task") else pa.binary()) for k, v in rows.items()})
 
 
-def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle, by its leading bits, so never too few: a table of 8 MB whatever the input, summed on executors. A count of 65535 stands for more."""
-    rows = sets.select("shingles").mapInArrow(_count_blocks, "block int, at binary, counts binary").groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary").collect()
-    out = np.zeros((64, 1 << (SKETCH_BITS - 6)), np.uint16)
-    for r in rows:
-        out[r["block"]] = np.frombuffer(r["counts"], np.uint16)
-    return out.ravel()
+def shingle_counts(sets: DataFrame, scratch: Scratch) -> np.ndarray:
+    """How many sets hold a shingle, by its leading bits, so never too few: a table of 8 MB whatever the input. A count of 65535 stands for more.
+
+    Tasks' counts are summed on executors, ``FAN_IN`` at a time and in as many rounds as that takes.
+    """
+    schema = "block int, task int, at binary, counts binary"
+    rows = scratch.table(sets.select("shingles").mapInArrow(_count_blocks, schema), "blocks")
+    most = rows.agg(F.max("task")).first()[0] or 0
+    while True:
+        rows = rows.groupBy("block", F.expr(f"task div {FAN_IN}")).applyInArrow(_sum_blocks, schema)
+        if most < FAN_IN:
+            break
+        most //= FAN_IN
+        rows = scratch.table(rows, f"blocks-{most}")
+    out = np.zeros(1 << SKETCH_BITS, np.uint16)
+    capped = rows.select("at", "counts").mapInArrow(_cap_counts, "at binary, counts binary")
+    for r in capped.toLocalIterator():
+        out[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["counts"], np.uint16)
+    return out
+
+
+def _cap_counts(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrow:
+        counts = [np.minimum(np.frombuffer(c, np.int64), (1 << 16) - 1).astype(np.uint16).tobytes() for c in batch.column("counts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(counts, pa.binary())], ["at", "counts"])
 
 
 def _star_comparer(percent: int, counts: np.ndarray):
@@ -245,6 +270,16 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
 
+def _with_centres(stars: DataFrame, met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a set and its centre with both sets. A centre that many meet has a copy of its set for every ``PAIRS_A_COPY`` of them, so that no key is hot."""
+    copies = F.expr(f"(met - 1) div {PAIRS_A_COPY}")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left_set"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right_set")).join(met.hint("merge"), "b")
+    right = right.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies))).drop("met")
+    pairs = stars.withColumn("copy", F.pmod(F.xxhash64("a"), copies + 1))
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "copy"]).drop("copy")
+
+
 def _roots(links: list[DataFrame], scratch: Scratch, name: str) -> DataFrame:
     union = links[0]
     for more in links[1:]:
@@ -307,11 +342,13 @@ def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, per
         stars = scratch.table(stars, f"{name}-stars")
         met = scratch.table(stars.groupBy("b").agg(F.count(F.lit(1)).alias("met")), f"{name}-met")
         stars = join_groups(stars, met, ["b"], "met", int(rows))
-        counts = shingle_counts(sets) if counts is None else counts
-        compared = _with_sets(stars, sets).mapInArrow(_star_comparer(percent, counts), "a binary, b binary, linked boolean, half int, differ int, keys array<long>, spots array<int>")
+        stars = scratch.table(stars, f"{name}-met-stars")
+        counts = shingle_counts(sets, scratch) if counts is None else counts
+        compared = _with_centres(stars, met, sets).mapInArrow(_star_comparer(percent, counts), "a binary, b binary, linked boolean, half int, differ int, keys array<long>, spots array<int>")
         compared = scratch.table(compared, f"{name}-compared")
         links.append(compared.where("linked").select("a", "b"))
         roots = _roots(links, scratch, name)
+        scratch.release()
         spread = compared.select("a", "linked", "half", "differ", F.explode(F.arrays_zip("keys", "spots")).alias("k"))
         spread = spread.select("a", "linked", "half", "differ", F.col("k.keys").alias("bucket"), F.col("k.spots").alias("at"))
         members = spread.select("bucket", F.col("a").alias("node"), F.when(F.col("linked"), "N").when(F.col("at") < F.col("half"), "F").otherwise("X").alias("kind"), (F.col("differ") - F.col("at")).alias("left"), "differ")
@@ -331,12 +368,17 @@ def near_duplicates(docs: DataFrame, options: NearOptions | None = None) -> Data
     ``linked_components``, which loses no link between them. Rows that repeat a doc_id are documents of their own,
     and all those of a component's smallest doc_id are kept. Rows with a null
     doc_id join the rows of equal sets; those that no row with an id equals have a
-    null component_id, are kept and aren't linked further.
+    null component_id, are kept and aren't linked further. An empty table gives no
+    rows; columns other than doc_id and text are not read.
     """
-    options = options or NearOptions()
+    return _classified(docs, options or NearOptions()).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _classified(docs: DataFrame, options: NearOptions) -> DataFrame:
+    """The rows of ``near_duplicates`` with a hash of the text and, for texts that have shingles, the root of their component."""
     scratch = Scratch(docs.sparkSession, "near")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.table(texts.mapInArrow(_signer(options), "doc_id long, n_shingles long, node binary, bands array<long>"), "signed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    signed = scratch.table(texts.mapInArrow(_signer(options, ("doc_id", "mark")), "doc_id long, mark long, n_shingles long, node binary, bands array<long>"), "signed")
     classes = signed.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
@@ -350,8 +392,9 @@ def near_duplicates(docs: DataFrame, options: NearOptions | None = None) -> Data
 
     candidates = members.select("node").distinct()
     wanted = classes.join(candidates, "node", "left_semi").select(F.col("class_id").alias("doc_id")).distinct()
-    sets = texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_set_maker(options.shingle), "node binary, shingles binary")
+    sets = texts.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_maker(options.shingle), "node binary, shingles binary")
     sets = scratch.table(sets.dropDuplicates(["node"]), "sets")
+    scratch.release()
     roots = linked_components(members, sets, classes.select("node", "n"), options.percent, scratch)
     if roots is None:
         roots = members.select("node", F.col("node").alias("root"))
@@ -359,18 +402,26 @@ def near_duplicates(docs: DataFrame, options: NearOptions | None = None) -> Data
     named = scratch.table(named, "named")
     smallest = scratch.table(named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("classes")), "smallest")
     total = named.count()
-    named = scratch.table(join_groups(named, smallest, ["root"], "classes", total).select("node", "rows", "component_id"), "components")
+    named = scratch.table(join_groups(named, smallest, ["root"], "classes", total).select("node", "rows", "root", "component_id"), "components")
     total = signed.count()
-    linked = join_groups(signed.where("node IS NOT NULL").select("doc_id", "n_shingles", "node"), named, ["node"], "rows", total)
-    alone = signed.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    linked = join_groups(signed.where("node IS NOT NULL").select("doc_id", "mark", "n_shingles", "node"), named, ["node"], "rows", total)
+    alone = signed.where("node IS NULL").select("doc_id", "mark", "n_shingles", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("component_id"))
+    out = linked.select("doc_id", "mark", "n_shingles", "root", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, options: NearOptions | None = None) -> DataFrame:
-    """One document of each component, with all columns; rows that repeat a kept doc_id stay once."""
+    """One document of each component, with all columns of ``docs`` whatever their names.
+
+    It has the component's smallest doc_id; where several of its rows have that, one
+    text of them stays, once. Of texts without shingles one stays for each doc_id,
+    null ids counting as one. A text with a null doc_id stays, once, if no row with
+    an id has its shingles. An empty table gives no rows.
+    """
     scratch = Scratch(docs.sparkSession, "near-kept")
-    kept = near_duplicates(docs, options).where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id")).distinct()
-    kept = scratch.table(kept, "kept")
-    marked = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    return marked.join(kept.hint("merge"), "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    id_, mark = unused(docs, "id"), unused(docs, "mark")
+    plain = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    kept = _classified(docs, options or NearOptions()).where("kept").groupBy("doc_id", "root").agg(F.min("mark").alias(mark))
+    kept = scratch.table(kept.select(plain.alias(id_), mark).distinct(), "kept")
+    marked = docs.withColumns({id_: plain, mark: F.xxhash64(F.col("text").cast("string"))})
+    return marked.join(kept.hint("merge"), [id_, mark], "left_semi").dropDuplicates([id_, mark]).select(*docs.columns)

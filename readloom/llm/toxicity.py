@@ -125,22 +125,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: Colu
 
 
 def _scorer(at: np.ndarray, weight: np.ndarray, bias: float):
-    def score(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A function that makes a scorer of text columns: once a task, since it holds a table of all coordinates."""
+
+    def make():
         release()
         table = np.zeros(1 << BITS)
         table[at] = weight
-        for batch in arrow:
-            scores = np.empty(batch.num_rows)
-            for first, data, offsets in text_slices(batch.column("text")):
+
+        def scores(column: pa.Array) -> np.ndarray:
+            out = np.empty(len(column))
+            for first, data, offsets in text_slices(column):
                 value, bounds = features(data, offsets)
                 value, bounds = unique_per_row(value, bounds)
                 sums = np.concatenate([[0.0], np.cumsum(table[value])])
-                count = np.diff(bounds)
                 z = sums[bounds[1:]] - sums[bounds[:-1]] + bias
-                scores[first : first + len(count)] = 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
+                out[first : first + len(z)] = 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
+            return out
+
+        return scores
 
-    return score
+    return make
 
 
 def collected(weights: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
@@ -154,7 +158,14 @@ def collected(weights: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
 def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
     """One row per document: doc_id, score (0 to 1, of whole texts). Null and empty texts get the bias alone."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_scorer(*collected(weights)), "doc_id long, score double")
+    make = _scorer(*collected(weights))
+
+    def scored(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = make()
+        for batch in arrow:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text")))], ["doc_id", "score"])
+
+    return texts.mapInArrow(scored, "doc_id long, score double")
 
 
 def fifth(doc_id: Column) -> Column:
@@ -175,17 +186,21 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, options: FtrlOptions | None
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, that score below the threshold. Scores ride along with the rows, so nothing is joined."""
-    weights = fit(docs, labels, held_out=fifth(F.col("doc_id")))
-    return docs.mapInArrow(_filter(_scorer(*collected(weights)), threshold), docs.schema)
+    """The documents, with all their columns, that score below the threshold.
 
+    Scores ride along with the rows, so nothing is joined and no name can clash.
+    Null and empty texts score the bias alone; null doc_ids and repeated rows are
+    scored as they are. Without labels every score is 0.5, and nothing tells a toxic
+    text; all documents stay then. An empty table gives no rows.
+    """
+    at, weight, bias = collected(fit(docs, labels, held_out=fifth(F.col("doc_id"))))
+    if not len(at) and not bias:
+        return docs
+    make = _scorer(at, weight, bias)
 
-def _filter(scorer, threshold: float):
     def keep(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = make()
         for batch in arrow:
-            text = batch.column("text").cast(pa.string())
-            narrow = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), text], ["doc_id", "text"])
-            scores = next(scorer(iter([narrow]))).column("score").to_numpy()
-            yield batch.filter(pa.array(scores < threshold))
+            yield batch.filter(pa.array(scores(batch.column("text").cast(pa.string())) < threshold))
 
-    return keep
+    return docs.mapInArrow(keep, docs.schema)

@@ -227,6 +227,6 @@ def test_mix(spark):
 def test_queries_on_the_smallest_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert sorted(map(tuple, queries.op5_suffix_dedup(spark, sf).collect()), key=repr) == repeats(rows, 400)
+    assert sorted(map(tuple, queries.op5_suffix_dedup(spark, sf).collect()), key=repr) == repeats(rows, 400, 256)
     for taken, target in check_mix(rows, queries.op7_mix_sources(spark, sf).collect()).values():
         assert abs(taken - target) <= max(1, 0.02 * target)

@@ -1,5 +1,6 @@
-"""Toxicity, nearest neighbours and the pipeline."""
+"""Toxicity and nearest neighbours."""
 
+import math
 import random
 import zlib
 
@@ -100,22 +101,59 @@ def test_query_recall(spark):
     assert sum(len(got[i] & want[i]) for i in want) >= 0.9 * sum(map(len, want.values()))
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, seen = docs.columns, [docs.count()]
-    from readloom.llm.common import Scratch
-
-    scratch = Scratch(spark, "stages")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf), name)
-        assert docs.columns == columns
-        seen.append(docs.count())
-    assert seen[0] >= seen[1] >= seen[2] >= seen[3] > 0
-    assert docs.groupBy("doc_id").count().where("count > 2").count() == 0
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    full = packed.groupBy("sequence_id").agg({"length": "sum"}).toDF("s", "n")
-    assert full.where("n > 2048").count() == 0
-    assert packed.where("piece = 0").count() == seen[4]
+def plain_ftrl(rows, o):
+    """The published update, coordinate by coordinate."""
+    z, n = {}, {}
+
+    def weight(i, l1):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((o.beta + math.sqrt(n[i])) / o.alpha + o.l2)
+
+    for epoch in range(o.epochs):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            at, label = rows[k]
+            w = {i: weight(i, 0.0 if i == "bias" else o.l1) for i in [*at, "bias"]}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - label
+            for i, v in w.items():
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / o.alpha * v
+                n[i] = before + g * g
+    return {i: v for i in z if (v := weight(i, 0.0 if i == "bias" else o.l1))}
+
+
+def test_training_against_a_plain_loop():
+    rng = random.Random(6)
+    rows = [(np.array(sorted(rng.sample(range(60), rng.randrange(1, 15)))), rng.randrange(2)) for _ in range(120)]
+    for options in (toxicity.FtrlOptions(l1=0.5, epochs=3), toxicity.FtrlOptions(alpha=0.3, l1=0.1, l2=0.7, epochs=2)):
+        at, weight, bias = toxicity.train(rows, options)
+        want = plain_ftrl([(a.tolist(), y) for a, y in rows], options)
+        assert dict(zip(at.tolist(), weight.tolist())).keys() == want.keys() - {"bias"}
+        assert all(math.isclose(w, want[i], rel_tol=1e-9, abs_tol=1e-12) for i, w in zip(at.tolist(), weight.tolist())) and math.isclose(bias, want["bias"], rel_tol=1e-9)
+
+
+def test_features_against_a_plain_list():
+    import pyarrow as pa
+
+    from readloom.llm.kernels import text_slices
+
+    texts = ["One two  three one two", "", "solo", None, "a b a b a b"]
+    for _, data, offsets in text_slices(pa.array(texts)):
+        value, bounds = toxicity.features(data, offsets)
+    sizes = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sizes.append(len(w) + max(len(w) - 1, 0) + max(len(w) - 2, 0))
+    assert np.diff(bounds).tolist() == sizes
+    repeated = value[bounds[4] : bounds[5]]
+    assert len(set(repeated.tolist())) == 6  # a, b, ab, ba, a-a, b-b
+
+
+def test_very_long_toxic_text(spark):
+    rows, labels = labelled(random.Random(9), 300)
+    rows += [(9001, "w1 w2 w3 " * 300000, "s", "l"), (9002, "w1 w2 w3 " * 300000 + "awful vile nasty awful vile", "s", "l")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.score for r in toxicity.toxic_scores(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[9002] > got[9001]
+    everything = toxicity.without_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert everything.count() == len(rows)
