@@ -27,7 +27,7 @@ ALPHA = 0.4
 #: Documents are packed in lots of about so many bytes of text, and counted in parts that stand for about so many.
 LOT_BYTES, PART_BYTES = 3 << 20, 16 << 20
 _BEGIN = U64(0x243F6A8885A308D3)
-_LOW = U64((1 << 48) - 1)
+_LOW = U64((1 << 40) - 1)
 
 _PACKETS = "to int, lot long, part int, docs binary, grams binary, words binary"
 _COUNTED = "lot long, part int, docs binary, grams binary, words binary"
@@ -60,16 +60,16 @@ def _narrow(values: np.ndarray) -> np.ndarray:
 
 
 def _pack(hashes: np.ndarray, *numbers: np.ndarray) -> bytes:
-    """Six bytes a hash, then numbers of each, which are mostly small."""
-    low = (hashes & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Five bytes a hash, then numbers of each, which are mostly small."""
+    low = (hashes & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
     return np.array([len(hashes)], "<u4").tobytes() + low + _squeeze(*[_narrow(n) for n in numbers])
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
     n = int(np.frombuffer(packed, "<u4", 1)[0])
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(packed, np.uint8, 6 * n, 4).reshape(-1, 6)
-    return wide.view("<u8").ravel(), *[a.astype(np.int64) for a in _unsqueeze(packed[4 + 6 * n :])]
+    wide[:, :5] = np.frombuffer(packed, np.uint8, 5 * n, 4).reshape(-1, 5)
+    return wide.view("<u8").ravel(), *[a.astype(np.int64) for a in _unsqueeze(packed[4 + 5 * n :])]
 
 
 class _Lot:
@@ -258,8 +258,9 @@ def score_left_out(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     text are not read.
 
     A document sends a distinct n-gram once, so that no n-gram has more entries than
-    there are documents, however common. An n-gram is known by its part and 48 more
-    bits; a part is a task's, and stands for ``PART_BYTES`` of text whatever the input.
+    there are documents, however common. A part is a task's, and stands for
+    ``PART_BYTES`` of text whatever the input; an n-gram is known by its part and 40
+    more bits, so that about one in a million is taken for another.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
