@@ -69,8 +69,7 @@ def _any(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     if kind == "SAM":
         return kind, bam.decoded(sam.read_sam(spark, path))
     if kind in ("FASTQ", "FASTQ.GZ"):
-        fastq.register(spark)
-        rows = spark.read.format("fastq").load(path)
+        rows = fastq.read_fastq(spark, path)
         return kind, rows.withColumns({"rg": F.lit(None).cast("string"), "tags": F.array().cast("array<string>")})
     if kind == "CRAM":
         raise unimplemented("CRAM decoding")
@@ -121,7 +120,7 @@ def enumerate_(spark, path, compat: bool = False):
     if kind == "FASTA":
         return {"format": kind, "records": fastq.count_fasta(spark, path)}
     if kind in ("FASTQ", "FASTQ.GZ"):
-        return {"format": kind, "records": fastq.count_fastq(path, compat=compat)}
+        return {"format": kind, "records": fastq.count_fastq(spark, path, compat=compat)}
     return {"format": kind, "records": _any(spark, path)[1].count()}
 
 
@@ -391,8 +390,7 @@ def consume(spark, path, inputs: tuple[str, ...] = (), out: str = "", mode: str
         return {"records": _write(spark, reads if sort_by else reads.orderBy("ordinal"), head, out, force), "dropped_read_groups": dropped}
     if sort_by == "coordinate":
         raise ReadloomError("invalid_argument", "unmapped reads have no coordinates to sort by")
-    fastq.register(spark)
-    rows = rewrite.merge([spark.read.format("fastq").load(p) for p in raw])
+    rows = rewrite.merge([fastq.read_fastq(spark, p) for p in raw])
     lines: list = [("HD", [("VN", "1.6"), ("SO", sort_by or "unsorted")])]
     if read_group or sample_name or platform:
         lines.append(("RG", [("ID", read_group or "rg1"), *([("SM", sample_name)] if sample_name else []), *([("PL", platform)] if platform else [])]))

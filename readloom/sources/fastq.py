@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import io
+import json
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +47,11 @@ def lines(path: str) -> Iterator[bytes]:
 
 def records(path: str) -> Iterator[tuple]:
     """Strict four-line records: (header, name, sequence, plus line, quality)."""
-    it, n = lines(path), 0
+    yield from _records(lines(path), path, 0)
+
+
+def _records(it: Iterator[bytes], path: str, n: int) -> Iterator[tuple]:
+    """Records from lines that begin with one, the n-th of the file."""
     for head in it:
         n += 1
         try:
@@ -62,25 +69,82 @@ def records(path: str) -> Iterator[tuple]:
         yield head[1:], names[0], sequence, plus, quality
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
+@dataclass
+class FastqRange(InputPartition):
+    """Records that begin in [begin, end) of a file, before which there are so many line ends; end is None for a whole file."""
+
+    path: str
+    begin: int = 0
+    end: int | None = None
+    newlines: int = 0
+
+    def __init__(self, path: str, begin: int = 0, end: int | None = None, newlines: int = 0):
+        super().__init__(None)
+        self.path, self.begin, self.end, self.newlines = path, begin, end, newlines
+
+    def read(self) -> Iterator[tuple[int, tuple]]:
+        """(ordinal, record)."""
+        if self.end is None:
+            yield from enumerate(records(self.path))
+            return
+        with open_input(self.path) as stream:
+            stream.seek(max(self.begin - 1, 0))
+            reader = io.BufferedReader(io.BufferedReader(_Raw(stream)), 1 << 20)
+            at, line = self.begin, self.newlines
+            if self.begin:
+                skipped = reader.readline()  # up to the line end before the first line that begins here
+                at, line = self.begin - 1 + len(skipped), self.newlines + (skipped != b"\n")
+            while line % 4:
+                skipped = reader.readline()
+                at, line = at + len(skipped), line + 1
+                if not skipped:
+                    return
+            place = [at]
+
+            def whole_lines() -> Iterator[bytes]:
+                while raw := reader.readline():
+                    place[0] += len(raw)
+                    yield raw.removesuffix(b"\n")
+
+            it, ordinal = whole_lines(), line // 4
+            while place[0] < self.end:
+                record = next(_records(it, self.path, ordinal), None)
+                if record is None:
+                    return
+                yield ordinal, record
+                ordinal += 1
+
+
+class _Raw(io.RawIOBase):
+    """An Arrow stream as a raw one, which the standard library can buffer."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.stream.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
 
 
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = options["path"].split(",")
         self.limit = int(options["maxrecords"]) if options.get("maxrecords") else None
+        self.plan = json.loads(options["plan"]) if options.get("plan") else None
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
+        return [FastqRange(p) for p in self.paths] if self.plan is None else [FastqRange(*r) for r in self.plan]
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FastqRange) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for n, r in enumerate(records(partition.value)):
+        for n, r in partition.read():
             if self.limit is not None and n >= self.limit:
                 break
-            rows.append((partition.value, n, *r))
+            rows.append((partition.path, n, *r))
             if len(rows) == 10_000:
                 yield _batch(rows)
                 rows = []
@@ -88,13 +152,44 @@ class FastqReader(DataSourceReader):
             yield _batch(rows)
 
 
+def _count_lines(path: str, size: int):
+    def count(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            found = []
+            for i in batch.column("id").to_pylist():
+                with open_input(path) as stream:
+                    stream.seek(i * size)
+                    left, n = size, 0
+                    while left and (piece := stream.read(min(left, 1 << 22))):
+                        left, n = left - len(piece), n + piece.count(b"\n")
+                found.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.int64())], ["id", "n"])
+
+    return count
+
+
+def read_fastq(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
+    """A file's reads. Plain text is read in ranges of bytes: tasks count the line ends of each first, so that every range knows which records begin in it; the driver gets a number a range."""
+    register(spark)
+    source = spark.read.format("fastq")
+    if path.lower().endswith(".gz") or (size := file_size(path)) <= range_bytes:
+        return source.load(path)
+    ranges = -(-size // range_bytes)
+    counts = spark.range(0, ranges, 1, ranges).mapInArrow(_count_lines(path, range_bytes), "id long, n long").collect()
+    plan, before = [], 0
+    for r in sorted(counts, key=lambda r: r["id"]):
+        plan.append([path, r["id"] * range_bytes, min((r["id"] + 1) * range_bytes, size), before])
+        before += r["n"]
+    return source.option("plan", json.dumps(plan)).load(path)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int64(), *[pa.string()] * 5]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
 
 
 class FastqDataSource(DataSource):
-    """``spark.read.format("fastq").load(path)``; a partition a file, since plain gzip can't be split."""
+    """``spark.read.format("fastq").load(path)``: a partition a file, as plain gzip can't be split; ``read_fastq`` gives ranges of plain text."""
 
     @classmethod
     def name(cls) -> str:
@@ -185,8 +280,8 @@ def read_gzi(path: str) -> tuple[dict, list[tuple[int, int, int]]]:
     return {"interval_bp": step, "compressed_size": compressed, "uncompressed_size": uncompressed, "total_records": total}, points
 
 
-def count_fastq(path: str, sidecar: str | None = None, compat: bool = False) -> int:
-    """Records of a FASTQ file; from the sidecar index where it speaks of a file of this size (of any size with ``compat``)."""
+def count_fastq(spark: SparkSession, path: str, sidecar: str | None = None, compat: bool = False) -> int:
+    """Records of a FASTQ file, counted in tasks; from the sidecar index where it speaks of a file of this size (of any size with ``compat``)."""
     import os
 
     sidecar = sidecar or f"{path}.gzi"
@@ -194,4 +289,4 @@ def count_fastq(path: str, sidecar: str | None = None, compat: bool = False) ->
         summary, _ = read_gzi(sidecar)
         if compat or summary["compressed_size"] == file_size(path):
             return summary["total_records"]
-    return sum(1 for _ in records(path))
+    return read_fastq(spark, path).count()

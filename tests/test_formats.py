@@ -128,14 +128,14 @@ def test_fastq_and_sidecar(spark, tiny, tmp_path):
     for path in (plain, zipped):
         rows = spark.read.format("fastq").load(path)
         assert rows.count() == 3000 and rows.where("ordinal = 7").first().read_name == "q7"
-        assert fastq.count_fastq(path) == 3000
+        assert fastq.count_fastq(spark, path) == 3000
     assert probe.probe(plain).format == "FASTQ" and probe.probe(zipped).format == "FASTQ.GZ"
     summary, points = fastq.build_gzi(zipped)
     assert summary["total_records"] == 3000 and points[0] == (0, 0, 0) and points[-1][2] == 3000
     fastq.write_gzi(zipped + ".gzi", summary, points)
     assert fastq.read_gzi(zipped + ".gzi") == (summary, points)
     fastq.write_gzi(zipped + ".gzi", summary | {"total_records": 5, "compressed_size": 1}, points, force=True)
-    assert fastq.count_fastq(zipped) == 3000 and fastq.count_fastq(zipped, compat=True) == 5
+    assert fastq.count_fastq(spark, zipped) == 3000 and fastq.count_fastq(spark, zipped, compat=True) == 5
     out = str(tmp_path / "c.fastq.gz")
     fastq.write_fastq(spark.range(50).selectExpr("id AS ordinal", "concat('@r', id, '\n', 'AC\n+\nII\n') AS record"), out)
     assert [r[1] for r in fastq.records(out)] == [f"r{i}" for i in range(50)]
@@ -145,6 +145,26 @@ def test_fastq_and_sidecar(spark, tiny, tmp_path):
             list(fastq.records(plain))
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_ranges_of_plain_fastq(spark, tmp_path, end):
+    path = str(tmp_path / "a.fastq")
+    lines = [line for i in range(40) for line in (f"@q{i} {'x' * (i % 7)}", "ACGT" * (i % 5 + 1), "+" + "@" * (i % 3), "@+II" * (i % 5 + 1))]
+    for text in (end.join(lines) + end, end.join(lines)):
+        open(path, "w", newline="").write(text)
+        want = [(i, *r) for i, r in enumerate(fastq.records(path))]
+        for size in (1, 7, 33, 64, 500, 10**6):
+            got = fastq.read_fastq(spark, path, size).orderBy("ordinal").collect() if size > 30 else None
+            if got is None:  # every range alone, without a job
+                cuts = [*range(0, len(text), size), len(text)]
+                ranges = [fastq.FastqRange(path, a, z, text[:a].count("\n")) for a, z in zip(cuts, cuts[1:])]
+                assert [(n, *r) for part in ranges for n, r in part.read()] == want
+            else:
+                assert [(r.ordinal, r.raw_header, r.read_name, r.sequence, r.plus_line, r.quality) for r in got] == want
+    open(path, "w").write("@a\nAC\n+\nII\n" * 20 + "@b\nAC\n")
+    with pytest.raises(Exception, match="truncated_file"):
+        fastq.read_fastq(spark, path, 50).count()
+
+
 def test_fasta_and_discovery(spark, tmp_path):
     (tmp_path / "d" / "e").mkdir(parents=True)
     fa = str(tmp_path / "d" / "x.fa")
