@@ -57,8 +57,7 @@ def _one(df: DataFrame) -> dict:
 
 def _bam(spark: SparkSession, path: str) -> DataFrame:
     probe.verify(path)
-    bam.register(spark)
-    return spark.read.format("bam").load(path)
+    return bam.read_bam(spark, path)
 
 
 def _any(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
@@ -200,10 +199,9 @@ def build_index(spark, path, out: str | None = None, force: bool = False):
 
 def _record_findings(spark: SparkSession, path: str, records: int | None, fail_fast: bool, most: dict[str, int]) -> dict:
     """What the records' scan tells: how far it came, the number of findings by severity, and the first of them."""
-    bam.register(spark)
-    ranges, damage = bam.scan_plan(path)
+    ranges, damage = bam.plan_bam(spark, path)
     total = sum(r.records for r in ranges)
-    reads = profile.bounded(spark.read.format("bam").option("ondamage", "mark").load(path), records)
+    reads = profile.bounded(bam.planned(spark, path, ranges, mark=True), records)
     scratch = _scratch(spark, "validate")
     validate.body_findings(reads).write.parquet(scratch)
     found = spark.read.parquet(scratch)

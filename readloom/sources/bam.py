@@ -3,13 +3,14 @@
 Records straddle compressed blocks, so ranges of blocks can't be read alone without
 knowing where their first record begins. One pass over a file finds that for
 ranges of about ``range_bytes``: a plan row is (first block, offset in it, next
-range's start, first ordinal, records). The pass inflates the file once on the
-driver for each action; tasks then read their ranges independently, and ordinals are
-global.
+range's start, first ordinal, records). ``read_bam`` makes the plan by tasks and once for
+all actions on its result; the plain data source by one pass on the driver for each action.
+Tasks then read their ranges independently, and ordinals are global.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from readloom import schema as S
 from readloom.errors import ReadloomError
 from readloom.operators.checksum import framed, framed_digest, stream_digest
 from readloom.sources import bgzf
-from readloom.sources.files import open_input
+from readloom.sources.files import file_size, open_input
 from readloom.sources.header import Header, parse_binary
 
 _FIXED = struct.Struct("<iiBBHHHiiii")
@@ -75,55 +76,193 @@ def plan_ranges(path: str, range_bytes: int = 32 << 20) -> list[BamRange]:
     """Ranges of records by one sequential pass; a file that ends inside a record is an error."""
     ranges, damage = scan_plan(path, range_bytes)
     if damage is not None:
-        code, record, detail = damage
-        raise ReadloomError("truncated_file" if code == "truncated_record" else code, f"{path}, record {record}: {detail}")
+        raise _damaged(path, damage)
     return ranges
 
 
-def scan_plan(path: str, range_bytes: int = 32 << 20) -> tuple[list[BamRange], tuple[str, int, str] | None]:
-    """Ranges of the records before the first whose extent is damaged, and (code, 1-based record, detail) of that one."""
-    out: list[BamRange] = []
-    damage: tuple[str, int, str] | None = None
+Damage = tuple[str, int, str]
+
+
+def scan_plan(path: str, range_bytes: int = 32 << 20) -> tuple[list[BamRange], Damage | None]:
+    """Ranges of the records before the first whose extent is damaged, and (code, 1-based record, detail) of that one, by one sequential pass."""
     with open_input(path) as stream:
         _, block, skip = _header(stream)
-        first, first_skip, ordinal, count, since = block, skip, 0, 0, 0
-        head, need = b"", 0  # bytes of a size field that a block's end cut, or payload still to pass over
-        try:
-            for at, size in bgzf.members(stream, block):
-                stream.seek(at)
-                data = bgzf.inflate(stream.read(size))
-                pos = skip if at == block else 0
-                since += size
-                while pos < len(data) and damage is None:
-                    if need:
-                        step = min(need, len(data) - pos)
-                        pos, need = pos + step, need - step
-                        continue
-                    if not head and since > range_bytes and count:
-                        out.append(BamRange(path, first, first_skip, ordinal, count))
-                        first, first_skip, ordinal, count, since = at, pos, ordinal + count, 0, size
-                    take = min(4 - len(head), len(data) - pos)
-                    head, pos = head + data[pos : pos + take], pos + take
-                    if len(head) == 4:
-                        need, head = struct.unpack("<i", head)[0], b""
-                        if need < 32:
-                            damage, need = ("invalid_record", ordinal + count + 1, f"a block size of {need}"), 0
-                        else:
-                            count += 1
-                if damage is not None:
-                    break
-        except ReadloomError as e:
-            if e.code != "truncated_file":
-                raise
-            # the member that is cut holds the rest of the record begun, or the next one
-            damage = ("truncated_record", ordinal + count + (0 if need else 1), e.message)
-        if damage is None and (head or need):
-            damage = ("truncated_record", ordinal + count + (0 if need else 1), "the file ends inside it")
-        if need:
-            count -= 1
-        if count or not out:
-            out.append(BamRange(path, first, first_skip, ordinal, count))
-    return out, damage
+        return _stitched(path, (block, skip), lambda start: _walk(stream, start, start[0] + range_bytes))
+
+
+def _stitched(path: str, first: tuple[int, int], walk) -> tuple[list[BamRange], Damage | None]:
+    """Ranges one after the other, each from where the one before ended."""
+    out: list[BamRange] = []
+    ordinal, start = 0, first
+    while start is not None:
+        count, following, damage = walk(start)
+        if count:
+            out.append(BamRange(path, *start, ordinal, count))
+        ordinal += count
+        if damage is not None:
+            return out or [BamRange(path, *first, 0, 0)], (damage[0], ordinal + 1, damage[2])
+        start = following
+    return out or [BamRange(path, *first, 0, 0)], None
+
+
+def _walk(stream, start: tuple[int, int], end: int) -> tuple[int, tuple[int, int] | None, Damage | None]:
+    """Pass over the records from a place (block, offset in it) that begin in blocks before ``end``: their number, where the next one begins, and what is wrong with it."""
+    block, skip = start
+    count, head, need = 0, b"", 0  # bytes of a size field that a block's end cut, or payload still to pass over
+    try:
+        for at, size in bgzf.members(stream, block):
+            stream.seek(at)
+            data = bgzf.inflate(stream.read(size))
+            pos = skip if at == block else 0
+            while pos < len(data):
+                if need:
+                    step = min(need, len(data) - pos)
+                    pos, need = pos + step, need - step
+                    continue
+                if not head and at >= end:
+                    return count, (at, pos), None
+                take = min(4 - len(head), len(data) - pos)
+                head, pos = head + data[pos : pos + take], pos + take
+                if len(head) == 4:
+                    need, head = struct.unpack("<i", head)[0], b""
+                    if need < 32:
+                        return count, None, ("invalid_record", 0, f"a block size of {need}")
+                    count += 1
+    except ReadloomError as e:
+        if e.code != "truncated_file":
+            raise
+        # the member that is cut holds the rest of the record begun, or the next one
+        return count - (need > 0), None, ("truncated_record", 0, e.message)
+    if head or need:
+        return count - (need > 0), None, ("truncated_record", 0, "the file ends inside it")
+    return count, None, None
+
+
+def plan_bam(spark: SparkSession, path: str, range_bytes: int = 32 << 20) -> tuple[list[BamRange], Damage | None]:
+    """What ``scan_plan`` finds, by tasks.
+
+    Each takes a range of the file's bytes, finds the first block in it, guesses where
+    the first record begins, and passes over the records from there. The driver, which gets
+    a row a range, goes from range to range: where a guess isn't the place at which the
+    range before ended, that range is passed over again from the right place.
+    """
+    size = file_size(path)
+    if size <= range_bytes:
+        return scan_plan(path, range_bytes)
+    with open_input(path) as stream:
+        head, block, skip = _header(stream)
+    references, names = len(head.references), "id long, block long, skip long, records long, next_block long, next_skip long, code string, detail string"
+
+    def passed(i: int, start: tuple[int, int] | None) -> tuple:
+        with open_input(path) as stream:
+            end = min((i + 1) * range_bytes, size)
+            start = start or _guess(stream, i * range_bytes, end, references)
+            if start is None:
+                return (i, *[None] * 7)
+            count, following, damage = _walk(stream, start, end)
+            return (i, *start, count, *(following or (None, None)), *((damage[0], damage[2]) if damage else (None, None)))
+
+    def job(start: tuple[int, int] | None):
+        def walk(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in arrow:
+                rows = [passed(i, start) for i in batch.column("id").to_pylist()]
+                kinds = [*[pa.int64()] * 6, pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [n.split(" ")[0] for n in names.split(", ")])
+
+        return walk
+
+    ranges = -(-size // range_bytes)
+    found = {r["id"]: r for r in spark.range(0, ranges, 1, ranges).mapInArrow(job(None), names).collect()}
+
+    def walk(start: tuple[int, int]) -> tuple[int, tuple[int, int] | None, Damage | None]:
+        i = start[0] // range_bytes
+        r = found[i]
+        if (r["block"], r["skip"]) != start:
+            r = spark.range(i, i + 1, 1, 1).mapInArrow(job(start), names).first()
+        following = None if r["next_block"] is None else (r["next_block"], r["next_skip"])
+        return r["records"], following, (r["code"], 0, r["detail"]) if r["code"] else None
+
+    return _stitched(path, (block, skip), walk)
+
+
+def _guess(stream, begin: int, end: int, references: int) -> tuple[int, int] | None:
+    """Where the first record that begins in a block of [begin, end) may begin: there, and after it, fields are as in records."""
+    stream.seek(begin)
+    window = stream.read(2 * bgzf.MOST_MEMBER)
+    at = -1
+    while (at := window.find(b"\x1f\x8b\x08\x04", at + 1)) >= 0:
+        n = bgzf.member_size(window[at : at + 64])
+        if n and (window[at + n : at + n + 4] == b"\x1f\x8b\x08\x04" or begin + at + n == stream.size()):
+            break
+    if at < 0 or begin + at >= end:
+        return None
+    places, data = [], b""
+    try:
+        for block, n in bgzf.members(stream, begin + at):
+            stream.seek(block)
+            places.append((len(data), block))
+            data += bgzf.inflate(stream.read(n))
+            if len(data) > 8 * bgzf.MOST_MEMBER:
+                break
+    except ReadloomError:
+        pass  # what there is serves for a guess
+    for offset in _plausible(data, references):
+        start, block = next(p for p in reversed(places) if p[0] <= offset)
+        return (block, offset - start) if block < end else None
+    return None
+
+
+def _plausible(data: bytes, references: int, more: int = 4) -> Iterator[int]:
+    """Offsets at which a record may begin, each followed by ``more`` others as far as the data goes."""
+    if len(data) < 36:
+        return
+    raw = np.frombuffer(data, np.uint8)
+    quads = sum(raw[i : len(raw) - 3 + i].astype(np.uint32) << np.uint32(8 * i) for i in range(4)).view(np.int32)
+    field = lambda k: quads[k : len(quads) - 32 + k]
+    fits = (field(0) >= 32) & (field(0) < 1 << 26) & (field(4) >= -1) & (field(4) < max(references, 1)) & (field(8) >= -1) & (field(20) >= 0) & (field(24) >= -1) & (field(24) < max(references, 1)) & (field(28) >= -1)
+
+    def record(at: int) -> int | None:
+        """Where the record that begins here would end."""
+        if at + 36 > len(data) or not fits[at]:
+            return None
+        size = struct.unpack_from("<i", data, at)[0]
+        l_name, n_cigar, l_seq = data[at + 12], *struct.unpack_from("<H", data, at + 16), *struct.unpack_from("<i", data, at + 20)
+        name = data[at + 36 : at + 36 + l_name]
+        if l_name < 1 or 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq > size or (len(name) == l_name and (name[-1] or 0 in name[:-1])):
+            return None
+        return at + 4 + size
+
+    for offset in np.flatnonzero(fits).tolist():
+        at, good = offset, True
+        for _ in range(more + 1):
+            if at + 36 > len(data):
+                break
+            ends = record(at)
+            if ends is None:
+                good = False
+                break
+            at = ends
+        if good:
+            yield offset
+
+
+def read_bam(spark: SparkSession, path: str, range_bytes: int = 32 << 20) -> DataFrame:
+    """A file's reads, planned by tasks; a record whose extent is damaged is an error."""
+    ranges, damage = plan_bam(spark, path, range_bytes)
+    if damage is not None:
+        raise _damaged(path, damage)
+    return planned(spark, path, ranges)
+
+
+def planned(spark: SparkSession, path: str, ranges: list[BamRange], mark: bool = False) -> DataFrame:
+    register(spark)
+    plan = json.dumps([[r.path, r.block, r.skip, r.ordinal, r.records] for r in ranges])
+    return spark.read.format("bam").option("plan", plan).option("ondamage", "mark" if mark else "fail").load(path)
+
+
+def _damaged(path: str, damage: Damage) -> ReadloomError:
+    code, record, detail = damage
+    return ReadloomError("truncated_file" if code == "truncated_record" else code, f"{path}, record {record}: {detail}")
 
 
 def _inflated(stream, block: int, skip: int) -> Iterator[bytes]:
@@ -184,11 +323,15 @@ class BamReader(DataSourceReader):
         self.limit = int(options["maxrecords"]) if options.get("maxrecords") else None
         self.range_bytes = int(options.get("rangebytes", 32 << 20))
         self.mark = options.get("ondamage", "fail") == "mark"
+        self.plan = [BamRange(*r) for r in json.loads(options["plan"])] if options.get("plan") else None
 
     def partitions(self) -> list[BamRange]:
         out = []
         for path in self.paths:
-            for r in scan_plan(path, self.range_bytes)[0] if self.mark else plan_ranges(path, self.range_bytes):
+            planned = self.plan
+            if planned is None:
+                planned = scan_plan(path, self.range_bytes)[0] if self.mark else plan_ranges(path, self.range_bytes)
+            for r in planned:
                 if self.limit is None or r.ordinal < self.limit:
                     out.append(r if self.limit is None else BamRange(r.path, r.block, r.skip, r.ordinal, min(r.records, self.limit - r.ordinal)))
         return out

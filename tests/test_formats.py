@@ -2,6 +2,7 @@
 
 import gzip
 import os
+import random
 import struct
 
 import pytest
@@ -80,6 +81,36 @@ def test_ranges_that_straddle_blocks(spark, tiny, tmp_path):
     assert bam.checksum(back, True, ("NM",)) != first
 
 
+def test_plans_made_by_tasks(spark, tiny, tmp_path):
+    path = str(tmp_path / "a.bam")
+    head = sam.read_header(tiny)
+    rng = random.Random(3)
+    rows = [r.asDict() for r in sam.read_sam(spark, tiny).orderBy("ordinal").collect()]
+    long = rows[0] | {"aux_bytes": b"XZZ" + bytes(rng.randrange(65, 91) for _ in range(400000)) + b"\0"}  # a record over several blocks
+    body = b"".join(bam.encode_record(long if i % 700 == 650 else rows[i % len(rows)] | {"read_name": f"n{i}-{rng.random()}"}) for i in range(2000))
+    data = bgzf.deflate(head.binary()) + bgzf.deflate(body) + bgzf.EOF_MARKER
+    open(path, "wb").write(data)
+    want = spark.read.format("bam").load(path).orderBy("ordinal").collect()
+    assert len(want) == 2000
+    for size in (3000, 70000, 200000):
+        ranges, damage = bam.plan_bam(spark, path, size)
+        assert damage is None and sum(r.records for r in ranges) == 2000
+        # the same places as from the sequential pass, up to where ranges are cut
+        assert bam.read_bam(spark, path, size).orderBy("ordinal").collect() == want
+    open(path, "wb").write(data[: len(data) // 2])
+    ranges, damage = bam.plan_bam(spark, path, 70000)
+    assert damage == bam.scan_plan(path)[1] and damage[0] == "truncated_record" and sum(r.records for r in ranges) == damage[1] - 1
+    with pytest.raises(ReadloomError, match="truncated_file"):
+        bam.read_bam(spark, path, 70000)
+    offsets, at = [], 0
+    while at < len(body):
+        offsets.append(at)
+        at += 4 + int.from_bytes(body[at : at + 4], "little")
+    bad = body[: offsets[1500]] + b"\x05\0\0\0" + body[offsets[1500] :]
+    open(path, "wb").write(bgzf.deflate(head.binary()) + bgzf.deflate(bad) + bgzf.EOF_MARKER)
+    assert bam.plan_bam(spark, path, 70000)[1] == bam.scan_plan(path)[1] == ("invalid_record", 1501, "a block size of 5")
+
+
 def test_damaged_files(spark, tiny, tmp_path):
     path, cut = str(tmp_path / "a.bam"), str(tmp_path / "cut.bam")
     write(spark, sam.read_sam(spark, tiny), sam.read_header(tiny), path)
