@@ -167,44 +167,46 @@ def _count_blocks(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["block", "task", "at", "counts"])
 
 
-def _sum_blocks(table: pa.Table) -> pa.Table:
-    """Of up to ``FAN_IN`` tasks' counts of a block: one row with their sums."""
-    total = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
-    block, task = table.column("block")[0].as_py(), min(table.column("task").to_pylist())
-    for at, counts in zip(table.column("at"), table.column("counts"), strict=True):
-        total[np.frombuffer(at.as_py(), np.int32) & (len(total) - 1)] += np.frombuffer(counts.as_py(), np.int64)
-    at = np.flatnonzero(total).astype(np.int32) + np.int32(block << (SKETCH_BITS - 6))
-    rows = {"block": [block], "task": [task // FAN_IN], "at": [at.tobytes()], "counts": [total[total > 0].tobytes()]}
-    return pa.table({k: pa.array(v, pa.int32() if k in ("block", "task") else pa.binary()) for k, v in rows.items()})
-
-
-def shingle_counts(sets: DataFrame, scratch: Scratch) -> np.ndarray:
+def _summer(fan_in: int):
+    def sum_blocks(table: pa.Table) -> pa.Table:
+        """Of up to ``fan_in`` tasks' counts of a block: one row with their sums."""
+        total = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
+        block, task = table.column("block")[0].as_py(), min(table.column("task").to_pylist())
+        for at, counts in zip(table.column("at"), table.column("counts"), strict=True):
+            total[np.frombuffer(at.as_py(), np.int32) & (len(total) - 1)] += np.frombuffer(counts.as_py(), np.int64)
+        at = np.flatnonzero(total).astype(np.int32) + np.int32(block << (SKETCH_BITS - 6))
+        rows = {"block": [block], "task": [task // fan_in], "at": [at.tobytes()], "counts": [total[total > 0].tobytes()]}
+        return pa.table({k: pa.array(v, pa.int32() if k in ("block", "task") else pa.binary()) for k, v in rows.items()})
+
+    return sum_blocks
+
+
+def _cap_counts(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrow:
+        counts = [np.minimum(np.frombuffer(c, np.int64), (1 << 16) - 1).astype(np.uint16).tobytes() for c in batch.column("counts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(counts, pa.binary())], ["at", "counts"])
+
+
+def shingle_counts(sets: DataFrame, scratch: Scratch, fan_in: int = FAN_IN) -> np.ndarray:
     """How many sets hold a shingle, by its leading bits, so never too few: a table of 8 MB whatever the input. A count of 65535 stands for more.
 
-    Tasks' counts are summed on executors, ``FAN_IN`` at a time and in as many rounds as that takes.
+    Tasks' counts are summed on executors, ``fan_in`` at a time and in as many rounds as that takes.
     """
     schema = "block int, task int, at binary, counts binary"
     rows = scratch.table(sets.select("shingles").mapInArrow(_count_blocks, schema), "blocks")
     most = rows.agg(F.max("task")).first()[0] or 0
     while True:
-        rows = rows.groupBy("block", F.expr(f"task div {FAN_IN}")).applyInArrow(_sum_blocks, schema)
-        if most < FAN_IN:
+        rows = rows.groupBy("block", F.expr(f"task div {fan_in}")).applyInArrow(_summer(fan_in), schema)
+        if most < fan_in:
             break
-        most //= FAN_IN
+        most //= fan_in
         rows = scratch.table(rows, f"blocks-{most}")
     out = np.zeros(1 << SKETCH_BITS, np.uint16)
-    capped = rows.select("at", "counts").mapInArrow(_cap_counts, "at binary, counts binary")
-    for r in capped.toLocalIterator():
+    for r in rows.select("at", "counts").mapInArrow(_cap_counts, "at binary, counts binary").collect():
         out[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["counts"], np.uint16)
     return out
 
 
-def _cap_counts(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in arrow:
-        counts = [np.minimum(np.frombuffer(c, np.int64), (1 << 16) - 1).astype(np.uint16).tobytes() for c in batch.column("counts").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(counts, pa.binary())], ["at", "counts"])
-
-
 def _star_comparer(percent: int, counts: np.ndarray):
     """Compare sets with their centres: whether they are linked, and keys for what sets in which they differ from it.
 

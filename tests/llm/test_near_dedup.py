@@ -117,3 +117,44 @@ def test_query_on_the_smallest_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op2_minhash_near_dedup(spark, sf).collect()}
     assert got == brute_force(rows, 3, 85)
+
+
+def test_counts_of_shingles_in_rounds(spark):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, 50).astype(np.uint64) & np.uint64(0xFFC0000000000000 | (1 << 20) - 1)) for _ in range(300)]
+    want = np.zeros(1 << near_dedup.SKETCH_BITS, np.int64)
+    for s in sets:
+        np.add.at(want, (s >> np.uint64(64 - near_dedup.SKETCH_BITS)).astype(np.int64), 1)
+    rows = spark.createDataFrame([(s.tobytes(),) for s in sets], "shingles binary").repartition(13)
+    for fan_in in (2, 5, 64):
+        got = near_dedup.shingle_counts(rows, Scratch(spark, "counts"), fan_in)
+        assert (got == want).all()
+
+
+def test_pairs_with_a_much_met_centre(spark):
+    sets = spark.createDataFrame([(bytes([i % 256, i // 256]), bytes([i % 256])) for i in range(1500)], "node binary, shingles binary")
+    rows = [(bytes([i % 256, i // 256]), bytes([7, 0])) for i in range(1500) if i != 7] + [(bytes([1, 0]), bytes([2, 0]))]
+    stars = spark.createDataFrame(rows, "a binary, b binary")
+    met = stars.groupBy("b").count().withColumnRenamed("count", "met")
+    got = near_dedup._with_centres(stars.join(met, "b"), met, sets).collect()
+    assert sorted((bytes(r.a), bytes(r.b)) for r in got) == sorted(rows)
+    assert all(bytes(r.left_set) == bytes(r.a[:1]) and bytes(r.right_set) == bytes(r.b[:1]) for r in got)
+
+
+def test_rows_that_share_a_doc_id_and_clashing_columns(spark):
+    near = family(random.Random(8), 3, 80, 2)
+    rows = [(1, near[0], 5, 6), (1, near[0], 5, 6), (1, "quite another text under the same id", 5, 6), (2, near[0].upper(), 5, 6), (None, "no id here", 5, 6), (None, "no id here", 5, 6), (None, near[0], 5, 6), (3, None, 5, 6), (3, "", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, mark int")
+    kept = near_dedup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr) == sorted([(1, near[0]), (1, rows[2][1]), (None, "no id here"), (3, "")], key=repr)
+
+
+def test_a_very_long_text_and_its_near_copy(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 150000)]
+    changed = list(words)
+    changed[70000] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:75000])), (4, " ".join(words[:100]))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
