@@ -29,7 +29,7 @@ class AnnOptions:
     threshold: float = 0.66
     radii: tuple[float, ...] = (0.1, 0.5, 0.9, 1.03, 1.12, 1.22, 1.4, 2.0, float("inf"))
     tile_rows: int = 32_768
-    tile_queries: int = 1_024
+    tile_queries: int = 8_192
     seed: int = 5
 
 
