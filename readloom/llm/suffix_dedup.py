@@ -9,9 +9,8 @@ window of ``length`` bytes has the anchor of the shorter one that begins where i
 does. Consecutive windows with the same anchor form a run; the entry of a run is the
 digest of the anchor, then that of all bytes of the run. A level of the index is a
 table of distinct entries sorted by digest, beside one of its heads (the digests of
-anchors) and how many entries each has. New batches get a level of their own, whose
-heads are merge-scanned against those of the existing levels, and levels of equal
-size merge.
+anchors) and how many entries each has. New batches get a level of their own, and
+levels of equal size merge; a merge scans the entries and heads of both for matches.
 """
 
 from __future__ import annotations
@@ -113,41 +112,34 @@ def _indexer(length: int, window: int, k: int):
 
 @dataclass
 class SuffixIndex:
-    """Levels of distinct entries, each twice the size of the next at least; ``met`` holds heads that scans found in two entries."""
+    """Levels of distinct entries, each twice the size of the next at least: (size, name, entries, heads)."""
 
     scratch: Scratch
     levels: list[tuple[int, str, DataFrame, DataFrame]] = field(default_factory=list)
-    met: list[DataFrame] = field(default_factory=list)
     _made: int = 0
 
     def add(self, entries: DataFrame) -> None:
-        """Index a batch: build its array, scan its heads against those of each level, and merge levels of equal size."""
+        """Index a batch: build its array, and merge levels of equal size."""
         place = F.min(F.struct("key", "first", "run", "lead")).alias("place")
-        level = self._write(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("times"), place), 1)
-        self._note(level[3].where("n > 1").select("head"))
-        for *_, older in self.levels:
-            self._note(level[3].select("head").hint("merge").join(older.select("head"), "head", "left_semi"))
-        self.levels.append(level)
+        self.levels.append(self._write(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("times"), place), 1))
         while len(self.levels) > 1 and self.levels[-1][0] >= self.levels[-2][0]:
             self._merge()
 
     def merged(self) -> tuple[DataFrame, DataFrame]:
-        """All levels as one, and its heads met twice with the number of entries of each (of which some may be counted more than once)."""
+        """All levels as one, and its heads that stand in two entries, with how many (of which some may be counted more than once)."""
         while len(self.levels) > 1:
             self._merge()
-        found = self.met[0]
-        for more in self.met[1:]:
-            found = found.unionByName(more)
-        _, _, suffixes, heads = self.levels[0]
-        return suffixes, self.scratch.table(heads.join(found.distinct().hint("merge"), "head", "left_semi"), "heads-met")
+        return self.levels[0][2], self.levels[0][3].where("n > 1")
 
     def _merge(self) -> None:
+        """One level of the last two. Entries and heads are scanned side by side: equal entries are counted together, and a head of both has matches in both."""
         a, b = self.levels.pop(), self.levels.pop()
         both = b[2].unionByName(a[2]).groupBy("entry").agg(F.sum("times").alias("times"), F.min("place").alias("place"))
         heads = b[3].unionByName(a[3]).groupBy("head").agg(F.sum("n").alias("n"))
         self.levels.append(self._write(both, a[0] + b[0], heads))
         for gone in (a, b):
             self.scratch.drop(gone[1])
+            self.scratch.drop(f"{gone[1]}-heads")
 
     def _write(self, df: DataFrame, size: int, heads: DataFrame | None = None) -> tuple[int, str, DataFrame, DataFrame]:
         self._made += 1
@@ -156,9 +148,6 @@ class SuffixIndex:
         heads = level.groupBy(_head()).agg(F.count(F.lit(1)).alias("n")) if heads is None else heads
         return size, name, level, self.scratch.table(heads.sortWithinPartitions("head"), f"{name}-heads")
 
-    def _note(self, heads: DataFrame) -> None:
-        self.met.append(self.scratch.table(heads, f"met-{self._made}-{len(self.met)}"))
-
 
 def _head() -> Column:
     return F.substring("entry", 1, 8).alias("head")
