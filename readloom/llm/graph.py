@@ -22,9 +22,19 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     node or component reaches the driver; the steps end when a step changes
     nothing, after a number of rounds that grows with the logarithm of the nodes.
     """
+    small = _contracted(edges, scratch, name, None)
+    return small.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def contracted(edges: DataFrame, scratch: Scratch, name: str, rounds: int) -> DataFrame:
+    """Edges (a, b), a greater than b, of the same components after some rounds: most nodes have one, to the smallest of their component or near it."""
+    return _contracted(edges, scratch, name, rounds).select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def _contracted(edges: DataFrame, scratch: Scratch, name: str, rounds: int | None) -> DataFrame:
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = scratch.table(pairs, f"{name}-0")
-    mark = _mark(pairs)
+    mark = _mark(pairs) if rounds is None else ()
     step = 0
     while True:
         step += 1
@@ -34,11 +44,14 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         star = _star(large, scratch, f"{name}-{step}s")
         small = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).distinct()
         small = scratch.table(small, f"{name}-{step}s")
-        now = _mark(small)
-        if now == mark:
-            break
-        pairs, mark = small, now
-    return small.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        if rounds is None:
+            now = _mark(small)
+            if now == mark:
+                return small
+            mark = now
+        elif step == rounds:
+            return small
+        pairs = small
 
 
 def _mark(pairs: DataFrame) -> tuple:

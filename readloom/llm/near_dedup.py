@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, join_groups, unused
-from .graph import connected_components
+from .graph import connected_components, contracted
 from .kernels import U64, mix, ngrams, release, text_slices, unique_per_row, words
 
 UNIVERSE_BITS = 20
@@ -282,11 +283,12 @@ def _with_centres(stars: DataFrame, met: DataFrame, sets: DataFrame) -> DataFram
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "copy"]).drop("copy")
 
 
-def _roots(links: list[DataFrame], scratch: Scratch, name: str) -> DataFrame:
-    union = links[0]
-    for more in links[1:]:
-        union = union.unionByName(more)
-    return scratch.table(connected_components(union, scratch, name), f"{name}-roots")
+#: Rounds of the components between levels, where one in several parts costs comparisons only.
+ROUNDS = 2
+
+
+def _union(links: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, links)
 
 
 def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
@@ -305,14 +307,18 @@ def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, per
     copies, and no link is lost. Buckets that are still large after ``MOST_LEVELS``
     such divisions are compared pair by pair too.
     """
-    links: list[DataFrame] = []
     counts: np.ndarray | None = None
-    roots: DataFrame | None = None
+    edges: list[DataFrame] = []  # links so far, contracted after each level
     level = 0
+
+    def whole(links: list[DataFrame], name: str) -> DataFrame:
+        return scratch.table(connected_components(_union(links), scratch, name), f"{name}-roots")
+
     kinds = [F.count_if(F.col("kind") == k).alias(n) for k, n in (("F", "far"), ("N", "near"), ("X", "only"))]
     while True:
         name = f"level-{level}"
-        if roots is not None:
+        if edges:
+            roots = edges[0].groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
             members = members.join(roots.hint("merge"), "node", "left").select("bucket", "node", "kind", "left", "differ", F.coalesce("root", "node").alias("root"))
         else:
             members = members.select("bucket", "node", F.lit("F").alias("kind"), F.lit(0).alias("left"), F.lit(0).alias("differ"), F.col("node").alias("root"))
@@ -322,7 +328,7 @@ def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, per
         buckets = scratch.table(buckets.select("bucket", "members"), f"{name}-buckets")
         rows, largest = buckets.agg(F.sum("members"), F.max("members")).first()
         if not rows:
-            return roots
+            return whole(edges, name) if edges else None
         open_ = scratch.table(join_groups(members, buckets, ["bucket"], "members", int(rows)), f"{name}-open")
         most = PAIRWISE_LATER if level else PAIRWISE
         few = open_ if level >= MOST_LEVELS else open_.where(F.col("members") <= most)
@@ -332,9 +338,9 @@ def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, per
         # a bucket of the first difference in common: no more can be shared than what is left from there on
         shared = f"2 * least(left_a, left_b) >= differ_a + differ_b - {(100 - percent) / (100 + percent)!r}D * (n_a + n_b) - 1e-6" if level else "true"
         cross = one.join(two.hint("merge"), "bucket").where("root_a < root_b").where(fits).where(shared).where("concat(kind_a, kind_b) IN ('FF', 'FN', 'NF', 'XN', 'NX')").select("a", "b").distinct()
-        links.append(scratch.table(_with_sets(cross, sets).mapInArrow(_verifier(percent), "a binary, b binary"), f"{name}-links"))
+        links = [scratch.table(_with_sets(cross, sets).mapInArrow(_verifier(percent), "a binary, b binary"), f"{name}-links")]
         if largest <= most or level >= MOST_LEVELS:
-            return _roots(links, scratch, name)
+            return whole(links + edges, name)
         open_ = open_.where(F.col("members") > most)
         fame = open_.groupBy("node").agg(F.sum("members").alias("fame"))
         famous = open_.select("bucket", "node").join(fame.hint("merge"), "node")
@@ -349,7 +355,7 @@ def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, per
         compared = _with_centres(stars, met, sets).mapInArrow(_star_comparer(percent, counts), "a binary, b binary, linked boolean, half int, differ int, keys array<long>, spots array<int>")
         compared = scratch.table(compared, f"{name}-compared")
         links.append(compared.where("linked").select("a", "b"))
-        roots = _roots(links, scratch, name)
+        edges = [contracted(_union(links + edges), scratch, f"{name}-parts", ROUNDS)]
         scratch.release()
         spread = compared.select("a", "linked", "half", "differ", F.explode(F.arrays_zip("keys", "spots")).alias("k"))
         spread = spread.select("a", "linked", "half", "differ", F.col("k.keys").alias("bucket"), F.col("k.spots").alias("at"))
