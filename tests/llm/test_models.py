@@ -157,3 +157,15 @@ def test_very_long_toxic_text(spark):
     assert got[9002] > got[9001]
     everything = toxicity.without_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert everything.count() == len(rows)
+
+
+def test_neighbours_with_clashing_columns_and_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    good = [(i, rng.standard_normal(3000)) for i in range(60)]
+    rows = [(i, v.tolist(), 1, 2.0, "t", 4, 5.0) for i, v in good]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim int, v double, tile string, query_tile int, score double")
+    got = {}
+    for r in ann.nearest(docs, docs.where("vec_id % 20 = 0"), 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for i in (0, 20, 40):
+        assert [v for _, v in sorted(got[i])] == [v for v, _ in exact(good, i, good[i][1], 5)]
