@@ -115,6 +115,7 @@ def _signer(options: NearOptions, carried: tuple[str, ...] = ("doc_id",)):
                 yield pa.RecordBatch.from_arrays(
                     [*[c.slice(first, len(count)) for c in others], pa.array(count.astype(np.int64)), pa.array(nodes, pa.binary()), bands], [*carried, "n_shingles", "node", "bands"]
                 )
+        release()
 
     return sign
 
@@ -127,6 +128,7 @@ def _set_maker(n: int):
                 blobs = [sets[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
                 nodes = [xxhash.xxh3_128_digest(b) for b in blobs]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(blobs, pa.binary())], ["node", "shingles"])
+        release()
 
     return make
 
@@ -147,6 +149,7 @@ def _verifier(percent: int):
                 both = int(_compare(x, y)[0].sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return verify
 

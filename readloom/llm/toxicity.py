@@ -164,6 +164,7 @@ def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
         scores = make()
         for batch in arrow:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text")))], ["doc_id", "score"])
+            release()
 
     return texts.mapInArrow(scored, "doc_id long, score double")
 
@@ -202,5 +203,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
         scores = make()
         for batch in arrow:
             yield batch.filter(pa.array(scores(batch.column("text").cast(pa.string())) < threshold))
+            release()  # what a batch took isn't to add up with what later stages take
 
     return docs.mapInArrow(keep, docs.schema)
