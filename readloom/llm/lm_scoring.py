@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch, join_groups, shuffle_partitions
-from .kernels import U64, mix, release, text_slices, words
+from .kernels import U64, mix, release, text_slices, tidy, words
 
 #: The usual factor for each step back to a shorter n-gram.
 ALPHA = 0.4
@@ -198,6 +198,7 @@ def _count_part(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raise ValueError("parts of the count tables have met in one task")
     t, w, e = (np.concatenate(c) for c in (gram_times, word_times, ends))
     sums = np.array([w.sum(), docs], "<u8")
+    del gram_times, word_times, ends
     counts = [_totals(grams, t) - t, _totals(plain, w) - w, _totals(plain, w - e) - (w - e)]
     gram_cuts, word_cuts = (np.cumsum([0, *map(len, c)]).tolist() for c in (grams, plain))
     del grams, plain
@@ -218,6 +219,7 @@ def _score_lot(alpha: float):
         return out
 
     def score(table: pa.Table) -> pa.Table:
+        release()
         rows = sorted(table.to_pylist(), key=lambda r: r["part"])
         ids, known, count, local, word_part, gram_part = _unsqueeze(rows[0]["docs"])
         lot = _Lot(count.astype(np.int64), local.astype(np.int64))
@@ -266,8 +268,8 @@ def score_left_out(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     parts = max(shuffle_partitions(spark), -(-size // PART_BYTES))
-    packed = texts.mapInArrow(_packer(parts), _PACKETS)
-    counted = packed.repartitionById(parts, F.col("to")).mapInArrow(_count_part, _COUNTED)
+    packed = texts.mapInArrow(tidy(_packer(parts)), _PACKETS)
+    counted = packed.repartitionById(parts, F.col("to")).mapInArrow(tidy(_count_part), _COUNTED)
     return counted.groupBy("lot").applyInArrow(_score_lot(alpha), _SCORES)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, join_groups, unused
 from .graph import connected_components, contracted
-from .kernels import U64, mix, ngrams, release, text_slices, unique_per_row, words
+from .kernels import U64, mix, ngrams, release, text_slices, tidy, unique_per_row, words
 
 UNIVERSE_BITS = 20
 #: Buckets of at most so many members are compared pair by pair, larger ones by way of a centre: of equal bands, and of (centre, difference), where most pairs fall to a bound first.
@@ -355,7 +355,7 @@ def linked_components(members: DataFrame, sets: DataFrame, sizes: DataFrame, per
         stars = join_groups(stars, met, ["b"], "met", int(rows))
         stars = scratch.table(stars, f"{name}-met-stars")
         counts = shingle_counts(sets, scratch) if counts is None else counts
-        compared = _with_centres(stars, met, sets).mapInArrow(_star_comparer(percent, counts), "a binary, b binary, linked boolean, half int, differ int, keys array<long>, spots array<int>")
+        compared = _with_centres(stars, met, sets).mapInArrow(tidy(_star_comparer(percent, counts)), "a binary, b binary, linked boolean, half int, differ int, keys array<long>, spots array<int>")
         compared = scratch.table(compared, f"{name}-compared")
         links.append(compared.where("linked").select("a", "b"))
         edges = [contracted(_union(links + edges), scratch, f"{name}-parts", ROUNDS)]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, join_groups
-from .kernels import _BASE, U64, _power_tables, mix, text_slices
+from .kernels import _BASE, _power_tables, U64, mix, text_slices, tidy
 
 #: Bytes of an anchor.
 ANCHOR = 48
@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, report: int = 256, anchor
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), "text"))
     marked = texts.withColumn("batch", F.pmod("key", F.lit(batches)).cast("int")).where(F.octet_length("text") >= report)
-    entries = scratch.table(marked.select("key", "batch", "text").mapInArrow(_indexer(length, report, min(anchor, report)), _ENTRIES), "entries", ("batch",))
+    entries = scratch.table(marked.select("key", "batch", "text").mapInArrow(tidy(_indexer(length, report, min(anchor, report))), _ENTRIES), "entries", ("batch",))
     index = SuffixIndex(scratch)
     for b in range(batches):
         index.add(entries.where(F.col("batch") == b))
@@ -360,9 +360,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, report: int = 256, anchor
     asked = join_groups(suffixes.select(_head(), "entry", "place"), heads, ["head"], "n", total).withColumn("common", F.col("n") > MOST_RUNS)
     wanted = asked.groupBy("place.key").agg(F.collect_list(F.struct("entry", "place.first", "place.run", "place.lead", "common")).alias("places"))
     variants = texts.join(wanted.hint("merge"), "key").select("text", "places")
-    variants = scratch.table(variants.mapInArrow(_fetcher(length), "entry binary, lead int, run int, bytes binary, common boolean"), "variants")
+    variants = scratch.table(variants.mapInArrow(tidy(_fetcher(length)), "entry binary, lead int, run int, bytes binary, common boolean"), "variants")
     rare = variants.where("NOT common").drop("common").withColumn("head", F.substring("entry", 1, 8)).repartition("head").sortWithinPartitions("entry").drop("head")
-    partly = rare.mapInArrow(_resolver(lengths), "entry binary, spans binary, shared binary")
+    partly = rare.mapInArrow(tidy(_resolver(lengths)), "entry binary, spans binary, shared binary")
     partly = scratch.table(partly.unionByName(_common_anchors(variants.where("common").drop("common"), lengths, scratch)), "partly")
 
     nothing = F.lit(None).cast("binary")
@@ -373,4 +373,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, report: int = 256, anchor
     hits = join_groups(entries.select("key", "entry", "first", "run"), marks, ["entry"], "times", total)
     by_text = hits.groupBy("key").agg(F.collect_list(F.struct("first", "run", "spans", "shared")).alias("marks"))
     cut = texts.join(by_text.hint("merge"), "key", "left").select("doc_id", "text", "marks")
-    return cut.mapInArrow(_remover(lengths), _CUT)
+    return cut.mapInArrow(tidy(_remover(lengths)), _CUT)
