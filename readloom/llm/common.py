@@ -56,6 +56,11 @@ def _remove_scratch() -> None:
                 remove(spark, base)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let frames that are written later pass texts to Python ``BATCH_ROWS`` rows at a time as well, for the rest of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 class Scratch:
     """Intermediate tables of one query, each written once to the shared folder and read back.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 from .kernels import U64, mix, release, text_slices, unique_per_row, words
 
 #: Hashed coordinates; the weight table can't be larger than this.
@@ -198,6 +198,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     if not len(at) and not bias:
         return docs
     make = _scorer(at, weight, bias)
+    small_batches(docs.sparkSession)
 
     def keep(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = make()
