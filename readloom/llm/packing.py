@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch
-from .tokens import batches, encoder
+from .kernels import tidy
+from .tokens import ChunkEncoder, batches, encoder
 
 CLASSES = 64
 MOST_PER_PATTERN = 4
+#: Entries of the tokenizer's cache in a task, after which it starts anew; some 26 MB of text have as many distinct chunks here.
+CACHE_ENTRIES = 400_000
 
 _PIECES = "pid int, doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -187,7 +190,14 @@ def _cutter(tokenizer: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        chunks = encoder(tokenizer)
+        try:
+            yield from pieces(chunks, arrow)
+        finally:
+            # tasks go to all idle workers in turn, and each would keep a cache that later stages have no room for
+            chunks.forget()
+
+    def pieces(chunks: ChunkEncoder, arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in arrow:
@@ -195,7 +205,7 @@ def _cutter(tokenizer: str, capacity: int, end_id: int):
             texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             for a, b in batches(texts):
                 out: list[tuple] = []
-                for doc_id, ids in zip(doc_ids[a:b], encode(texts[a:b]), strict=True):
+                for doc_id, ids in zip(doc_ids[a:b], chunks.encode(texts[a:b], CACHE_ENTRIES), strict=True):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
@@ -234,7 +244,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
     """
     scratch = Scratch(docs.sparkSession, "pack")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = scratch.table(rows.mapInArrow(_cutter(tokenizer, capacity, end_id), _PIECES), "pieces")
+    pieces = scratch.table(rows.mapInArrow(tidy(_cutter(tokenizer, capacity, end_id)), _PIECES), "pieces")
     counts = scratch.table(pieces.groupBy("pid", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():

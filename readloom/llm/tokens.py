@@ -48,13 +48,17 @@ class ChunkEncoder:
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text."""
+    def forget(self) -> None:
+        """Empty the cache, as workers stay when their task is over."""
+        self._chunks = {}
+
+    def encode(self, texts: list[bytes], most: int | None = None) -> list[bytes]:
+        """The ids of each text; ``most`` bounds the cache instead of ``CACHE_ENTRIES``."""
         split = [(t if _UNUSUAL.search(t) else _MARK.sub(rb" \1", t.lower())).split() for t in texts]
         chunks = self._chunks
         missing = set().union(*split).difference(chunks)
         if missing:
-            if len(chunks) + len(missing) > CACHE_ENTRIES:
+            if len(chunks) + len(missing) > (most or CACHE_ENTRIES):
                 chunks = self._chunks = {}
                 missing = set().union(*split)
             plain = [c for c in missing if _plain(c)]

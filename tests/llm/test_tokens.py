@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,28 @@ def test_chunk_encoder_agrees_with_library(library):
         assert ids == expected_ids(library, text, 0)[:-1].tobytes()
 
 
+def test_packing_leaves_no_cache_in_its_worker(library, monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 4)
+    held, chunks = [], encoder(queries.tokenizer_path())
+    texts = [f"one{i} two{i} three{i}" for i in range(20)]
+    source = (held.append(len(chunks._chunks)) or pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}) for i, t in enumerate(texts))
+    cut = packing._cutter(queries.tokenizer_path(), 2048, 0)
+    chunks.forget()
+    got = [tuple(r.values()) for b in cut(source) for r in b.to_pylist()]
+    ids = [expected_ids(library, t, 0) for t in texts]
+    assert [(r[1], r[4], r[5]) for r in got] == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)]
+    assert 0 < max(held) <= 4 and not chunks._chunks
+    stopped = cut(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["cut short"]})]))
+    next(stopped)
+    stopped.close()
+    assert not chunks._chunks
+
+
 def test_token_store_round_trip(spark, library):
     rows, docs = odd_docs(spark)
     manifest = token_store.write_token_store(docs, queries.tokenizer_path(), end_id=2)
