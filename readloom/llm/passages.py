@@ -1,6 +1,6 @@
 """Fuzzy repeated passages by collinear chaining of shared word k-mers.
 
-Sampled k-mers that documents share are joined on their hash. Links follow the number
+All k-mers that documents share are joined on their hash, a range of hashes after the other. Links follow the number
 of occurrences: of a k-mer's occurrences the first is the hub that all others are
 linked with. As that hub may hold no more than a piece of a passage, so is the first of
 those that also agree in another k-mer some way on, or back: the one of least hash in
@@ -12,9 +12,10 @@ aligned word by word, which settles ends, matches and identity.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,21 @@ from .kernels import ngrams, text_slices, tidy, words
 
 @dataclass(frozen=True)
 class PassageOptions:
-    """k-mer length in words and share of k-mers sampled, wherever they stand; least matched words and identity of a passage; gap cost a word against the gain of a seed; words that an alignment may skip at once."""
+    """k-mer length in words and share of k-mers used, all unless fewer are asked for; least matched words and identity of a passage; gap cost a word against the gain of a seed; words that an alignment may skip at once."""
 
     k: int = 4
-    sampled: float = 0.36
+    sampled: float = 1.0
     min_words: int = 40
     identity: float = 0.8
     gain: float = 5.5
     gap: float = 0.25
     reach: int = 48
 
+    @property
+    def pairs(self) -> int:
+        """Pairs of neighbouring words that the two sides of a passage agree in at least: a word left out or put in on either side parts one pair."""
+        return math.ceil(max(self.min_words - 1 - 2 * self.min_words * (1 / self.identity - 1) - 1e-9, 0))
+
     @property
     def margin(self) -> int:
         """Words that a passage may go on beyond its outermost seeds."""
@@ -52,20 +58,29 @@ PAGE = 256
 HOT_SHARE = 1 / 2000
 #: One document in so many is asked for such keys, which decide where rows go, not what is found.
 HOT_SAMPLE = 16
+#: Ranges of hashes that seeds are joined in, one after the other, so that no more than a part of them lies on disk.
+ROUNDS = 3
+#: Seeds that a task gathers before it sends them on, packed by parts of the range; bytes of text that a part stands for.
+LOT, PART_BYTES = 400_000, 1 << 20
+#: Bits of a key, and the least and most of them that tell its part; the rest has 32 at most.
+KEY_BITS, LEAST_BITS, MOST_BITS = 40, 8, 16
+#: Of neighbouring seeds on one diagonal, every so manieth goes into chains beside the first and the last.
+STRIDE = 3
 #: Edits on either side of a seed that the second way of alignment follows.
 _EDITS = 64
 #: A key has 40 bits, last in the row where its zeros meet others, which makes shuffled rows smaller.
 _SEEDS = "uid long, pos int, salt int, sketch long, key long"
 #: Of a key that is dealt out, rows come as they are: without a hub, but with key and sketch.
 _LINKS = "uid long, hub long, pos int, hub_pos int, span int, sketch long, key long"
+_PACKED = "part int, dealt boolean, seeds binary"
 _ASKED = "uid long, chain long, side int, at int, low int, high int"
 _PAGES = "uid long, doc_id long, page int, words binary"
 _PARTS = "chain long, side int, page int, doc_id long, low int, at int, words binary"
 _FOUND = "doc_id long, start_word long, end_word long, other_id long, other_start long, other_end long, matched_words long, identity double"
 
 
-def sketches(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each k-mer four times 16 bits: of the least k-mer in each window around it, 0 where the row has none there."""
+def sketches(grams: np.ndarray, bounds: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
+    """For each k-mer, or each chosen one, four times 16 bits: of the least k-mer in each window around it, 0 where the row has none there."""
     rows = len(bounds) - 1
     pad = max(max(-s, s + WIDTH) for s in SKETCHES)
     spaced = np.full(len(grams) + (rows + 2) * pad, np.uint64(2**64 - 1))
@@ -76,21 +91,40 @@ def sketches(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         low = np.minimum(low[:-p], low[p:])
         p *= 2
     low = np.minimum(low[: len(low) - (WIDTH - p)], low[WIDTH - p :])
-    out = np.zeros(len(grams), np.uint64)
+    at = at if chosen is None else at[chosen]
+    out = np.zeros(len(at), np.uint64)
     for i, begin in enumerate(SKETCHES):
         least = low[at + begin]
         out |= np.where(least == np.uint64(2**64 - 1), np.uint64(0), (least & np.uint64(0x7FFF)) + np.uint64(1)) << np.uint64(16 * i)
     return out
 
 
-def _sampled(batch: pa.RecordBatch, o: PassageOptions) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, row, position, key, sketch) of the seeds of a batch."""
+def repeated_at_once(grams: np.ndarray, bounds: np.ndarray, o: PassageOptions) -> np.ndarray:
+    """Which k-mers lie in a further round of text that repeats itself at once, in rounds of fewer words than a window, as one word over and over."""
+    out = np.zeros(len(grams), bool)
+    for shift in range(1, min(WIDTH, len(grams))):
+        at = np.flatnonzero(grams[shift:] == grams[:-shift])
+        if not len(at):
+            continue
+        row = np.searchsorted(bounds, at, "right")
+        one = bounds[row] > at + shift  # both in one row
+        at, row = at[one], row[one]
+        begin = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(row, prepend=-1) != 0))
+        size = np.diff(begin, append=len(at))
+        out[at[np.repeat(size + o.k - 1 >= shift, size)] + shift] = True
+    return out
+
+
+def _sampled(batch: pa.RecordBatch, o: PassageOptions, low: int = 0, high: int = 1 << KEY_BITS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row, position, key, sketch) of the seeds of a batch whose keys lie from ``low`` on and below ``high``."""
+    limit = min(int(o.sampled * 2.0**64), 2**64 - 1)
     for first, data, offsets in text_slices(batch.column("text")):
         hashes, bounds = words(data, offsets)
         grams, starts = ngrams(hashes, bounds, o.k)
-        at = np.flatnonzero(grams <= np.uint64(min(int(o.sampled * 2.0**64), 2**64 - 1)))
+        keys = (grams >> np.uint64(64 - KEY_BITS)).view(np.int64)
+        at = np.flatnonzero((grams <= np.uint64(limit)) & (keys >= low) & (keys < high) & ~repeated_at_once(grams, starts, o))
         row = np.searchsorted(starts, at, "right") - 1
-        yield first, row, at - starts[row], (grams[at] >> np.uint64(24)).view(np.int64), sketches(grams, starts)[at].view(np.int64)
+        yield first, row, at - starts[row], keys[at], sketches(grams, starts, at).view(np.int64)
 
 
 def _hot_finder(o: PassageOptions):
@@ -111,11 +145,11 @@ def _hot_finder(o: PassageOptions):
     return find
 
 
-def _seeder(o: PassageOptions, hot: np.ndarray):
+def _seeder(o: PassageOptions, hot: np.ndarray, low: int = 0, high: int = 1 << KEY_BITS):
     def seed(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             uids = batch.column("uid").to_numpy()
-            for first, row, pos, key, sketch in _sampled(batch, o):
+            for first, row, pos, key, sketch in _sampled(batch, o, low, high):
                 # text that repeats itself at once, as one word over and over, is one passage: what starts in its first round is kept
                 order = np.lexsort((pos, sketch, key, row))
                 row, pos, key, sketch = (c[order] for c in (row, pos, key, sketch))
@@ -128,6 +162,90 @@ def _seeder(o: PassageOptions, hot: np.ndarray):
     return seed
 
 
+def _range(turn: int, bits: int) -> tuple[int, int]:
+    """First part of a round and of the next one."""
+    return (turn << bits) // ROUNDS, (turn + 1 << bits) // ROUNDS
+
+
+def _packer(o: PassageOptions, hot: np.ndarray, turn: int, bits: int):
+    """The seeds of one round, many to a row: rows of their own would cost the shuffle more than all else."""
+    low, high = _range(turn, bits)
+    seed = _seeder(o, hot, low << KEY_BITS - bits, high << KEY_BITS - bits)
+
+    def pack(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in seed(arrow):
+            key, uid, pos, sketch, salt = (batch.column(c).to_numpy() for c in ("key", "uid", "pos", "sketch", "salt"))
+            part = key >> (KEY_BITS - bits)
+            # seeds of a common key go to a part by document
+            part = np.where(salt > 0, low + (uid & 0xFFFFF) % (high - low), part) - low
+            held.append([part.astype(np.uint16), salt > 0, key, uid, pos, sketch])
+            if sum(len(h[0]) for h in held) >= LOT:
+                yield lot(held)
+                held = []
+        if held:
+            yield lot(held)
+
+    def lot(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        part, dealt, key, uid, pos, sketch = (np.concatenate(c) for c in zip(*held, strict=True))
+        rows: list[tuple] = []
+        for kind in (False, True):
+            at = np.flatnonzero(dealt == kind)
+            at = at[np.argsort(part[at], kind="stable")]
+            edges = np.flatnonzero(np.diff(part[at], prepend=-1, append=-1)) if len(at) else []
+            # what a part says of a key needn't travel, but of a common one the part says nothing
+            sent = [(key[at] if kind else key[at] & (1 << KEY_BITS - bits) - 1).astype("<i8" if kind else "<u4"), uid[at].astype("<i8"), pos[at].astype("<i4"), sketch[at].astype("<i8")]
+            rows += [(int(part[at[a]]) + low, kind, b"".join(c[a:z].tobytes() for c in sent)) for a, z in zip(edges, edges[1:], strict=False)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["part", "dealt", "seeds"])
+
+    return pack
+
+
+def _unpacked(raw: bytes, part: int, dealt: bool, bits: int) -> list[np.ndarray]:
+    n, at, out = len(raw) // (28 if dealt else 24), 0, []
+    for kind in ("<i8" if dealt else "<u4", "<i8", "<i4", "<i8"):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out if dealt else [out[0].astype(np.int64) + (part << KEY_BITS - bits), *out[1:]]
+
+
+def _part_linker(o: PassageOptions, bits: int):
+    """``_linker`` over packed seeds, which come part by part."""
+    link = _linker(o)
+
+    def batch_of(key: np.ndarray, uid: np.ndarray, pos: np.ndarray, sketch: np.ndarray, salt: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (uid, pos, np.full(len(key), salt, np.int32), sketch, key)], ["uid", "pos", "salt", "sketch", "key"])
+
+    def sorted_part(part: int, blobs: list[bytes]) -> pa.RecordBatch:
+        key, uid, pos, sketch = (np.concatenate(c) for c in zip(*[_unpacked(b, part, False, bits) for b in blobs], strict=True))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.append(same, False) | np.append(False, same)]  # a key that is there once links nothing
+        order = order[np.lexsort((pos[order], uid[order], key[order]))]
+        return batch_of(key[order], uid[order], pos[order], sketch[order], 0)
+
+    def seeds(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = -1, []
+        for batch in arrow:
+            for part, dealt, raw in zip(*[batch.column(c).to_pylist() for c in ("part", "dealt", "seeds")], strict=True):
+                if dealt:
+                    yield batch_of(*_unpacked(raw, part, True, bits), 1)
+                    continue
+                if part != now and blobs:
+                    yield sorted_part(now, blobs)
+                    blobs = []
+                now = part
+                blobs.append(raw)
+        if blobs:
+            yield sorted_part(now, blobs)
+
+    def link_parts(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return link(seeds(arrow))
+
+    return link_parts
+
+
 def _first_of(*by: np.ndarray) -> np.ndarray:
     """For each row, the first row that has the same values."""
     order = np.lexsort(by)
@@ -247,29 +365,55 @@ def chains(x: list[int], y: list[int], o: PassageOptions) -> list[list[int]]:
     return found
 
 
+def thinned(uid: np.ndarray, hub: np.ndarray, x: np.ndarray, y: np.ndarray, span: np.ndarray, o: PassageOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the links, sorted by uid, hub and x, go into chains, and all spans, the longest of its run for each.
+
+    Links of two documents on one diagonal that overlap or touch are a run; its first and last stay and
+    those between by ``STRIDE``, so that every run is there with both of its ends.
+    """
+    new = np.ones(len(uid), bool)
+    new[1:] = (uid[1:] != uid[:-1]) | (hub[1:] != hub[:-1])
+    line = (np.cumsum(new) << 33) + (x.astype(np.int64) - y + (1 << 32))
+    order = np.argsort(line, kind="stable")
+    line, at = line[order], y[order].astype(np.int64)
+    first = np.ones(len(order), bool)
+    first[1:] = (line[1:] != line[:-1]) | (at[1:] - at[:-1] > o.k)
+    last = np.append(first[1:], True)
+    begin = np.flatnonzero(first)
+    run = np.cumsum(first) - 1
+    step = (at - at[begin][run]) // STRIDE
+    kept = first | last
+    kept[1:] |= step[1:] != step[:-1]
+    keep, longest = np.empty(len(order), bool), np.empty(len(order), span.dtype)
+    keep[order] = kept
+    longest[order] = np.maximum.reduceat(span[order], begin)[run]
+    return keep, longest
+
+
+def reachable(chain: list[int], x: list[int], y: list[int], o: PassageOptions) -> Iterator[list[int]]:
+    """The pieces of a chain between steps that no alignment makes; each is aligned by itself."""
+    begin = 0
+    for n in range(1, len(chain)):
+        i, j = chain[n - 1], chain[n]
+        if max(x[j] - x[i], y[j] - y[i]) > o.reach + 2 * o.k:
+            yield chain[begin:n]
+            begin = n
+    yield chain[begin:]
+
+
 def _chainer(o: PassageOptions):
     least = 2 * o.k  # two seeds that share no word; fewer agreeing words are chance
     slack = o.k + 10
 
     def chained(uid: int, hub: int, x: list[int], y: list[int], span: list[int]) -> Iterator[tuple]:
         """(minus seeds, first and last word of the chain in the document, hub, first and last word there)."""
-        for chain in chains(x, y, o):
+        for chain in (piece for whole in chains(x, y, o) for piece in reachable(whole, x, y, o)):
             a, z = chain[0], chain[-1]
             if min(y[z] - y[a], x[z] - x[a]) + o.k >= least or max(span[i] for i in chain) >= least:
                 yield -len(chain), y[a], y[z], hub, x[a], x[z]
 
-    def chosen(found: list[tuple]) -> Iterator[tuple]:
-        """The chains of a document, but for those inside two others that have more seeds, as of one near copy with many more."""
-        kept: list[tuple] = []
-        for chain in sorted(found):
-            _, first, last, hub, _, _ = chain
-            covers = sum(k[1] <= first + slack and k[2] >= last - slack and k[3] != hub for k in kept)
-            if covers < 2:
-                kept.append(chain)
-                yield chain
-
     def ask(uid: int, found: list[tuple], out: list[tuple]) -> None:
-        for _, first, last, hub, hub_first, hub_last in chosen(found):
+        for _, first, last, hub, hub_first, hub_last in found:
             # the last bit says that both sides lie in one document
             key = (xxhash.xxh3_64_intdigest(np.array([uid, hub, hub_first, first], "<i8").tobytes()) - (1 << 63)) & ~1 | (uid == hub)
             out.append((uid, key, 0, first, max(first - o.margin, 0), last + o.k + o.margin))
@@ -281,6 +425,11 @@ def _chainer(o: PassageOptions):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["uid", "chain", "side", "at", "low", "high"])
 
     def settle(columns: list[np.ndarray]) -> pa.RecordBatch:
+        uid, hub, x, y, _ = columns
+        order = np.lexsort((y, x, hub, uid))  # sorted by uid alone when they came, which is cheaper
+        columns = [c[order] for c in columns]
+        keep, span = thinned(*columns, o)
+        columns = [c[keep] for c in (*columns[:-1], span)]
         uid, hub = columns[0], columns[1]
         edges = [0, *(np.flatnonzero((uid[1:] != uid[:-1]) | (hub[1:] != hub[:-1])) + 1).tolist(), len(uid)]
         rows: list[tuple] = []
@@ -438,10 +587,21 @@ def _words_in_common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(n[p], m[q]).sum())
 
 
+def pairs_in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Pairs of neighbouring words of a that b has as well."""
+    if len(a) < 2 or len(b) < 2:
+        return 0
+    x, y = ((w[:-1].astype(np.uint64) << np.uint64(32)) + w[1:] for w in (a, b))
+    y.sort()
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
 def _aligner(o: PassageOptions):
     def passage(mine: dict, other: dict) -> tuple | None:
         apart = mine["at"] - other["at"] if mine["chain"] & 1 else None
         a, b = np.frombuffer(mine["words"], "<u4"), np.frombuffer(other["words"], "<u4")
+        if pairs_in_common(a, b) < o.pairs:
+            return None  # no alignment of the two can be a passage
         p, q = mine["at"] - mine["low"], other["at"] - other["low"]
         sides = (a[:p][::-1], b[:q][::-1]), (a[p:], b[q:])
         found = best_ends(*(align_ends(*side, o.reach) for side in sides), o, apart)
@@ -520,13 +680,26 @@ def repeated_passages(docs: DataFrame, options: PassageOptions | None = None) ->
     # at most 1 / HOT_SHARE keys a task, and as many again where tasks differ
     common = some.mapInArrow(tidy(_hot_finder(o)), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("tasks")).orderBy(F.desc("tasks"), "key").limit(int(2 / HOT_SHARE)).collect()
     hot = np.array(sorted(r["key"] for r in common), np.int64)
-    seeds = texts.select("uid", "text").mapInArrow(tidy(_seeder(o, hot)), _SEEDS)
-    links = seeds.repartition("key", "salt").sortWithinPartitions("key", "uid", "pos").mapInArrow(tidy(_linker(o)), _LINKS)
-    links = scratch.table(links, "links")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max((size // PART_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
+    rounds = []
+    for turn in range(ROUNDS):
+        seeds = texts.select("uid", "text").mapInArrow(tidy(_packer(o, hot, turn, bits)), _PACKED)
+        links = seeds.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(_part_linker(o, bits)), _LINKS)
+        rounds.append(scratch.table(links, f"links-{turn}"))
+        del seeds, links
+        rounds[-1].isEmpty()  # the listener bus holds on to a query until the next one ends
+        scratch.release()
+    links = reduce(DataFrame.unionByName, rounds)
     names = ["uid", "hub", "pos", "hub_pos", "span"]
     links = links.where("hub IS NOT NULL").select(*names).unionByName(_hot_links(links.where("hub IS NULL"), o, scratch).select(*names))
-    asked = links.repartition("uid").sortWithinPartitions("uid", "hub", "hub_pos", "pos").mapInArrow(tidy(_chainer(o)), _ASKED)
+    asked = links.repartition("uid").sortWithinPartitions("uid").mapInArrow(tidy(_chainer(o)), _ASKED)
     asked = scratch.table(asked, "asked")
+    del links, rounds
+    for turn in range(ROUNDS):
+        scratch.drop(f"links-{turn}")
+    asked.isEmpty()
+    scratch.release()
 
     wanted = texts.join(asked.select("uid").distinct().hint("merge"), "uid", "left_semi").dropDuplicates(["uid"])
     turned = asked.withColumn("page", F.explode(F.sequence(F.expr(f"low div {PAGE}").cast("int"), F.expr(f"(high - 1) div {PAGE}").cast("int"))))

@@ -216,3 +216,103 @@ def test_every_copy_inside_a_document_is_reported(spark):
     spans = {(r.doc_id, r.start_word, r.end_word) for r in got} | {(r.other_id, r.other_start, r.other_end) for r in got}
     assert spans == {(i, a, z) for i, c in copies.items() for a, z in c}
     assert all(r.doc_id != r.other_id or r.other_end <= r.start_word for r in got)
+
+
+def test_no_pair_is_lost_whose_seeds_are_few(spark):
+    rng = random.Random(71)
+    rows, pairs = [], []
+    for _ in range(80):
+        passage = prose(rng, 50)
+        copy = [f"other{rng.randrange(10**6)}" if i % 5 == 4 else w for i, w in enumerate(passage)]  # four words agree at a time: one seed each
+        pairs.append({len(rows), len(rows) + 1})
+        rows += [(len(rows) + i, " ".join(prose(rng, 70) + p + prose(rng, 70)), "c", "s") for i, p in enumerate((passage, copy))]
+    found = [{r.doc_id, r.other_id} for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert all(p in found for p in pairs) and all(f in pairs for f in found)
+
+
+def test_two_passages_of_a_pair_far_apart_are_both_found(spark):
+    rng = random.Random(72)
+    first, second = prose(rng, 60), prose(rng, 60)
+    rows = [(i, " ".join(first + prose(rng, 90) + second), "c", "s") for i in range(2)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.start_word, r.end_word) for r in got} == {(0, 60), (150, 210)}
+
+
+def test_a_passage_inside_two_longer_chains_is_found(spark):
+    # document 0 shares 90 words with 1 and with 2, of which a fifth is changed too many; 3 has the 45 in their midst as they are
+    rng = random.Random(73)
+    ends, core = [prose(rng, 40), prose(rng, 40)], prose(rng, 45)
+    texts = [prose(rng, 20) + ends[0] + core + ends[1]]
+    for _ in range(2):
+        texts.append(prose(rng, 20) + ends[0] + [w if i % 9 < 6 else f"x{rng.randrange(10**6)}" for i, w in enumerate(core)] + ends[1])
+    texts.append(prose(rng, 60) + core + prose(rng, 60))
+    want = {frozenset((0, 3))}
+    got = {frozenset((r.doc_id, r.other_id)) for r in passages.repeated_passages(spark.createDataFrame([(i, " ".join(t), "c", "s") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert want <= got
+
+
+def test_packed_seeds_link_as_rows_do(spark):
+    rng = random.Random(74)
+    line = prose(rng, 30)
+    rows = [(i, " ".join(prose(rng, 20) + line[: rng.randrange(8, 30)] + ["same"] * 50 + line)) for i in range(60)]
+    texts = spark.createDataFrame(rows, "uid long, text string").repartition(3)
+    o = PassageOptions()
+    keys = np.array([r.key for r in texts.mapInArrow(passages._seeder(o, np.empty(0, np.int64)), passages._SEEDS).select("key").distinct().collect()])
+    for hot in (np.empty(0, np.int64), keys[::3]):
+        seeds = texts.mapInArrow(passages._seeder(o, hot), passages._SEEDS)
+        plain = seeds.repartition("key", "salt").sortWithinPartitions("key", "uid", "pos").mapInArrow(passages._linker(o), passages._LINKS).collect()
+        for bits in (8, 11):
+            got = []
+            for turn in range(passages.ROUNDS):
+                packed = texts.mapInArrow(passages._packer(o, hot, turn, bits), passages._PACKED)
+                got += packed.repartition("part").sortWithinPartitions("part").mapInArrow(passages._part_linker(o, bits), passages._LINKS).collect()
+            assert sorted(got, key=repr) == sorted(plain, key=repr) and got
+
+
+def test_what_is_passed_over_can_hold_no_passage():
+    rng = np.random.default_rng(75)
+    o = PassageOptions()
+    assert o.pairs == 19
+    least = 10**9
+    for _ in range(300):
+        # ten words put in on either side, where they part as many pairs as they can
+        a, b = [], []
+        matched = list(range(1000, 1040))
+        spots = rng.permutation(np.arange(1, 40))[:20]
+        for i, w in enumerate(matched):
+            if i in spots[:10]:
+                a.append(int(rng.integers(10**6, 10**9)))
+            if i in spots[10:]:
+                b.append(int(rng.integers(10**6, 10**9)))
+            a.append(w)
+            b.append(w)
+        least = min(least, passages.pairs_in_common(np.array(a, "<u4"), np.array(b, "<u4")))
+    assert least == o.pairs
+    assert passages.pairs_in_common(np.array([1], "<u4"), np.array([1, 2], "<u4")) == 0
+
+
+def test_runs_on_a_diagonal_keep_their_ends():
+    o = PassageOptions()
+    rows = sorted((u, h, x, x + d, 16 if x == 7 else 4) for u in (1, 2) for h in (3, 5) for d, xs in ((0, range(5, 25)), (9, (5, 6)), (-4, (30, 60))) for x in xs)
+    uid, hub, x, y, span = (np.array(c) for c in zip(*rows))
+    keep, longest = passages.thinned(uid, hub, x, y, span, o)
+    kept = {r[:4] for r, k in zip(rows, keep) if k}
+    for u in (1, 2):
+        for h in (3, 5):
+            assert {(u, h, a, a + d) for a, d in ((5, 0), (24, 0), (5, 9), (6, 9), (30, -4), (60, -4))} <= kept
+            middle = sorted(r[2] for r in kept if r[:2] == (u, h) and r[2] == r[3])
+            assert len(middle) < 20 and max(np.diff(middle)) <= passages.STRIDE
+    assert all(s == (16 if r[2] == r[3] else 4) for r, s in zip(rows, longest))
+
+
+def test_text_that_repeats_at_once():
+    o = PassageOptions()
+    rng = np.random.default_rng(76)
+    rows = [np.full(200, 7), np.tile(rng.integers(100, 10**9, 9), 5), np.tile(rng.integers(100, 10**9, 45), 3), rng.integers(100, 10**9, 90)]
+    line = rng.integers(100, 10**9, 20)
+    rows.append(np.concatenate([line, rng.integers(100, 10**9, 10), line]))
+    hashes, bounds = np.concatenate(rows).astype(np.uint64), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    grams, starts = passages.ngrams(hashes, bounds, o.k)
+    got = passages.repeated_at_once(grams, starts, o)
+    left = [np.flatnonzero(~got[a:z]).tolist() for a, z in zip(starts, starts[1:])]
+    assert left == [[0], list(range(9)), list(range(132)), list(range(87)), list(range(47))]
