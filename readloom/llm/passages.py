@@ -59,7 +59,7 @@ HOT_SHARE = 1 / 2000
 #: One document in so many is asked for such keys, which decide where rows go, not what is found.
 HOT_SAMPLE = 16
 #: Ranges of hashes that seeds are joined in, one after the other, so that no more than a part of them lies on disk.
-ROUNDS = 3
+ROUNDS = 2
 #: Seeds that a task gathers before it sends them on, packed by parts of the range; bytes of text that a part stands for.
 LOT, PART_BYTES = 400_000, 1 << 20
 #: Bits of a key, and the least and most of them that tell its part; the rest has 32 at most.
