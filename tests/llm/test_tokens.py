@@ -47,6 +47,27 @@ def test_chunk_encoder_agrees_with_library(library):
         assert ids == expected_ids(library, text, 0)[:-1].tobytes()
 
 
+def test_chunks_are_cut_between_letters_and_marks(library):
+    chunks = encoder(queries.tokenizer_path())
+    chunks.forget()
+    texts = ["Word### word.*** \u00e9t\u00e9, \u00e9t\u00e9!! it's a_b c3 2\u00d7, <b\u00f7#", "one\u3000WORD### <|", "word " * 500_000, ""]
+    got = chunks.encode([t.encode() for t in texts])
+    assert set(chunks._chunks) == {
+        t.encode() for t in ("word ### .*** \u00e9t\u00e9 , !! it 's a _b c3 2\u00d7, <b\u00f7# one\u3000WORD### <|").split(" ")
+    }
+    want = [expected_ids(library, t, 0)[:-1] for t in texts[:2]] + [np.repeat(expected_ids(library, "word", 0)[:-1], 500_000), np.empty(0, "<u4")]
+    assert got == [w.tobytes() for w in want]
+
+
+def test_chunk_encoder_agrees_with_library_on_random_texts(library):
+    rng = np.random.default_rng(7)
+    plain = ["a", "Z", "s", "ll", "'", "'s", ",", "###", "_", "<", "|", "1", " ", "\n", "\x1c", "\x85", "\xa0", "\xe9", "\xc9", "\xdf", "\xd7", "\xf7", "\xaa", "\xb2", "\u0130", "\u0149", "\u0101"]
+    odd = [*plain, "\u0301", "\u4e16", "\u201c", "\u212a", "<|endoftext|>"]
+    texts = ["".join(rng.choice(odd if i % 3 == 0 else plain, rng.integers(0, 40))) for i in range(600)]
+    for text, ids in zip(texts, encoder(queries.tokenizer_path()).encode([t.encode() for t in texts]), strict=True):
+        assert ids == expected_ids(library, text, 0)[:-1].tobytes(), text
+
+
 def test_packing_leaves_no_cache_in_its_worker(library, monkeypatch):
     class Task:
         get = staticmethod(lambda: Task)
