@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from readloom.functions.shared import Scratch
+
 #: Ordinals of a range; a window never holds more rows than this (as keys are unique).
 WIDTH = 1 << 16
 
@@ -37,3 +39,17 @@ def running_sum(df: DataFrame, value: Column, name: str, width: int = WIDTH) ->
     ahead = F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     starts = df.groupBy("__part").agg(F.sum("__value").alias("__sum")).select("__part", F.coalesce(ahead, F.lit(0)).alias("__start"))
     return df.withColumn("__inside", inside).join(starts, "__part").withColumn(name, F.col("__start") + F.col("__inside")).drop("__part", "__value", "__inside", "__start")
+
+
+def placed(df: DataFrame, keys: list[Column], columns: list[str], name: str) -> DataFrame:
+    """Some columns and ``name``, the 1-based place of each row in a total order.
+
+    Tasks sort a range each, number its rows and write them; a row's place is its number plus the rows of the ranges
+    before. Sorting again could cut other ranges, so the counts and the rows are of the same written table.
+    """
+    at = F.monotonically_increasing_id()  # the task in the upper bits, from the 34th, the row in the lower
+    rows = Scratch(df.sparkSession, "placed").table(df.orderBy(*keys).select(*columns, at.alias("__at")), "rows")
+    rows = rows.withColumn("__part", F.shiftright("__at", 33))
+    ahead = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(ahead, F.lit(0)).alias("__start"))
+    return rows.join(F.broadcast(starts), "__part").select(*columns, (F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).alias(name))

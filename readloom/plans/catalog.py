@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import expr as E
+from readloom.functions.ordinal import placed
 from readloom.operators import checksum, duplicates, forensic, order, profile, rewrite, sample, validate
 from readloom.plans import adapters as A
 
@@ -302,10 +303,7 @@ SORT_COLUMNS = "ordinal, ref_id, pos, read_name, flags"
     A.READS_SQL,
 )
 def sort_coordinate(spark, sf):
-    from pyspark.sql.window import Window
-
-    reads = A.reads(spark, sf)
-    return reads.select(*SORT_COLUMNS.split(", "), F.row_number().over(Window.orderBy(*E.sort_key_coordinate())).cast("long").alias("place"))
+    return placed(A.reads(spark, sf), E.sort_key_coordinate(), SORT_COLUMNS.split(", "), "place")
 
 
 @query("sort_queryname", f"SELECT {SORT_COLUMNS} FROM reads ORDER BY read_name, ref_id, pos, flags, next_ref_id, next_pos, tlen, ordinal", A.READS_SQL)

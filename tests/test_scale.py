@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.functions.ordinal import placed
 from readloom.functions.sha import Sha256, library
 from readloom.operators import checksum
+from readloom.plans import catalog
 
 
 def test_a_state_is_taken_out_and_put_back():
@@ -65,3 +67,30 @@ def test_without_the_library_the_driver_hashes_the_same(spark, monkeypatch):
 def test_a_value_that_is_missing_is_an_error(spark):
     with pytest.raises(Exception, match="a record without bytes"):
         checksum.stream_digest(spark.createDataFrame([(None,)], "v binary"), "v")
+
+
+@pytest.fixture
+def apart(spark):
+    """Small partitions stay apart."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield spark
+    spark.conf.set(key, kept)
+
+
+def test_no_task_of_a_coordinate_sort_has_all_rows(apart):
+    rows = catalog.QUERIES["sort_coordinate"](apart, "/root/testdata/sf0.001")
+    sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == 1000 and max(sizes) < 600
+
+
+def test_places_in_a_total_order(apart):
+    rng = random.Random(2)
+    rows = [(i, rng.choice((None, 0, 0, 0, 0, 7, -3)), rng.choice("ab")) for i in range(300)]
+    df = apart.createDataFrame(rows, "ordinal long, k int, unused string").repartition(6)
+    got = placed(df, [F.col("k"), F.col("ordinal").desc()], ["ordinal", "k"], "place")
+    assert got.columns == ["ordinal", "k", "place"]
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, -r[0]))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [(i, k, n) for n, (i, k, _) in enumerate(want, 1)]
+    assert placed(df.where("k > 9"), [F.col("ordinal")], ["ordinal"], "place").collect() == []
